@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from termlens.config import DEFAULT_TASKS
 from termlens.operators import aggregate as agg
@@ -49,3 +50,122 @@ def top_terms_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents + labels -> tf-idf -> centroid scorer -> attributions (test split) -> A1 -> A2 -> top 50
     per (task, pred)."""
     return topk.top_terms(agg.avg_attr(_level1(spark, sf_dir), OVER_TP), OVER_TP, 50)
+
+
+# ---- M1: aggregation ------------------------------------------------------------------------------
+def _base_sql(*tail):
+    return S.baseline_ctes(TASKS) + list(tail)
+
+
+@register("term_level1", lambda: S.with_(_base_sql(S.level1_cte()),
+                                         "SELECT term, type, pos, index, label, pred, task, round(attr, 9) AS attr, "
+                                         "CAST(occurance AS BIGINT) AS occurance FROM level1"))
+def term_level1(spark, sf_dir):
+    """A1 over the test split: sum(|attr|), count per (term, type, pos, index, label, pred, task)."""
+    lv = _level1(spark, sf_dir)
+    return lv.withColumn("attr", F.round("attr", agg.DIGITS))
+
+
+@register("terms_avg", lambda: S.with_(_base_sql(S.level1_cte(), S.avg_cte(OVER_TP)), "SELECT * FROM agg"))
+def terms_avg(spark, sf_dir):
+    """A2 over (task, pred), all terms."""
+    return agg.avg_attr(_level1(spark, sf_dir), OVER_TP)
+
+
+@register("terms_sum_sqrt", lambda: S.with_(_base_sql(S.level1_cte(), S.sum_sqrt_cte(OVER_TP)), "SELECT * FROM agg"))
+def terms_sum_sqrt(spark, sf_dir):
+    """A3 over (task, pred)."""
+    return agg.sum_sqrt_attr(_level1(spark, sf_dir), OVER_TP)
+
+
+@register("terms_homogeneity", lambda: S.with_(_base_sql(S.level1_cte(), *S.homogeneity_ctes(OVER_TP)),
+                                               "SELECT * FROM agg"))
+def terms_homogeneity(spark, sf_dir):
+    """A4 over (task, pred)."""
+    return agg.homogeneity_attr(_level1(spark, sf_dir), OVER_TP)
+
+
+@register("top_terms_homogeneity", lambda: S.with_(_base_sql(S.level1_cte(), *S.homogeneity_ctes(OVER_TP)),
+                                                   S.top_sql(OVER_TP, 50)))
+def top_terms_homogeneity(spark, sf_dir):
+    """W3 on A4: top 50 per (task, pred)."""
+    return topk.top_terms(agg.homogeneity_attr(_level1(spark, sf_dir), OVER_TP), OVER_TP, 50)
+
+
+@register("top_terms_exclusive", lambda: S.with_(_base_sql(S.level1_cte(), S.avg_cte(OVER_TP)),
+                                                 S.exclusive_top_sql(OVER_TP, 50)))
+def top_terms_exclusive(spark, sf_dir):
+    """W4 on A2: each term given to its best (task, pred), then top 50 per group."""
+    return topk.exclusive_top_terms(agg.avg_attr(_level1(spark, sf_dir), OVER_TP), OVER_TP, 50)
+
+
+RISK_OVER = ("task", "index", "label", "pred")
+
+
+def _sql_risk():
+    ctes = _base_sql(S.level1_cte(), "risk AS (SELECT * FROM level1 WHERE label < pred AND index = pred)",
+                     *S.homogeneity_ctes(RISK_OVER, src="risk"),
+                     f"top AS ({S.top_sql(RISK_OVER, 20)})")
+    body = ("SELECT task, label, pred, string_agg(term || ' (' || CAST(occurance AS VARCHAR) || ')', ', ' "
+            "ORDER BY attr DESC, term ASC) AS terms FROM top GROUP BY task, label, pred")
+    return S.with_(ctes, body)
+
+
+@register("risk_terms", _sql_risk)
+def risk_terms(spark, sf_dir):
+    """F6 -> A4 over (task, index, label, pred) -> top 20 -> "term (n)" list per (task, label, pred)."""
+    lv = agg.risk_filter(_level1(spark, sf_dir))
+    return topk.risk_report(agg.homogeneity_attr(lv, RISK_OVER), RISK_OVER, 20)
+
+
+def _sql_sample_summary():
+    body = ("SELECT _id, attr >= 0 AS pos, round(sum(attr), 9) AS attr, count(*) AS nattr FROM attrs "
+            "WHERE split = 'test' AND NOT regexp_matches(task, '=|-') AND type = '1gram' GROUP BY _id, attr >= 0")
+    return S.with_(_base_sql(), body)
+
+
+@register("sample_attr_summary", _sql_sample_summary)
+def sample_attr_summary(spark, sf_dir):
+    """Per test sample and sign over unigrams: sum(attr), count as nattr."""
+    run = baseline.build(spark, sf_dir, TASKS)
+    return agg.sample_summary(run.attributions("test"))
+
+
+def _outcome_sql(cond):
+    return lambda: S.with_(_base_sql(S.level1_cte(), f"lv AS (SELECT * FROM level1 WHERE {cond})",
+                                     S.avg_cte(OVER_TP, src="lv")), S.top_sql(OVER_TP, 50))
+
+
+def _outcome_query(kind):
+    def q(spark, sf_dir):
+        return topk.top_terms(agg.avg_attr(agg.outcome_filter(_level1(spark, sf_dir), kind), OVER_TP), OVER_TP, 50)
+    q.__doc__ = f"F5 ({kind}) on level 1, then A2 and top 50 per (task, pred)."
+    return q
+
+
+for _kind, _cond in (("correct", "label = pred"), ("wrong", "label <> pred"), ("higher", "label < pred")):
+    register(f"outcome_filter_{_kind}", _outcome_sql(_cond))(_outcome_query(_kind))
+
+
+@register("terms_avg_with_neg", lambda: S.with_(
+    _base_sql(S.level1_cte(positive_only=False), S.avg_cte(OVER_TP)), S.top_sql(OVER_TP, 50)))
+def terms_avg_with_neg(spark, sf_dir):
+    """A1 keeping negative attributions (``positive_only=False``), A2, top 50 per (task, pred)."""
+    lv = _level1(spark, sf_dir, positive_only=False)
+    return topk.top_terms(agg.avg_attr(lv, OVER_TP), OVER_TP, 50)
+
+
+GSETS = (("task",), ("task", "pred"), ("task", "label"))
+
+
+def _sql_gsets():
+    body = ("SELECT term, label, pred, task, round(sum(abs(attr)) / sum(occurance), 9) AS attr, "
+            "CAST(sum(occurance) AS BIGINT) AS occurance FROM level1 WHERE abs(attr) > CAST(1e-5 AS DOUBLE) "
+            "GROUP BY GROUPING SETS ((term, task), (term, task, pred), (term, task, label))")
+    return S.with_(_base_sql(S.level1_cte()), body)
+
+
+@register("terms_avg_grouping_sets", _sql_gsets)
+def terms_avg_grouping_sets(spark, sf_dir):
+    """A2 for the sets (task), (task, pred), (task, label) in one aggregation."""
+    return agg.avg_attr_grouping_sets(_level1(spark, sf_dir), GSETS)
