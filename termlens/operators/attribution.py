@@ -121,3 +121,22 @@ def random_attributions(tokens: DataFrame, seed: int = 0, pos_col: str = "pos")
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("_id").cast("string"), F.col(pos_col).cast("string"),
                                              F.lit(str(seed)))), 1, 8), 16, 10).cast("double")
     return tokens.withColumn("attr", h / F.lit(4294967296.0))
+
+
+def global_effects(x: DataFrame, n_docs: DataFrame, coef: DataFrame) -> DataFrame:
+    """``coef * mean(x)`` per (task, class, term) over a split; ``occurance`` = documents with the
+    term (V5); zero effects dropped (F11). ``n_docs`` is the one-row document count of the split."""
+    stats = x.groupBy("term").agg(F.sum("x").alias("sx"), F.count(F.lit(1)).alias("occurance"))
+    j = stats.crossJoin(F.broadcast(n_docs)).join(coef, "term")
+    attr = F.col("w") * F.col("sx") / F.col("n_docs")
+    return (j.select("term", "occurance", attr.alias("attr"), F.col("class").alias("pred"), "task")
+            .where(F.col("attr") != 0))
+
+
+def top_features(effects: DataFrame, k: int = 5) -> DataFrame:
+    """Top k terms per (task, class) by average effect (ties by term)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("task", "pred").orderBy(F.col("attr").desc(), F.col("term").asc())
+    return (effects.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("task", "pred", "rank", "term", "attr"))

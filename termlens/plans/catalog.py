@@ -169,3 +169,142 @@ def _sql_gsets():
 def terms_avg_grouping_sets(spark, sf_dir):
     """A2 for the sets (task), (task, pred), (task, label) in one aggregation."""
     return agg.avg_attr_grouping_sets(_level1(spark, sf_dir), GSETS)
+
+
+# ---- M4: model outputs and metrics ----------------------------------------------------------------
+from termlens.operators import attribution as xa  # noqa: E402
+from termlens.operators import linear, metrics  # noqa: E402
+
+METRIC_SPLIT = "eval"
+
+
+def _split_preds(run, split):
+    return run.preds.join(run.split_ids(split), "_id", "left_semi")
+
+
+def _sql_predictions():
+    cols = ", ".join(f"max(CASE WHEN p.task = '{t}' THEN p.label END) AS {t}, "
+                     f"max(CASE WHEN p.task = '{t}' THEN p.pred END) AS {t}_pred" for t in TASKS.names)
+    return S.with_(_base_sql(), f"SELECT p._id, s.split, {cols} FROM preds p JOIN samples s ON p._id = s._id "
+                                f"GROUP BY p._id, s.split")
+
+
+@register("predictions", _sql_predictions)
+def predictions(spark, sf_dir):
+    """One row per sample: split, each task's label and ``<task>_pred``."""
+    run = baseline.build(spark, sf_dir, TASKS)
+    wide = run.preds.groupBy("_id").agg(
+        *[F.max(F.when(F.col("task") == t, F.col("label"))).alias(t) for t in TASKS.names],
+        *[F.max(F.when(F.col("task") == t, F.col("pred"))).alias(f"{t}_pred") for t in TASKS.names])
+    return wide.join(run.samples.select("_id", "split"), "_id")
+
+
+def _sql_conf_cte():
+    return [f"ep AS (SELECT * FROM preds WHERE _id IN (SELECT _id FROM samples WHERE split = '{METRIC_SPLIT}'))",
+            "conf AS (SELECT a.task, a.class AS label, b.class AS pred, CAST(coalesce(c.n, 0) AS BIGINT) AS n "
+            "FROM classes a JOIN classes b ON a.task = b.task LEFT JOIN "
+            "(SELECT task, label, pred, count(*) AS n FROM ep GROUP BY task, label, pred) c "
+            "ON c.task = a.task AND c.label = a.class AND c.pred = b.class)",
+            "pl AS (SELECT t.task, t.label AS class, t.task || '=' || CAST(t.label AS VARCHAR) AS name, "
+            "coalesce(CAST(t.n AS DOUBLE) / NULLIF(pr.predicted, 0), 0) AS precision, "
+            "coalesce(CAST(t.n AS DOUBLE) / NULLIF(su.support, 0), 0) AS recall, su.support "
+            "FROM conf t JOIN (SELECT task, label, sum(n) AS support FROM conf GROUP BY task, label) su "
+            "ON su.task = t.task AND su.label = t.label "
+            "JOIN (SELECT task, pred, sum(n) AS predicted FROM conf GROUP BY task, pred) pr "
+            "ON pr.task = t.task AND pr.pred = t.label WHERE t.label = t.pred)",
+            "plf AS (SELECT *, coalesce(2 * precision * recall / NULLIF(precision + recall, 0), 0) AS f1 FROM pl)"]
+
+
+@register("confusion", lambda: S.with_(_base_sql(*_sql_conf_cte()), "SELECT * FROM conf"))
+def confusion(spark, sf_dir):
+    """A8 on the eval split: counts over the label x pred grid per task."""
+    run = baseline.build(spark, sf_dir, TASKS)
+    return metrics.confusion(spark, _split_preds(run, METRIC_SPLIT), TASKS)
+
+
+@register("prf_per_label", lambda: S.with_(_base_sql(*_sql_conf_cte()),
+                                           "SELECT task, class, name, round(precision, 9) AS precision, "
+                                           "round(recall, 9) AS recall, round(f1, 9) AS f1, "
+                                           "CAST(support AS BIGINT) AS support FROM plf"))
+def prf_per_label(spark, sf_dir):
+    """A9 on the eval split."""
+    run = baseline.build(spark, sf_dir, TASKS)
+    return metrics.per_label(spark, _split_preds(run, METRIC_SPLIT), TASKS)
+
+
+def _sql_averages():
+    body = (
+        "SELECT a.task, a.average, round(a.precision, 9) AS precision, round(a.recall, 9) AS recall, "
+        "round(a.f1, 9) AS f1, round(acc.acc, 9) AS accuracy FROM ("
+        "SELECT task, 'macro' AS average, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1 "
+        "FROM plf GROUP BY task UNION ALL "
+        "SELECT task, 'weighted', coalesce(sum(precision * support) / NULLIF(sum(support), 0), 0), "
+        "coalesce(sum(recall * support) / NULLIF(sum(support), 0), 0), "
+        "coalesce(sum(f1 * support) / NULLIF(sum(support), 0), 0) FROM plf GROUP BY task UNION ALL "
+        "SELECT task, 'micro', acc, acc, acc FROM accs UNION ALL "
+        "SELECT '*', 'macro', avg(p), avg(r), avg(f) FROM (SELECT task, avg(precision) AS p, avg(recall) AS r, "
+        "avg(f1) AS f FROM plf GROUP BY task)) a LEFT JOIN accs acc ON acc.task = a.task")
+    return S.with_(_base_sql(*_sql_conf_cte(),
+                             "accs AS (SELECT task, coalesce(CAST(sum(CASE WHEN label = pred THEN 1 ELSE 0 END) AS DOUBLE) "
+                             "/ NULLIF(count(*), 0), 0) AS acc FROM ep GROUP BY task)"), body)
+
+
+@register("prf_averages", _sql_averages)
+def prf_averages(spark, sf_dir):
+    """Macro, micro, weighted P/R/F1 and accuracy per task; mean macro over tasks (task '*')."""
+    run = baseline.build(spark, sf_dir, TASKS)
+    return metrics.averages(spark, _split_preds(run, METRIC_SPLIT), TASKS)
+
+
+def _sql_log_loss():
+    body = ("SELECT task, round(loss, 9) AS loss FROM (SELECT task, avg(nll) AS loss FROM nll GROUP BY task "
+            "UNION ALL SELECT '*', avg(loss) FROM (SELECT task, avg(nll) AS loss FROM nll GROUP BY task))")
+    return S.with_(_base_sql(
+        f"es AS (SELECT * FROM scores WHERE _id IN (SELECT _id FROM samples WHERE split = '{METRIC_SPLIT}'))",
+        "mx AS (SELECT _id, task, max(score) AS mx FROM es GROUP BY _id, task)",
+        "lse AS (SELECT es._id, es.task, mx.mx, ln(sum(exp(es.score - mx.mx))) AS lse FROM es "
+        "JOIN mx ON es._id = mx._id AND es.task = mx.task GROUP BY es._id, es.task, mx.mx)",
+        "nll AS (SELECT es.task, lse.lse - (es.score - lse.mx) AS nll FROM es JOIN labels_long l "
+        "ON l._id = es._id AND l.task = es.task AND l.label = es.class "
+        "JOIN lse ON lse._id = es._id AND lse.task = es.task)"), body)
+
+
+@register("log_loss", _sql_log_loss)
+def log_loss(spark, sf_dir):
+    """Softmax cross-entropy of the decision scores on the eval split, per task and mean over tasks."""
+    run = baseline.build(spark, sf_dir, TASKS)
+    ids = run.split_ids(METRIC_SPLIT)
+    scores = linear.decision_scores(spark, run.x.join(ids, "_id", "left_semi"), ids, run.coef, run.bias, TASKS)
+    return metrics.log_loss(scores, run.labels)
+
+
+def _sql_effects(split):
+    return [f"xs AS (SELECT * FROM x WHERE _id IN (SELECT _id FROM samples WHERE split = '{split}'))",
+            f"nd AS (SELECT count(*) AS n_docs FROM samples WHERE split = '{split}')",
+            "eff AS (SELECT st.term, st.occurance, c.w * st.sx / nd.n_docs AS attr, c.class AS pred, c.task "
+            "FROM (SELECT term, sum(x) AS sx, count(*) AS occurance FROM xs GROUP BY term) st CROSS JOIN nd "
+            "JOIN coef c ON c.term = st.term WHERE c.w * st.sx / nd.n_docs <> 0)"]
+
+
+def _effects(spark, sf_dir, split):
+    run = baseline.build(spark, sf_dir, TASKS)
+    ids = run.split_ids(split)
+    n_docs = ids.agg(F.count(F.lit(1)).alias("n_docs"))
+    return xa.global_effects(run.x.join(ids, "_id", "left_semi"), n_docs, run.coef)
+
+
+@register("global_effects", lambda: S.with_(_base_sql(*_sql_effects("test")),
+                                            "SELECT term, occurance, round(attr, 9) AS attr, pred, task FROM eff"))
+def global_effects(spark, sf_dir):
+    """X2 on the test split: ``coef * mean(x)`` per (task, class, term) with document counts."""
+    return _effects(spark, sf_dir, "test").withColumn("attr", F.round("attr", 9))
+
+
+@register("top5_features", lambda: S.with_(
+    _base_sql(*_sql_effects("train")),
+    "SELECT task, pred, rank, term, round(attr, 9) AS attr FROM (SELECT *, CAST(row_number() OVER "
+    "(PARTITION BY task, pred ORDER BY round(attr, 9) DESC, term ASC) AS INTEGER) AS rank FROM eff) WHERE rank <= 5"))
+def top5_features(spark, sf_dir):
+    """X3 on the train split: top 5 terms per (task, class) by average feature effect."""
+    eff = _effects(spark, sf_dir, "train").withColumn("attr", F.round("attr", 9))
+    return xa.top_features(eff, 5)
