@@ -308,3 +308,77 @@ def top5_features(spark, sf_dir):
     """X3 on the train split: top 5 terms per (task, class) by average feature effect."""
     eff = _effects(spark, sf_dir, "train").withColumn("attr", F.round("attr", 9))
     return xa.top_features(eff, 5)
+
+
+# ---- M7: pooling and labels -----------------------------------------------------------------------
+from termlens.functions import arrays as ar  # noqa: E402
+from termlens.operators import pooling  # noqa: E402
+from termlens.sources import tables  # noqa: E402
+
+_SEG_CTES = [
+    "seg AS (SELECT CAST(vec_id // 5 AS BIGINT) AS _id, CAST(vec_id % 5 AS INTEGER) AS segment, "
+    "list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS embedding, CAST(label AS INTEGER) AS label "
+    "FROM embeddings)",
+    "el AS (SELECT _id, segment, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM seg)",
+    "ea AS (SELECT _id, i, avg(v) AS a, max(v) AS m, sum(v) AS s FROM el GROUP BY _id, i)",
+    "vec AS (SELECT _id, list(a ORDER BY i) AS avg_v, list(m ORDER BY i) AS max_v, list(s ORDER BY i) AS sum_v "
+    "FROM ea GROUP BY _id)",
+    "lab AS (SELECT _id, arg_min(label, segment) AS label, count(*) AS n_segments, "
+    "arg_min(embedding, segment) AS first_v FROM seg GROUP BY _id)",
+]
+
+
+def _ln_sql(v):
+    mu = f"(list_sum({v}) / len({v}))"
+    var = f"(list_sum(list_transform({v}, lambda x: (x - {mu}) * (x - {mu}))) / len({v}))"
+    return f"list_transform({v}, lambda x: (x - {mu}) / sqrt({var} + CAST(1e-5 AS DOUBLE)))"
+
+
+_POOL_SQL = {
+    "avg_pool": "avg_v",
+    "avgmax_pool": "list_concat(avg_v, max_v)",
+    "avgmaxnorm_pool": _ln_sql("list_concat(avg_v, max_v)"),
+    "norm": _ln_sql("sum_v"),
+    "norm_sum_pool": "list_transform(sum_v, lambda x: x / greatest(sqrt(abs(x)), CAST(1e-5 AS DOUBLE)))",
+    "first": "first_v",
+}
+
+
+def _pool_sql(method):
+    expr = _POOL_SQL[method]
+    return lambda: S.with_(list(_SEG_CTES), f"SELECT lab._id, lab.label, lab.n_segments, "
+                                            f"list_transform({expr}, lambda x: round(x, 9)) AS embedding "
+                                            f"FROM lab JOIN vec ON lab._id = vec._id")
+
+
+def _pool_query(method):
+    def q(spark, sf_dir):
+        seg = pooling.segments_from_embeddings(tables.read_table(spark, sf_dir, "embeddings"))
+        return pooling.pool(seg, method)
+    q.__doc__ = f"G: {method} of the segment vectors of each sample."
+    return q
+
+
+for _name, _method in (("pool_avg", "avg_pool"), ("pool_avgmax", "avgmax_pool"),
+                       ("pool_avgmaxnorm", "avgmaxnorm_pool"), ("pool_norm", "norm"),
+                       ("pool_norm_sum", "norm_sum_pool"), ("pool_first", "first")):
+    register(_name, _pool_sql(_method))(_pool_query(_method))
+
+
+@register("label_index", lambda: S.with_([S.samples_cte(TASKS)],
+                                         "SELECT _id, [" + ", ".join(TASKS.names) + "] AS labels FROM samples"))
+def label_index(spark, sf_dir):
+    """L1: label vector per sample in task order."""
+    return tables.samples(spark, sf_dir, TASKS).select("_id", ar.label_index(TASKS).alias("labels"))
+
+
+def _sql_thermo():
+    parts = ", ".join(f"list_transform(range(0, {n + 1}), lambda i: CASE WHEN i <= {t} THEN 1 ELSE 0 END)"
+                      for t, n in TASKS.tasks)
+    return S.with_([S.samples_cte(TASKS)], f"SELECT _id, list_concat({parts}) AS labels FROM samples")
+
+
+@register("label_thermometer", _sql_thermo)
+def label_thermometer(spark, sf_dir):
+    """L2: thermometer (lower-triangular one-hot) labels concatenated over tasks."""
+    return tables.samples(spark, sf_dir, TASKS).select("_id", ar.thermometer(TASKS).alias("labels"))
