@@ -87,9 +87,12 @@ def keep_word(term, lang_col=None, german_variant: str = "modified") -> Column:
     return keep
 
 
+CLEAN_PUNCT = r"""([.,!?;:()\[\]"'])"""
+
+
 def clean_text(text) -> Column:
     """Pad punctuation with spaces, then squeeze runs of whitespace."""
-    padded = F.regexp_replace(col_(text), r"([.,!?;:()\[\]\"'])", " $1 ")
+    padded = F.regexp_replace(col_(text), CLEAN_PUNCT, " $1 ")
     return F.trim(F.regexp_replace(padded, r"\s+", " "))
 
 

@@ -382,3 +382,96 @@ def _sql_thermo():
 def label_thermometer(spark, sf_dir):
     """L2: thermometer (lower-triangular one-hot) labels concatenated over tasks."""
     return tables.samples(spark, sf_dir, TASKS).select("_id", ar.thermometer(TASKS).alias("labels"))
+
+
+# ---- M2: text ---------------------------------------------------------------------------------------
+from termlens.operators import segments  # noqa: E402
+
+
+def _sql_word_ngrams():
+    return (f"WITH w AS (SELECT item_id, {S.words_sql('text')} AS w FROM benchmark WHERE text IS NOT NULL), "
+            f"t AS (SELECT item_id, unnest({S.ngrams_sql('w')}) AS term FROM w) "
+            "SELECT item_id, term, count(*) AS tf, CAST(len(string_split(term, ' ')) AS VARCHAR) || 'gram' AS type "
+            "FROM t GROUP BY item_id, term")
+
+
+@register("word_ngrams", _sql_word_ngrams)
+def word_ngrams(spark, sf_dir):
+    """T2/T3/T4/V1 over the benchmark texts: (item_id, term, type, tf)."""
+    df = tables.read_table(spark, sf_dir, "benchmark").where(F.col("text").isNotNull())
+    return segments.word_ngram_counts(df, "item_id", "text")
+
+
+def _sql_windows(size, overlap):
+    return lambda: (
+        f"WITH t AS (SELECT doc_id, {S.words_sql('text')} AS t FROM documents WHERE text IS NOT NULL), "
+        f"w AS (SELECT doc_id, {S.windows_sql('t', size, overlap)} AS segs FROM t) "
+        "SELECT doc_id, segment, CAST(len(string_split(text, ' ')) AS INTEGER) AS n_tokens, text FROM "
+        "(SELECT doc_id, CAST(unnest(range(0, len(segs))) AS INTEGER) AS segment, unnest(segs) AS text FROM w)")
+
+
+def _windows_query(size, overlap, doc):
+    def q(spark, sf_dir):
+        df = tables.read_table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+        return segments.token_windows(df, "doc_id", "text", size, overlap)
+    q.__doc__ = doc
+    return q
+
+
+register("token_windows", _sql_windows(512, 0))(
+    _windows_query(512, 0, "T5/T7/L4: documents cut into windows of 512 word tokens."))
+register("overlapping_spans", _sql_windows(128, 20))(
+    _windows_query(128, 20, "T6: documents cut into spans of 128 word tokens overlapping by 20."))
+
+
+def _sql_sentences():
+    return (f"SELECT doc_id, CAST(unnest(range(0, len(s))) AS INTEGER) AS sent_idx, unnest(s) AS sentence FROM "
+            f"(SELECT doc_id, {S.sentence_split_sql('text')} AS s FROM documents WHERE text IS NOT NULL)")
+
+
+@register("sentences", _sql_sentences)
+def sentences(spark, sf_dir):
+    """Rule-based sentences of every document (lines, then sentence ends)."""
+    df = tables.read_table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    return segments.sentences(df, "doc_id", "text")
+
+
+def _sql_sectioned():
+    name = "trim(regexp_split_to_array(role, '(?i)(-|_|text)')[1])"
+    sents = f"flatten(list_transform(string_split(text, chr(10)), lambda ln: {S.sentence_split_sql('trim(ln)')}))"
+    spans = S.windows_sql("regexp_split_to_array(s, '\\s+')", segments.SPAN_SIZE, segments.SPAN_OVERLAP)
+    per = (f"flatten(list_transform(ss, lambda s: CASE WHEN length(s) > {segments.SPAN_LIMIT} THEN "
+           f"list_transform({spans}, lambda sp: nm || ': ' || sp) ELSE [nm || ': ' || s] END))")
+    return (f"SELECT conv_id, turn, CAST(unnest(range(0, len(p))) AS INTEGER) AS sent_idx, unnest(p) AS sentence "
+            f"FROM (SELECT conv_id, turn, {per} AS p FROM "
+            f"(SELECT conv_id, turn, {name} AS nm, {sents} AS ss FROM conversations WHERE text IS NOT NULL))")
+
+
+@register("sectioned_sentences", _sql_sectioned)
+def sectioned_sentences(spark, sf_dir):
+    """Conversation turns as sections (role = section name), sentences prefixed "<role>: "."""
+    df = tables.read_table(spark, sf_dir, "conversations").where(F.col("text").isNotNull())
+    return segments.sectioned_sentences(df, ["conv_id", "turn"], "text", "role")
+
+
+def _sql_label_profile():
+    return S.with_([S.samples_cte(TASKS), f"ll AS ({S.labels_long_sql(TASKS)})",
+                    "pl AS (SELECT s.split, ll.task, ll.label, count(*) AS n FROM ll JOIN samples s ON s._id = ll._id "
+                    "GROUP BY s.split, ll.task, ll.label)"],
+                   "SELECT pl.split, pl.task, pl.label, pl.n, t.n_rows, t.n_distinct FROM pl JOIN "
+                   "(SELECT split, task, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_distinct FROM pl "
+                   "GROUP BY split, task) t ON t.split = pl.split AND t.task = pl.task")
+
+
+@register("label_profile", _sql_label_profile)
+def label_profile(spark, sf_dir):
+    """Per split and task: label counts, rows, distinct labels."""
+    return segments.label_profile(tables.samples(spark, sf_dir, TASKS), TASKS)
+
+
+@register("clean_text", lambda: (
+    f"SELECT item_id, trim(regexp_replace(regexp_replace(text, '{S.CLEAN_PUNCT_SQL}', ' \\1 ', 'g'), "
+    "'\\s+', ' ', 'g')) AS text FROM benchmark"))
+def clean_text(spark, sf_dir):
+    """Benchmark texts with punctuation padded and whitespace squeezed."""
+    return segments.cleaned(tables.read_table(spark, sf_dir, "benchmark"), "item_id", "text")

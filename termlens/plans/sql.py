@@ -150,3 +150,32 @@ def exclusive_top_sql(over, k: int, src: str = "agg") -> str:
 
 def with_(ctes: list[str], body: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
+
+
+# ---- text ------------------------------------------------------------------------------------------
+LINE_RE = r"\n|<\s*?br\s*?/\s*?>"
+
+
+def words_sql(text: str) -> str:
+    return f"regexp_extract_all(lower({text}), '{WORD_RE}')"
+
+
+def ngrams_sql(w: str) -> str:
+    return "list_concat(" + ", ".join(_ngram_sql(w, n) for n in (1, 2, 3)) + ")"
+
+
+def sentence_split_sql(text: str) -> str:
+    pieces = (f"flatten(list_transform(regexp_split_to_array({text}, '{LINE_RE}'), lambda ln: "
+              f"string_split(regexp_replace(ln, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))))")
+    return f"list_filter(list_transform({pieces}, lambda s: trim(s)), lambda s: s <> '')"
+
+
+def windows_sql(tokens: str, size: int, overlap: int) -> str:
+    step = size - overlap
+    cnt = (f"(CASE WHEN len({tokens}) <= {size} THEN 1 ELSE 1 + CAST(ceil((len({tokens}) - {size}) / "
+           f"CAST({step} AS DOUBLE)) AS INTEGER) END)")
+    return (f"(CASE WHEN len({tokens}) = 0 THEN [] ELSE list_transform(range(0, {cnt}), lambda k: "
+            f"array_to_string(list_slice({tokens}, 1 + k * {step}, k * {step} + {size}), ' ')) END)")
+
+
+CLEAN_PUNCT_SQL = "([.,!?;:()\\[\\]\"''])"
