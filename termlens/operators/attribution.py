@@ -53,60 +53,51 @@ def class_contributions(x: DataFrame, coef: DataFrame) -> DataFrame:
             .agg(F.sum(F.col("x") * F.col("w")).alias("dot")))
 
 
-def path_weights(scores: DataFrame, bias: DataFrame, preds: DataFrame, n_steps: int = 50,
-                 single_point: bool = False) -> DataFrame:
-    """X6/X7 per (_id, task, target class): ``m_k`` for every class k, and ``p_c`` at 0 and 1.
-
-    ``scores`` holds ``(_id, task, class, dot)`` for every class (missing = 0). Logits along the path are
-    ``alpha * dot_k + b_k``. Midpoint rule over ``n_steps`` points (or alpha = 1 only for LGXA).
-    """
-    grouped = (scores.join(F.broadcast(bias), ["task", "class"])
-               .groupBy("_id", "task")
-               .agg(F.sort_array(F.collect_list(F.struct("class", "dot", "b"))).alias("cls")))
-    g = grouped.join(preds.select("_id", "task", F.col("pred").alias("target")), ["_id", "task"])
-
-    def probs(alpha):
-        logits = F.transform(F.col("cls"), lambda e: alpha * e["dot"] + e["b"])
-        mx = F.array_max(logits)
-        ex = F.transform(logits, lambda z: F.exp(z - mx))
-        tot = F.aggregate(ex, F.lit(0.0), lambda acc, v: acc + v)
-        return F.transform(ex, lambda v: v / tot)
-
-    tgt_pos = F.col("target") + 1  # classes are 0..K-1, sorted
-
-    def m_vector(alpha):
-        p = probs(alpha)
-        pc = F.element_at(p, tgt_pos)
-        return F.transform(p, lambda pk, k: F.when(k + 1 == tgt_pos, pc * (1 - pc)).otherwise(-pc * pk))
-
-    if single_point:
-        m = m_vector(F.lit(1.0))
-    else:
-        steps = F.transform(F.sequence(F.lit(0), F.lit(n_steps - 1)),
-                            lambda s: (s.cast("double") + 0.5) / n_steps)
-        k_count = F.size(F.col("cls"))
-        zero = F.transform(F.sequence(F.lit(1), k_count), lambda _: F.lit(0.0))
-        # fold over the path points: element-wise running sum of m(alpha)
-        m_sum = F.aggregate(
-            steps, zero,
-            lambda acc, a: F.zip_with(acc, _m_at(a, tgt_pos), lambda u, v: u + v))
-        m = F.transform(m_sum, lambda v: v / n_steps)
-    p0 = F.element_at(probs(F.lit(0.0)), tgt_pos)
-    p1 = F.element_at(probs(F.lit(1.0)), tgt_pos)
-    return g.select("_id", "task", "target", F.posexplode(m).alias("class", "m"),
-                    p0.alias("p0"), p1.alias("p1"))
+def full_contributions(spark, x: DataFrame, ids: DataFrame, coef: DataFrame, tasks) -> DataFrame:
+    """``(_id, task, class, dot)`` for every document of ``ids`` and every configured class (0 if none)."""
+    dots = class_contributions(x, coef)
+    grid = ids.select("_id").crossJoin(F.broadcast(tasks.class_table(spark).select("task", "class")))
+    return grid.join(dots, ["_id", "task", "class"], "left").select(
+        "_id", "task", "class", F.coalesce(F.col("dot"), F.lit(0.0)).alias("dot"))
 
 
-def _m_at(alpha, tgt_pos):
+def _probs(alpha):
     logits = F.transform(F.col("cls"), lambda e: alpha * e["dot"] + e["b"])
     mx = F.array_max(logits)
     ex = F.transform(logits, lambda z: F.exp(z - mx))
     tot = F.aggregate(ex, F.lit(0.0), lambda acc, v: acc + v)
-    p = F.transform(ex, lambda v: v / tot)
+    return F.transform(ex, lambda v: v / tot)
+
+
+def _m_at(alpha, tgt_pos):
+    p = _probs(alpha)
     pc = F.element_at(p, tgt_pos)
     return F.transform(p, lambda pk, k: F.when(k + 1 == tgt_pos, pc * (1 - pc)).otherwise(-pc * pk))
 
 
+def path_weights(dots: DataFrame, bias: DataFrame, preds: DataFrame, n_steps: int = 50,
+                 single_point: bool = False) -> DataFrame:
+    """Per (_id, task) and class k the weight ``m_k`` (see module doc), plus ``p0``/``p1`` = the
+    target class probability at alpha 0 and 1. Logits along the path are ``alpha * dot_k + b_k``;
+    midpoint rule over ``n_steps`` points, or alpha = 1 only (LGXA). Groups hold one entry per class."""
+    grouped = (dots.join(F.broadcast(bias), ["task", "class"])
+               .groupBy("_id", "task")
+               .agg(F.sort_array(F.collect_list(F.struct("class", "dot", "b"))).alias("cls")))
+    g = grouped.join(preds.select("_id", "task", F.col("pred").alias("target")), ["_id", "task"])
+    tgt_pos = F.col("target") + 1  # classes are 0..K-1, sorted
+    if single_point:
+        m = _m_at(F.lit(1.0), tgt_pos)
+    else:
+        alphas = F.transform(F.sequence(F.lit(0), F.lit(n_steps - 1)), lambda s: (s.cast("double") + 0.5) / n_steps)
+        zero = F.transform(F.col("cls"), lambda e: F.lit(0.0))
+        m_sum = F.aggregate(alphas, zero, lambda acc, a: F.zip_with(acc, _m_at(a, tgt_pos), lambda u, v: u + v))
+        m = F.transform(m_sum, lambda v: v / n_steps)
+    p0 = F.element_at(_probs(F.lit(0.0)), tgt_pos)
+    p1 = F.element_at(_probs(F.lit(1.0)), tgt_pos)
+    staged = g.select("_id", "task", "target", m.alias("_m"), p0.alias("p0"), p1.alias("p1"))
+    return staged.select("_id", "task", "target", F.posexplode("_m").alias("class", "m"), "p0", "p1")
+
+
 def softmax_attributions(x: DataFrame, coef: DataFrame, weights: DataFrame, preds: DataFrame) -> DataFrame:
     """X6/X7 rows: ``attr_j = sum_k m_k * x_j * W_kj`` for present terms."""
     j = (x.join(weights.select("_id", "task", "class", "m"), "_id")

@@ -69,3 +69,13 @@ def corpus_shape(samples: DataFrame, x: DataFrame) -> DataFrame:
                   F.countDistinct("term").alias("n_features"),
                   F.count(F.lit(1)).alias("n_nonzero")))
     return per_split.join(feats, "split", "left")
+
+
+def document_tokens(samples: DataFrame, stopwords: bool = True, id_col: str = "_id", text_col: str = "text",
+                    lang_col: str | None = "lang", pattern: str = tx.WORD_PATTERN) -> DataFrame:
+    """The analyzer's word sequence as rows ``(_id, pos, token)`` (0-based positions after stop-word removal)."""
+    w = tx.words(text_col, pattern)
+    if stopwords and lang_col is not None:
+        w = tx.drop_stopwords(w, lang_col)
+    staged = samples.select(F.col(id_col).alias("_id"), w.alias("_w"))
+    return staged.select("_id", F.posexplode_outer("_w").alias("pos", "token")).where(F.col("token").isNotNull())

@@ -475,3 +475,70 @@ def label_profile(spark, sf_dir):
 def clean_text(spark, sf_dir):
     """Benchmark texts with punctuation padded and whitespace squeezed."""
     return segments.cleaned(tables.read_table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+# ---- M5: attribution methods ----------------------------------------------------------------------
+from termlens.operators import vectorize  # noqa: E402
+
+ATTR_COLS = "_id, task, term, round(attr, 9) AS attr, type, pred, label, index"
+ATTR_SPLIT = "test"
+
+
+def _rounded_attrs(df):
+    return df.select("_id", "task", "term", F.round("attr", 9).alias("attr"), "type", "pred", "label", "index")
+
+
+@register("attr_lrp", lambda: S.with_(_base_sql(), f"SELECT {ATTR_COLS} FROM attrs WHERE split = '{ATTR_SPLIT}'"))
+def attr_lrp(spark, sf_dir):
+    """Relevance ``x_j * W[pred, j]`` of every present term, test split."""
+    run = baseline.build(spark, sf_dir, TASKS)
+    return _rounded_attrs(run.attributions(ATTR_SPLIT))
+
+
+def _ig_query(n_steps, doc):
+    def q(spark, sf_dir):
+        run = baseline.build(spark, sf_dir, TASKS)
+        ids = run.split_ids(ATTR_SPLIT)
+        x = run.x.join(ids, "_id", "left_semi")
+        dots = xa.full_contributions(spark, x, ids, run.coef, TASKS)
+        wts = xa.path_weights(dots, run.bias, run.preds, n_steps or 1, single_point=n_steps is None)
+        return _rounded_attrs(xa.softmax_attributions(x, run.coef, wts, run.preds))
+    q.__doc__ = doc
+    return q
+
+
+register("attr_ig", lambda: S.with_(_base_sql(*S.ig_ctes(ATTR_SPLIT, 50)), f"SELECT {ATTR_COLS} FROM ig"))(
+    _ig_query(50, "X6: integrated gradients of the predicted-class probability (50 midpoints), closed form."))
+register("attr_lgxa", lambda: S.with_(_base_sql(*S.ig_ctes(ATTR_SPLIT, None)), f"SELECT {ATTR_COLS} FROM ig"))(
+    _ig_query(None, "X7: gradient x activation of the predicted-class probability (alpha = 1)."))
+
+
+@register("attr_normed", lambda: S.with_(_base_sql(
+    f"ta AS (SELECT * FROM attrs WHERE split = '{ATTR_SPLIT}')",
+    "nrm AS (SELECT _id, task, sqrt(sum(attr * attr)) AS n FROM ta GROUP BY _id, task)"),
+    "SELECT ta._id, ta.task, ta.term, round(coalesce(ta.attr / NULLIF(nrm.n, 0), 0), 9) AS attr, ta.type, ta.pred, "
+    "ta.label, ta.index FROM ta JOIN nrm ON nrm._id = ta._id AND nrm.task = ta.task"))
+def attr_normed(spark, sf_dir):
+    """Relevance L2-normalised over each document and task."""
+    run = baseline.build(spark, sf_dir, TASKS)
+    return _rounded_attrs(xa.l2_normalize(run.attributions(ATTR_SPLIT)))
+
+
+@register("attr_gradnorm", lambda: S.with_(_base_sql(
+    f"tx AS (SELECT * FROM x WHERE _id IN (SELECT _id FROM samples WHERE split = '{ATTR_SPLIT}'))"),
+    "SELECT tx._id, p.task, tx.term, round(abs(c.w), 9) AS attr, "
+    "CAST(len(string_split(tx.term, ' ')) AS VARCHAR) || 'gram' AS type, p.pred, p.label, p.pred AS index "
+    "FROM tx JOIN preds p ON p._id = tx._id JOIN coef c ON c.term = tx.term AND c.task = p.task AND c.class = p.pred"))
+def attr_gradnorm(spark, sf_dir):
+    """Gradient magnitude ``|W[pred, j]|`` of every present term."""
+    run = baseline.build(spark, sf_dir, TASKS)
+    x = run.x.join(run.split_ids(ATTR_SPLIT), "_id", "left_semi")
+    return _rounded_attrs(xa.gradient_norm_attributions(x, run.preds, run.coef))
+
+
+@register("attr_random", lambda: S.with_(_base_sql(S.tokens_cte(ATTR_SPLIT)),
+                                         f"SELECT _id, pos, token, {S.random_attr_sql(0)} AS attr FROM tokens"))
+def attr_random(spark, sf_dir):
+    """Repeatable random token scores (md5 of id, position, seed) for the test split."""
+    s = tables.samples(spark, sf_dir, TASKS).where(F.col("split") == ATTR_SPLIT)
+    return xa.random_attributions(vectorize.document_tokens(s), seed=0)

@@ -179,3 +179,42 @@ def windows_sql(tokens: str, size: int, overlap: int) -> str:
 
 
 CLEAN_PUNCT_SQL = "([.,!?;:()\\[\\]\"''])"
+
+
+def ig_ctes(split: str, n_steps: int | None) -> list[str]:
+    """Softmax-linear integrated gradients (``n_steps`` midpoints) or LGXA (``None``: alpha = 1)."""
+    steps = (f"SELECT (CAST(i AS DOUBLE) + 0.5) / {n_steps} AS a FROM range(0, {n_steps}) t(i)" if n_steps
+             else "SELECT CAST(1.0 AS DOUBLE) AS a")
+    return [
+        f"tx AS (SELECT * FROM x WHERE _id IN (SELECT _id FROM samples WHERE split = '{split}'))",
+        "tdots AS (SELECT tx._id, c.task, c.class, sum(tx.x * c.w) AS dot FROM tx JOIN coef c ON tx.term = c.term "
+        "GROUP BY tx._id, c.task, c.class)",
+        "grid AS (SELECT s._id, cl.task, cl.class, coalesce(d.dot, 0) AS dot, b.b FROM samples s CROSS JOIN classes cl "
+        "LEFT JOIN tdots d ON d._id = s._id AND d.task = cl.task AND d.class = cl.class "
+        f"JOIN bias b ON b.task = cl.task AND b.class = cl.class WHERE s.split = '{split}')",
+        f"steps AS ({steps})",
+        "lg AS (SELECT g._id, g.task, g.class, st.a, st.a * g.dot + g.b AS z FROM grid g CROSS JOIN steps st)",
+        "lg2 AS (SELECT *, exp(z - max(z) OVER (PARTITION BY _id, task, a)) AS ex FROM lg)",
+        "pr AS (SELECT _id, task, class, a, ex / sum(ex) OVER (PARTITION BY _id, task, a) AS p FROM lg2)",
+        "pc AS (SELECT pr._id, pr.task, pr.a, pr.p AS pc, pd.pred FROM pr JOIN preds pd "
+        "ON pd._id = pr._id AND pd.task = pr.task AND pd.pred = pr.class)",
+        "mw AS (SELECT pr._id, pr.task, pr.class, avg(CASE WHEN pr.class = pc.pred THEN pc.pc * (1 - pc.pc) "
+        "ELSE -pc.pc * pr.p END) AS m FROM pr JOIN pc ON pc._id = pr._id AND pc.task = pr.task AND pc.a = pr.a "
+        "GROUP BY pr._id, pr.task, pr.class)",
+        "igt AS (SELECT tx._id, mw.task, tx.term, sum(mw.m * tx.x * c.w) AS attr FROM tx JOIN mw ON mw._id = tx._id "
+        "JOIN coef c ON c.term = tx.term AND c.task = mw.task AND c.class = mw.class GROUP BY tx._id, mw.task, tx.term)",
+        "ig AS (SELECT igt._id, igt.task, igt.term, igt.attr, p.pred, p.label, p.pred AS index, "
+        "CAST(len(string_split(igt.term, ' ')) AS VARCHAR) || 'gram' AS type FROM igt JOIN preds p "
+        "ON p._id = igt._id AND p.task = igt.task)",
+    ]
+
+
+def tokens_cte(split: str | None = None) -> str:
+    where = f" WHERE _id IN (SELECT _id FROM samples WHERE split = '{split}')" if split else ""
+    return (f"tokens AS (SELECT _id, CAST(unnest(range(0, len(w))) AS INTEGER) AS pos, unnest(w) AS token "
+            f"FROM words{where})")
+
+
+def random_attr_sql(seed: int = 0) -> str:
+    return (f"CAST(('0x' || substr(md5(CAST(_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR) || ':{seed}'), 1, 8))"
+            f"::BIGINT AS DOUBLE) / 4294967296.0")
