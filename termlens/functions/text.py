@@ -127,7 +127,7 @@ def chunk_starts(n_tokens, size: int, overlap: int = 0) -> Column:
 
 def regex_escape(term) -> Column:
     """Escape every regex metacharacter of a literal term."""
-    return F.regexp_replace(col_(term), r"([\\.\[\]{}()*+?^$|])", r"\\\\$1")
+    return F.regexp_replace(col_(term), r"([\\.\[\]{}()*+?^$|])", r"\\$1")
 
 
 PHRASE_GAP = r"\b(?:.{0,12}|\s)\b"

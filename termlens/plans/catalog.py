@@ -542,3 +542,33 @@ def attr_random(spark, sf_dir):
     """Repeatable random token scores (md5 of id, position, seed) for the test split."""
     s = tables.samples(spark, sf_dir, TASKS).where(F.col("split") == ATTR_SPLIT)
     return xa.random_attributions(vectorize.document_tokens(s), seed=0)
+
+
+# ---- M6: evaluation -------------------------------------------------------------------------------
+from termlens.operators import masking  # noqa: E402
+from termlens.plans import evaluation  # noqa: E402
+
+
+@register("removal_curve", lambda: S.with_(_base_sql(*S.removal_ctes(TASKS)), "SELECT * FROM curve"))
+def removal_curve(spark, sf_dir):
+    """Token-removal curve on the eval split for lrp, ig, lgxa and random rankings."""
+    return evaluation.removal_curve(spark, sf_dir)
+
+
+@register("removal_f1", lambda: S.with_(
+    _base_sql(*S.removal_ctes(TASKS)),
+    "SELECT method, task, removed_percentile, round(CAST(sum(CASE WHEN label = pred THEN 1 ELSE 0 END) AS DOUBLE) "
+    "/ count(*), 9) AS f1, round(avg(removed_tokens), 9) AS mean_removed_tokens FROM curve "
+    "GROUP BY method, task, removed_percentile"))
+def removal_f1(spark, sf_dir):
+    """Micro-F1 and mean removed tokens per (method, task, percentile)."""
+    return masking.removal_f1(evaluation.removal_curve(spark, sf_dir))
+
+
+@register("removal_label_counts", lambda: S.with_(
+    _base_sql(*S.removal_ctes(TASKS)),
+    "SELECT task, label, count(*) AS n_docs FROM (SELECT task, _id, arg_min(label, removed_percentile) AS label "
+    "FROM curve GROUP BY task, _id) GROUP BY task, label"))
+def removal_label_counts(spark, sf_dir):
+    """Distinct documents per label in the removal evaluation."""
+    return masking.docs_per_label(evaluation.removal_curve(spark, sf_dir))

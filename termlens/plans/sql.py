@@ -181,32 +181,34 @@ def windows_sql(tokens: str, size: int, overlap: int) -> str:
 CLEAN_PUNCT_SQL = "([.,!?;:()\\[\\]\"''])"
 
 
-def ig_ctes(split: str, n_steps: int | None) -> list[str]:
+def ig_ctes(split: str, n_steps: int | None, prefix: str = "") -> list[str]:
     """Softmax-linear integrated gradients (``n_steps`` midpoints) or LGXA (``None``: alpha = 1)."""
     steps = (f"SELECT (CAST(i AS DOUBLE) + 0.5) / {n_steps} AS a FROM range(0, {n_steps}) t(i)" if n_steps
              else "SELECT CAST(1.0 AS DOUBLE) AS a")
-    return [
-        f"tx AS (SELECT * FROM x WHERE _id IN (SELECT _id FROM samples WHERE split = '{split}'))",
-        "tdots AS (SELECT tx._id, c.task, c.class, sum(tx.x * c.w) AS dot FROM tx JOIN coef c ON tx.term = c.term "
-        "GROUP BY tx._id, c.task, c.class)",
-        "grid AS (SELECT s._id, cl.task, cl.class, coalesce(d.dot, 0) AS dot, b.b FROM samples s CROSS JOIN classes cl "
-        "LEFT JOIN tdots d ON d._id = s._id AND d.task = cl.task AND d.class = cl.class "
+    P = prefix
+    out = [
+        f"{P}tx AS (SELECT * FROM x WHERE _id IN (SELECT _id FROM samples WHERE split = '{split}'))",
+        "{P}tdots AS (SELECT {P}tx._id, c.task, c.class, sum({P}tx.x * c.w) AS dot FROM {P}tx JOIN coef c ON {P}tx.term = c.term "
+        "GROUP BY {P}tx._id, c.task, c.class)",
+        "{P}grid AS (SELECT s._id, cl.task, cl.class, coalesce(d.dot, 0) AS dot, b.b FROM samples s CROSS JOIN classes cl "
+        "LEFT JOIN {P}tdots d ON d._id = s._id AND d.task = cl.task AND d.class = cl.class "
         f"JOIN bias b ON b.task = cl.task AND b.class = cl.class WHERE s.split = '{split}')",
-        f"steps AS ({steps})",
-        "lg AS (SELECT g._id, g.task, g.class, st.a, st.a * g.dot + g.b AS z FROM grid g CROSS JOIN steps st)",
-        "lg2 AS (SELECT *, exp(z - max(z) OVER (PARTITION BY _id, task, a)) AS ex FROM lg)",
-        "pr AS (SELECT _id, task, class, a, ex / sum(ex) OVER (PARTITION BY _id, task, a) AS p FROM lg2)",
-        "pc AS (SELECT pr._id, pr.task, pr.a, pr.p AS pc, pd.pred FROM pr JOIN preds pd "
+        f"{P}steps AS ({steps})",
+        "{P}lg AS (SELECT g._id, g.task, g.class, st.a, st.a * g.dot + g.b AS z FROM {P}grid g CROSS JOIN {P}steps st)",
+        "{P}lg2 AS (SELECT *, exp(z - max(z) OVER (PARTITION BY _id, task, a)) AS ex FROM {P}lg)",
+        "{P}pr AS (SELECT _id, task, class, a, ex / sum(ex) OVER (PARTITION BY _id, task, a) AS p FROM {P}lg2)",
+        "{P}pc AS (SELECT pr._id, pr.task, pr.a, pr.p AS pc, pd.pred FROM {P}pr pr JOIN preds pd "
         "ON pd._id = pr._id AND pd.task = pr.task AND pd.pred = pr.class)",
-        "mw AS (SELECT pr._id, pr.task, pr.class, avg(CASE WHEN pr.class = pc.pred THEN pc.pc * (1 - pc.pc) "
-        "ELSE -pc.pc * pr.p END) AS m FROM pr JOIN pc ON pc._id = pr._id AND pc.task = pr.task AND pc.a = pr.a "
+        "{P}mw AS (SELECT pr._id, pr.task, pr.class, avg(CASE WHEN pr.class = pc.pred THEN pc.pc * (1 - pc.pc) "
+        "ELSE -pc.pc * pr.p END) AS m FROM {P}pr pr JOIN {P}pc pc ON pc._id = pr._id AND pc.task = pr.task AND pc.a = pr.a "
         "GROUP BY pr._id, pr.task, pr.class)",
-        "igt AS (SELECT tx._id, mw.task, tx.term, sum(mw.m * tx.x * c.w) AS attr FROM tx JOIN mw ON mw._id = tx._id "
-        "JOIN coef c ON c.term = tx.term AND c.task = mw.task AND c.class = mw.class GROUP BY tx._id, mw.task, tx.term)",
-        "ig AS (SELECT igt._id, igt.task, igt.term, igt.attr, p.pred, p.label, p.pred AS index, "
-        "CAST(len(string_split(igt.term, ' ')) AS VARCHAR) || 'gram' AS type FROM igt JOIN preds p "
+        "{P}igt AS (SELECT {P}tx._id, mw.task, {P}tx.term, sum(mw.m * {P}tx.x * c.w) AS attr FROM {P}tx JOIN {P}mw mw ON mw._id = {P}tx._id "
+        "JOIN coef c ON c.term = {P}tx.term AND c.task = mw.task AND c.class = mw.class GROUP BY {P}tx._id, mw.task, {P}tx.term)",
+        "{P}ig AS (SELECT igt._id, igt.task, igt.term, igt.attr, p.pred, p.label, p.pred AS index, "
+        "CAST(len(string_split(igt.term, ' ')) AS VARCHAR) || 'gram' AS type FROM {P}igt igt JOIN preds p "
         "ON p._id = igt._id AND p.task = igt.task)",
     ]
+    return [c.replace('{P}', P) for c in out]
 
 
 def tokens_cte(split: str | None = None) -> str:
@@ -218,3 +220,82 @@ def tokens_cte(split: str | None = None) -> str:
 def random_attr_sql(seed: int = 0) -> str:
     return (f"CAST(('0x' || substr(md5(CAST(_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR) || ':{seed}'), 1, 8))"
             f"::BIGINT AS DOUBLE) / 4294967296.0")
+
+
+def prefixed_ig_ctes(prefix: str, split: str, n_steps: int | None) -> list[str]:
+    return ig_ctes(split, n_steps, prefix)
+
+
+def removal_ctes(tasks, split: str = "eval", methods=("lrp", "ig", "lgxa", "random")) -> list[str]:
+    from termlens.operators.masking import PERCENTILES
+
+    grams = ", ".join(
+        f"[{{'start': i - 1, 'n': {n}, 'term': array_to_string(list_slice(w, i, i + {n - 1}), ' ')}} "
+        f"FOR i IN range(1, len(w) - {n - 2})]" for n in (1, 2, 3))
+    ta = []
+    ctes = []
+    if "lrp" in methods:
+        ta.append(f"SELECT 'lrp' AS method, _id, task, term, attr FROM attrs WHERE split = '{split}'")
+    for name, steps in (("ig", 50), ("lgxa", None)):
+        if name in methods:
+            ctes += prefixed_ig_ctes(f"{name}_", split, steps)
+            ta.append(f"SELECT '{name}' AS method, _id, task, term, attr FROM {name}_ig")
+    pts = ", ".join(f"({p})" for p in [0] + PERCENTILES)
+    mvals = ", ".join(f"('{m}')" for m in methods)
+    rnd = random_attr_sql(0)
+    ctes += [
+        f"ew AS (SELECT _id, w FROM words WHERE _id IN (SELECT _id FROM samples WHERE split = '{split}'))",
+        f"occ AS (SELECT _id, o.start AS start, o.n AS n, o.term AS term FROM "
+        f"(SELECT _id, unnest(list_concat({grams})) AS o FROM ew))",
+        "occv AS (SELECT occ.*, v.idf FROM occ JOIN vocab v ON v.term = occ.term)",
+        "dlen AS (SELECT _id, CAST(len(w) AS INTEGER) AS n_tokens FROM ew)",
+        "etok AS (SELECT _id, CAST(unnest(range(0, len(w))) AS INTEGER) AS pos FROM ew)",
+        f"mt AS (SELECT m.method, t.task FROM (VALUES {mvals}) m(method) CROSS JOIN "
+        f"(SELECT DISTINCT task FROM classes) t)",
+        "tgrid AS (SELECT mt.method, etok._id, mt.task, etok.pos FROM etok CROSS JOIN mt)",
+        "ta AS (" + " UNION ALL ".join(ta) + ")" if ta else "ta AS (SELECT NULL AS method WHERE false)",
+        "tfo AS (SELECT _id, term, count(*) AS tf FROM occv GROUP BY _id, term)",
+        "share AS (SELECT ta.method, ta._id, ta.task, ta.term, ta.attr / tfo.tf AS a FROM ta JOIN tfo "
+        "ON tfo._id = ta._id AND tfo.term = ta.term)",
+        "cov AS (SELECT _id, start, n, term, unnest(range(start, start + n)) AS pos FROM occv)",
+        "rel AS (SELECT sh.method, cov._id, sh.task, cov.pos, sum(sh.a / cov.n) AS r FROM cov JOIN share sh "
+        "ON sh._id = cov._id AND sh.term = cov.term GROUP BY sh.method, cov._id, sh.task, cov.pos "
+        f"UNION ALL SELECT method, _id, task, pos, {rnd} AS r FROM tgrid WHERE method = 'random')",
+        "rk AS (SELECT g.method, g._id, g.task, g.pos, row_number() OVER (PARTITION BY g.method, g._id, g.task "
+        "ORDER BY round(coalesce(r.r, 0), 9) DESC, g.pos ASC) AS rank FROM tgrid g LEFT JOIN rel r "
+        "ON r.method = g.method AND r._id = g._id AND r.task = g.task AND r.pos = g.pos)",
+        "mr AS (SELECT rk.method, cov._id, rk.task, cov.start, cov.n, cov.term, min(rk.rank) AS mr FROM cov "
+        "JOIN rk ON rk._id = cov._id AND rk.pos = cov.pos GROUP BY rk.method, cov._id, rk.task, cov.start, cov.n, cov.term)",
+        "grp AS (SELECT method, _id, task, term, mr, count(*) AS cnt FROM mr GROUP BY method, _id, task, term, mr)",
+        f"pts AS (SELECT p FROM (VALUES {pts}) t(p))",
+        "cuts AS (SELECT d._id, pts.p, CAST(floor(CAST(greatest(d.n_tokens - 1, 0) * pts.p AS DOUBLE) / 100) AS INTEGER) "
+        "AS cut FROM dlen d CROSS JOIN pts)",
+        "alive AS (SELECT g.method, g._id, g.task, c.p, g.term, sum(g.cnt) AS tf FROM grp g JOIN cuts c "
+        "ON c._id = g._id WHERE g.mr > c.cut GROUP BY g.method, g._id, g.task, c.p, g.term)",
+        "vv AS (SELECT a.method, a._id, a.task, a.p, a.term, a.tf * v.idf AS v FROM alive a JOIN vocab v ON v.term = a.term)",
+        "nrm AS (SELECT method, _id, task, p, sqrt(sum(v * v)) AS norm FROM vv GROUP BY method, _id, task, p)",
+        "dts AS (SELECT vv.method, vv._id, vv.task, vv.p, c.class, sum(vv.v * c.w) AS dot FROM vv JOIN coef c "
+        "ON c.term = vv.term AND c.task = vv.task GROUP BY vv.method, vv._id, vv.task, vv.p, c.class)",
+        "kk AS (SELECT DISTINCT method, _id, task FROM rk)",
+        "sg AS (SELECT kk.method, kk._id, kk.task, cu.p, cu.cut AS removed_tokens, cl.class FROM kk "
+        "JOIN cuts cu ON cu._id = kk._id JOIN classes cl ON cl.task = kk.task)",
+        "sc AS (SELECT sg.*, round(coalesce(d.dot / NULLIF(n.norm, 0), 0) + b.b, 9) AS score FROM sg "
+        "LEFT JOIN nrm n ON n.method = sg.method AND n._id = sg._id AND n.task = sg.task AND n.p = sg.p "
+        "LEFT JOIN dts d ON d.method = sg.method AND d._id = sg._id AND d.task = sg.task AND d.p = sg.p "
+        "AND d.class = sg.class JOIN bias b ON b.task = sg.task AND b.class = sg.class)",
+        "bst AS (SELECT method, _id, task, p, removed_tokens, class AS pred, mx FROM (SELECT *, row_number() OVER "
+        "(PARTITION BY method, _id, task, p ORDER BY score DESC, class ASC) AS rn, max(score) OVER "
+        "(PARTITION BY method, _id, task, p) AS mx FROM sc) WHERE rn = 1)",
+        "zz AS (SELECT sc.method, sc._id, sc.task, sc.p, sum(exp(sc.score - b.mx)) AS z FROM sc JOIN bst b "
+        "ON b.method = sc.method AND b._id = sc._id AND b.task = sc.task AND b.p = sc.p "
+        "GROUP BY sc.method, sc._id, sc.task, sc.p)",
+        "p0 AS (SELECT method, _id, task, pred AS pred0 FROM bst WHERE p = 0)",
+        "s0 AS (SELECT sc.method, sc._id, sc.task, sc.p, sc.score AS s0 FROM sc JOIN p0 ON p0.method = sc.method "
+        "AND p0._id = sc._id AND p0.task = sc.task WHERE sc.class = p0.pred0)",
+        "curve AS (SELECT b.method, b._id, b.task, l.label, b.pred, round(exp(s0.s0 - b.mx) / zz.z, 9) AS confidence, "
+        "b.p AS removed_percentile, b.removed_tokens FROM bst b "
+        "JOIN zz ON zz.method = b.method AND zz._id = b._id AND zz.task = b.task AND zz.p = b.p "
+        "JOIN s0 ON s0.method = b.method AND s0._id = b._id AND s0.task = b.task AND s0.p = b.p "
+        "JOIN labels_long l ON l._id = b._id AND l.task = b.task)",
+    ]
+    return ctes
