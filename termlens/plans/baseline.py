@@ -40,10 +40,42 @@ class BaselineRun:
         return a.join(self.samples.select("_id", "split"), "_id")
 
 
+_RUNS: dict = {}
+
+
 def build(spark: SparkSession, sf_dir: str, tasks: TaskMap = DEFAULT_TASKS,
           cfg: VectorizerConfig | None = None, scorer: str = "centroid",
-          train_split: str = "train") -> BaselineRun:
+          train_split: str = "train", cache: bool = True) -> BaselineRun:
+    """Build (or reuse, within the session) the fitted chain.
+
+    With ``cache`` the reused stages (samples, vocabulary, tf-idf, model, predictions) are persisted
+    (memory and disk) the first time an action touches them, so every report built on the same run
+    reads them instead of re-fitting; a lost cached block is recomputed from its lineage.
+    """
     cfg = cfg or VectorizerConfig()
+    key = (id(spark.sparkContext), spark.sparkContext.applicationId, sf_dir, tasks, repr(cfg), scorer, train_split)
+    if cache and key in _RUNS:
+        return _RUNS[key]
+    run = _build(spark, sf_dir, tasks, cfg, scorer, train_split)
+    if cache:
+        from pyspark import StorageLevel
+
+        for name in ("samples", "vocab", "x", "coef", "bias", "preds"):
+            setattr(run, name, getattr(run, name).persist(StorageLevel.MEMORY_AND_DISK))
+        run.labels = linear.labels_long(run.samples, tasks)
+        _RUNS[key] = run
+    return run
+
+
+def release():
+    """Unpersist every cached run."""
+    for run in _RUNS.values():
+        for name in ("samples", "vocab", "x", "coef", "bias", "preds"):
+            getattr(run, name).unpersist()
+    _RUNS.clear()
+
+
+def _build(spark, sf_dir, tasks, cfg, scorer, train_split) -> BaselineRun:
     s = tables.samples(spark, sf_dir, tasks)
     doc_terms = vectorize.document_terms(s, cfg.ngram_range[0], cfg.ngram_range[1], pattern=cfg.token_pattern)
     tf = vectorize.term_frequencies(doc_terms)
