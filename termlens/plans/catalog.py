@@ -572,3 +572,16 @@ def removal_f1(spark, sf_dir):
 def removal_label_counts(spark, sf_dir):
     """Distinct documents per label in the removal evaluation."""
     return masking.docs_per_label(evaluation.removal_curve(spark, sf_dir))
+
+
+@register("global_masks")
+def global_masks(spark, sf_dir):
+    """M1/M2: per test document and task, masking steps over its label's ranked terms (limit 50).
+    Sequential fold; checked against a brute-force walk on a fixture (tests), rows-only here."""
+    return evaluation.global_mask_steps(spark, sf_dir)
+
+
+@register("mask_eval")
+def mask_eval(spark, sf_dir):
+    """M3/M4: every masking step re-scored with the fitted scorer (logits, preds, labels, pred_logits)."""
+    return evaluation.mask_eval(spark, sf_dir)
