@@ -585,3 +585,25 @@ def global_masks(spark, sf_dir):
 def mask_eval(spark, sf_dir):
     """M3/M4: every masking step re-scored with the fitted scorer (logits, preds, labels, pred_logits)."""
     return evaluation.mask_eval(spark, sf_dir)
+
+
+# ---- M3: spans ------------------------------------------------------------------------------------
+@register("merge_pieces")
+def merge_pieces(spark, sf_dir):
+    """Word pieces of the test documents merged back to words with summed attributions."""
+    run = baseline.build(spark, sf_dir, TASKS)
+    return evaluation.merged_words(run).withColumn("attr", F.round("attr", 9))
+
+
+@register("word_ngram_attrs")
+def word_ngram_attrs(spark, sf_dir):
+    """T11 + F9: attributed word 1-3-grams over whole test documents (no sentence alignment)."""
+    run = baseline.build(spark, sf_dir, TASKS)
+    return evaluation.processed_attributions(run, with_sentences=False).withColumn("attr", F.round("attr", 9))
+
+
+@register("processed_attrs")
+def processed_attrs(spark, sf_dir):
+    """T12 + T13: sentence rows and per-sentence n-grams (whole-document n-grams when misaligned)."""
+    run = baseline.build(spark, sf_dir, TASKS)
+    return evaluation.processed_attributions(run).withColumn("attr", F.round("attr", 9))
