@@ -607,3 +607,96 @@ def processed_attrs(spark, sf_dir):
     """T12 + T13: sentence rows and per-sentence n-grams (whole-document n-grams when misaligned)."""
     run = baseline.build(spark, sf_dir, TASKS)
     return evaluation.processed_attributions(run).withColumn("attr", F.round("attr", 9))
+
+
+# ---- M8: preparation and sinks ----------------------------------------------------------------------
+from termlens.operators import prepare  # noqa: E402
+from termlens.session import scratch_path  # noqa: E402
+from termlens.sources import sinks  # noqa: E402
+from termlens.streaming import incremental  # noqa: E402
+
+
+@register("class_encode", lambda: "SELECT doc_id, lang, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS lang_id "
+                                  "FROM documents WHERE lang IS NOT NULL")
+def class_encode(spark, sf_dir):
+    """Document language encoded as its rank among the sorted distinct languages."""
+    docs = tables.read_table(spark, sf_dir, "documents").where(F.col("lang").isNotNull()).select("doc_id", "lang")
+    return prepare.class_encode(docs, "lang")
+
+
+@register("ordered_split", lambda: S.with_(
+    [S.samples_cte(TASKS), "n AS (SELECT count(*) AS n FROM samples)"],
+    "SELECT s._id, s.row_idx, CASE WHEN s.row_idx < n.n - ceil(n.n * CAST(0.5 AS DOUBLE)) THEN 'train' ELSE 'test' END "
+    "AS split FROM (SELECT _id, row_number() OVER (ORDER BY _id) - 1 AS row_idx FROM samples) s CROSS JOIN n"))
+def ordered_split(spark, sf_dir):
+    """Labelled documents indexed in id order; first half train, second half test."""
+    s = tables.samples(spark, sf_dir, TASKS).select("_id")
+    return prepare.ordered_split(s, "_id", 0.5)
+
+
+@register("stratified_split", lambda: S.with_(
+    [S.samples_cte(TASKS)],
+    "SELECT _id, quality, CASE WHEN rn <= round(c * CAST(0.1 AS DOUBLE)) THEN 'eval' ELSE 'train' END AS split FROM "
+    "(SELECT _id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(_id AS VARCHAR) || ':0'), _id) AS rn, "
+    "count(*) OVER (PARTITION BY quality) AS c FROM samples WHERE split = 'train')"))
+def stratified_split(spark, sf_dir):
+    """P5: 10 % of the train split per quality label moved to eval, in md5(id, seed) order."""
+    s = tables.samples(spark, sf_dir, TASKS).where(F.col("split") == "train").select("_id", "quality")
+    return prepare.stratified_split(s, "_id", "quality", 0.1, seed=0)
+
+
+SAMPLE_N = 100
+
+
+@register("stratified_sample", lambda: S.with_(
+    [S.samples_cte(TASKS),
+     "ts AS (SELECT _id, quality FROM samples WHERE split = 'test')",
+     "cnt AS (SELECT quality, count(*) AS c FROM ts GROUP BY quality)",
+     f"q AS (SELECT quality, c, c * {SAMPLE_N} / CAST((SELECT sum(c) FROM cnt) AS DOUBLE) AS ex FROM cnt)",
+     "q2 AS (SELECT quality, c, CAST(floor(ex) AS BIGINT) AS base, ex - floor(ex) AS frac FROM q)",
+     f"lft AS (SELECT {SAMPLE_N} - sum(base) AS lf FROM q2)",
+     "alloc AS (SELECT quality, least(c, base + CASE WHEN row_number() OVER (ORDER BY frac DESC, quality ASC) <= "
+     "(SELECT lf FROM lft) THEN 1 ELSE 0 END) AS k FROM q2)"],
+    "SELECT t._id, t.quality FROM (SELECT ts.*, row_number() OVER (PARTITION BY ts.quality ORDER BY "
+    "md5(CAST(ts._id AS VARCHAR) || ':0'), ts._id) AS rn FROM ts) t JOIN alloc a ON a.quality = t.quality "
+    "WHERE t.rn <= a.k"))
+def stratified_sample(spark, sf_dir):
+    """A stratified sample of 100 test documents by quality label (sampling is the feature)."""
+    s = tables.samples(spark, sf_dir, TASKS).where(F.col("split") == "test").select("_id", "quality")
+    return prepare.stratified_sample(s, "_id", "quality", SAMPLE_N, seed=0)
+
+
+@register("anti_skip", lambda: "SELECT d.doc_id, d.lang FROM documents d WHERE NOT EXISTS "
+                               "(SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def anti_skip(spark, sf_dir):
+    """Documents that have no label output yet (anti join)."""
+    docs = tables.read_table(spark, sf_dir, "documents").select("doc_id", "lang")
+    done = tables.read_table(spark, sf_dir, "labels").select("doc_id")
+    return prepare.skip_done(docs, done, "doc_id")
+
+
+def _write_attrs(spark, sf_dir, name):
+    run = baseline.build(spark, sf_dir, TASKS)
+    path = scratch_path(spark, f"{name}-{abs(hash((sf_dir, spark.sparkContext.applicationId)))}")
+    sinks.write_table(run.attributions(ATTR_SPLIT).repartition(4, "_id"), path, ["split", "task"])
+    return path
+
+
+@register("attributions_roundtrip", lambda: S.with_(
+    _base_sql(), f"SELECT {ATTR_COLS} FROM attrs WHERE split = '{ATTR_SPLIT}'"))
+def attributions_roundtrip(spark, sf_dir):
+    """Attributions written as one table partitioned by split and task, then read back."""
+    path = _write_attrs(spark, sf_dir, "attrs")
+    return _rounded_attrs(spark.read.parquet(path))
+
+
+@register("incremental_level1", lambda: S.with_(
+    _base_sql(S.level1_cte()),
+    "SELECT term, type, pos, index, label, pred, task, round(attr, 9) AS attr, CAST(occurance AS BIGINT) AS occurance "
+    "FROM level1"))
+def incremental_level1(spark, sf_dir):
+    """2.16: level 1 built by a file-source stream, one partial aggregate per micro-batch, then merged."""
+    path = _write_attrs(spark, sf_dir, "attrs-stream")
+    out = path + "-level1"
+    incremental.run_incremental_level1(spark, path, out, path + "-ckpt")
+    return incremental.merged_level1(spark, out).withColumn("attr", F.round("attr", 9))
