@@ -100,3 +100,13 @@ def thermometer(tasks: TaskMap) -> Column:
 
 def _upto(label):
     return lambda i: F.when(i <= label, F.lit(1)).otherwise(F.lit(0))
+
+
+def reference_ids(ids, cls_id: int, sep_id: int, ref_id: int) -> Column:
+    """X11: every id except CLS/SEP replaced by the reference id (shape kept)."""
+    return F.transform(col_(ids), lambda x: F.when(x.isin(cls_id, sep_id), x).otherwise(F.lit(ref_id)))
+
+
+def reference_length(ids, cls_id: int, sep_id: int) -> Column:
+    """X11: number of non-special ids."""
+    return F.size(F.filter(col_(ids), lambda x: ~x.isin(cls_id, sep_id)))

@@ -136,3 +136,24 @@ PHRASE_GAP = r"\b(?:.{0,12}|\s)\b"
 def phrase_pattern(term) -> Column:
     """Word-bounded phrase; up to 12 characters allowed between consecutive words."""
     return F.concat(F.lit(r"\b"), F.replace(regex_escape(term), F.lit(" "), F.lit(PHRASE_GAP)), F.lit(r"\b"))
+
+
+def truncate_tokens(tokens, n: int) -> Column:
+    """The first ``n`` tokens."""
+    return F.slice(col_(tokens), 1, n)
+
+
+def mask_positions(tokens, positions, mask: str = "[MASK]") -> Column:
+    """Replace the tokens at the given 0-based positions with the mask token (shape kept)."""
+    pos = col_(positions)
+    return F.transform(col_(tokens), lambda x, i: F.when(F.array_contains(pos, i), F.lit(mask)).otherwise(x))
+
+
+def target_names_filter(names, classes: str = "012") -> Column:
+    """target names ``task=<class>`` of the listed classes."""
+    return col_(names).rlike(f"=[{classes}]")
+
+
+def unigram_only(term) -> Column:
+    """single-word terms."""
+    return ~F.instr(col_(term), " ").cast("boolean")

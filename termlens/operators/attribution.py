@@ -131,3 +131,36 @@ def top_features(effects: DataFrame, k: int = 5) -> DataFrame:
     w = Window.partitionBy("task", "pred").orderBy(F.col("attr").desc(), F.col("term").asc())
     return (effects.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("task", "pred", "rank", "term", "attr"))
+
+
+def select_target(preds: DataFrame, tasks, index_col: str | None = None, name_col: str | None = None) -> DataFrame:
+    """Explained class = explicit index, else the class named ``task=<class>``, else the prediction."""
+    out = preds
+    idx = F.col(index_col) if index_col else F.lit(None).cast("int")
+    if name_col:
+        named = F.when(F.col(name_col).startswith(F.concat(F.col("task"), F.lit("="))),
+                       F.element_at(F.split(F.col(name_col), "="), 2).cast("int"))
+    else:
+        named = F.lit(None).cast("int")
+    return out.withColumn("index", F.coalesce(idx, named, F.col("pred")))
+
+
+def score_with(df: DataFrame, fn, schema) -> DataFrame:
+    """A user scoring hook over Arrow batches (``mapInPandas``); ``fn(iterator of pandas frames)``
+    yields frames of ``schema``. The model object should be shipped with the function (closure or a
+    broadcast variable), loaded once per worker."""
+    return df.mapInPandas(fn, schema)
+
+
+def per_type_normalised(attrs: DataFrame, keys=("_id", "task", "type")) -> DataFrame:
+    """Per document, task and type: z-score (sample std), division by max |attr|, by sum |attr|."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys)
+    sd = F.stddev_samp("attr").over(w)
+    # a spread below 1e-12 is treated as none: equal values must not turn rounding noise into z-scores
+    return attrs.select(
+        "*",
+        F.when(sd >= 1e-12, (F.col("attr") - F.avg("attr").over(w)) / sd).alias("attr_normed"),
+        F.try_divide(F.col("attr"), F.max(F.abs("attr")).over(w)).alias("attr_scaled"),
+        F.try_divide(F.col("attr"), F.sum(F.abs("attr")).over(w)).alias("attr_percentile"))

@@ -64,3 +64,13 @@ def pool(segments: DataFrame, method: str, dim: int | None = None, digits: int |
 def dedupe_labels(segments: DataFrame) -> DataFrame:
     """One label row per sample (the first segment's)."""
     return segments.groupBy("_id").agg(F.min_by("label", "segment").alias("label"))
+
+
+def attention_scores(attn: DataFrame, layer_head: int = -1) -> DataFrame:
+    """Token score = mean over layers of the last head's attention to key 0, from a table
+    ``(_id, segment, layer, head, query, key, score)``."""
+    last = attn.agg(F.max("head").alias("_h")) if layer_head == -1 else None
+    df = attn.crossJoin(F.broadcast(last)).where(F.col("head") == F.col("_h")) if last is not None \
+        else attn.where(F.col("head") == layer_head)
+    return (df.where(F.col("key") == 0).groupBy("_id", "segment", "query")
+            .agg(F.avg("score").alias("attr")).withColumnRenamed("query", "pos"))

@@ -87,3 +87,41 @@ def dev_limit(df: DataFrame, order_col: str, n: int = 100) -> DataFrame:
 def max_segments(df: DataFrame, segments_col: str, limit: int = 5) -> DataFrame:
     """Skip samples with more than ``limit`` segments."""
     return df.where(F.size(segments_col) <= limit)
+
+
+def with_errors(df: DataFrame, ok, message: str):
+    """Split rows into (kept, rejects) by a condition column; rejects carry an ``error`` message
+    instead of stopping the job."""
+    kept = df.where(ok)
+    rejects = df.where(~ok).withColumn("error", F.lit(message))
+    return kept, rejects
+
+
+# Named row-processing functions (never ``eval``)
+PROCESS_FUNCTIONS = {}
+
+
+def process_function(name: str):
+    def deco(fn):
+        PROCESS_FUNCTIONS[name] = fn
+        return fn
+    return deco
+
+
+@process_function("truncate_512")
+def _truncate_512(df: DataFrame) -> DataFrame:
+    from termlens.functions import text as tx
+    return df.withColumn("tokens", tx.truncate_tokens(tx.words("text"), 512))
+
+
+@process_function("max_len_200")
+def _max_len_200(df: DataFrame) -> DataFrame:
+    from termlens.functions import text as tx
+    return df.withColumn("tokens", tx.truncate_tokens(tx.words("text"), 200))
+
+
+def apply_process(df: DataFrame, name: str) -> DataFrame:
+    try:
+        return PROCESS_FUNCTIONS[name](df)
+    except KeyError:
+        raise ValueError(f"unknown process function {name!r}; choose from {sorted(PROCESS_FUNCTIONS)}") from None

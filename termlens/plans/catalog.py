@@ -700,3 +700,20 @@ def incremental_level1(spark, sf_dir):
     out = path + "-level1"
     incremental.run_incremental_level1(spark, path, out, path + "-ckpt")
     return incremental.merged_level1(spark, out).withColumn("attr", F.round("attr", 9))
+
+
+@register("attr_type_normalised", lambda: S.with_(
+    _base_sql(f"ta AS (SELECT _id, task, term, type, round(attr, 9) AS attr FROM attrs WHERE split = '{ATTR_SPLIT}')"),
+    "SELECT _id, task, term, type, round(attr, 9) AS attr, "
+    "round(CASE WHEN sd >= CAST(1e-12 AS DOUBLE) THEN (attr - mu) / sd END, 9) AS attr_normed, "
+    "round(CASE WHEN mx = 0 THEN NULL ELSE attr / mx END, 9) AS attr_scaled, "
+    "round(CASE WHEN sm = 0 THEN NULL ELSE attr / sm END, 9) AS attr_percentile FROM "
+    "(SELECT *, avg(attr) OVER w AS mu, stddev_samp(attr) OVER w AS sd, max(abs(attr)) OVER w AS mx, "
+    "sum(abs(attr)) OVER w AS sm FROM ta WINDOW w AS (PARTITION BY _id, task, type))"))
+def attr_type_normalised(spark, sf_dir):
+    """Relevance z-scored, max-scaled and sum-scaled per (document, task, type)."""
+    run = baseline.build(spark, sf_dir, TASKS)
+    a = xa.per_type_normalised(run.attributions(ATTR_SPLIT).select("_id", "task", "term", "type",
+                                                                    F.round("attr", 9).alias("attr")))
+    return a.select("_id", "task", "term", "type", *[F.round(c, 9).alias(c) for c in
+                                                      ("attr", "attr_normed", "attr_scaled", "attr_percentile")])

@@ -64,3 +64,17 @@ def split_sql(id_expr: str = "doc_id") -> str:
     b = f"(('0x' || substr(md5(CAST({id_expr} AS VARCHAR)), 1, 8))::BIGINT % 100)"
     return (f"CASE WHEN {b} < {TRAIN_BUCKETS} THEN 'train' "
             f"WHEN {b} < {TRAIN_BUCKETS + EVAL_BUCKETS} THEN 'eval' ELSE 'test' END")
+
+
+def load_ranked(spark: SparkSession, path: str) -> DataFrame:
+    """Read a ranked-terms table; an ``_id`` column stored as a ``"1,2"`` string becomes
+    ``array<bigint>``. Ordering is applied where it is consumed (ranks), not here."""
+    df = spark.read.parquet(path)
+    if "_id" in df.columns and dict(df.dtypes)["_id"] == "string":
+        df = df.withColumn("_id", F.transform(F.split("_id", ","), lambda v: F.trim(v).cast("bigint")))
+    return df
+
+
+def union_splits(samples: DataFrame, splits=("train", "test")) -> DataFrame:
+    """The union of several splits (``full_data``)."""
+    return samples.where(F.col("split").isin(list(splits)))
