@@ -588,14 +588,18 @@ def mask_eval(spark, sf_dir):
 
 
 # ---- M3: spans ------------------------------------------------------------------------------------
-@register("merge_pieces")
+@register("merge_pieces", lambda: S.with_(_base_sql(*S.span_ctes()),
+                                          "SELECT _id, task, widx, word, round(attr, 9) AS attr FROM merged"))
 def merge_pieces(spark, sf_dir):
     """Word pieces of the test documents merged back to words with summed attributions."""
     run = baseline.build(spark, sf_dir, TASKS)
     return evaluation.merged_words(run).withColumn("attr", F.round("attr", 9))
 
 
-@register("word_ngram_attrs")
+@register("word_ngram_attrs", lambda: S.with_(
+    _base_sql(*S.span_ctes()),
+    "SELECT ng.term, round(ng.attr, 9) AS attr, ng.type, ng._id, p.label, p.pred AS index, ng.task, p.pred, "
+    "CAST(NULL AS DOUBLE) AS proba FROM ng JOIN preds p ON p._id = ng._id AND p.task = ng.task"))
 def word_ngram_attrs(spark, sf_dir):
     """T11 + F9: attributed word 1-3-grams over whole test documents (no sentence alignment)."""
     run = baseline.build(spark, sf_dir, TASKS)

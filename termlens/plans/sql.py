@@ -299,3 +299,33 @@ def removal_ctes(tasks, split: str = "eval", methods=("lrp", "ig", "lgxa", "rand
         "JOIN labels_long l ON l._id = b._id AND l.task = b.task)",
     ]
     return ctes
+
+
+def span_ctes(split: str = "test") -> list[str]:
+    """Token attributions (punctuation kept), merged words (pieces always merge back to their token),
+    and the filtered word stream used for n-grams."""
+    from termlens.functions.stopwords import PUNCTUATION, SPECIAL_TOKENS
+
+    tok_re = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
+    stops = " ".join(
+        f"AND NOT (st.lang = '{code}' AND lower(m.word) IN ({sql_list(stopwords_for(code))}))"
+        for code in LANGUAGES_WITH_STOPWORDS)
+    return [
+        f"st AS (SELECT _id, lang, text FROM samples WHERE split = '{split}')",
+        f"tok AS (SELECT _id, CAST(unnest(range(0, len(t))) AS INTEGER) AS tpos, unnest(t) AS token FROM "
+        f"(SELECT _id, regexp_extract_all(lower(text), '{tok_re}') AS t FROM st))",
+        f"uni AS (SELECT a._id, a.task, a.term, a.attr / tf.tf AS a FROM attrs a JOIN tf ON tf._id = a._id "
+        f"AND tf.term = a.term WHERE a.split = '{split}' AND a.type = '1gram')",
+        "merged AS (SELECT tok._id, c.task, CAST(tok.tpos + 1 AS BIGINT) AS widx, tok.token AS word, "
+        "coalesce(uni.a, 0) AS attr FROM tok CROSS JOIN (SELECT DISTINCT task FROM classes) c "
+        "LEFT JOIN uni ON uni._id = tok._id AND uni.task = c.task AND uni.term = tok.token)",
+        f"kw AS (SELECT m.* FROM merged m JOIN st ON st._id = m._id WHERE m.word NOT IN ({sql_list(SPECIAL_TOKENS)}) "
+        f"AND m.word NOT IN ({sql_list(PUNCTUATION)}) {stops})",
+        "ld AS (SELECT _id, task, widx, word AS w0, lead(word, 1) OVER w AS w1, lead(word, 2) OVER w AS w2, "
+        "attr AS a0, lead(attr, 1) OVER w AS a1, lead(attr, 2) OVER w AS a2 FROM kw "
+        "WINDOW w AS (PARTITION BY _id, task ORDER BY widx))",
+        "ng AS (SELECT _id, task, lower(w0) AS term, (CAST(0 AS DOUBLE) + a0) / 1 AS attr, '1gram' AS type FROM ld "
+        "UNION ALL SELECT _id, task, lower(w0 || ' ' || w1), (CAST(0 AS DOUBLE) + a0 + a1) / 2, '2gram' FROM ld "
+        "WHERE w1 IS NOT NULL UNION ALL SELECT _id, task, lower(w0 || ' ' || w1 || ' ' || w2), "
+        "(CAST(0 AS DOUBLE) + a0 + a1 + a2) / 3, '3gram' FROM ld WHERE w2 IS NOT NULL)",
+    ]
