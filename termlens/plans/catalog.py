@@ -606,7 +606,10 @@ def word_ngram_attrs(spark, sf_dir):
     return evaluation.processed_attributions(run, with_sentences=False).withColumn("attr", F.round("attr", 9))
 
 
-@register("processed_attrs")
+@register("processed_attrs", lambda: S.with_(
+    _base_sql(*S.span_ctes(), *S.processed_ctes()),
+    "SELECT r.term, round(r.attr, 9) AS attr, r.type, r._id, p.label, p.pred AS index, r.task, p.pred, "
+    "CAST(NULL AS DOUBLE) AS proba FROM prows r JOIN preds p ON p._id = r._id AND p.task = r.task"))
 def processed_attrs(spark, sf_dir):
     """T12 + T13: sentence rows and per-sentence n-grams (whole-document n-grams when misaligned)."""
     run = baseline.build(spark, sf_dir, TASKS)

@@ -329,3 +329,34 @@ def span_ctes(split: str = "test") -> list[str]:
         "WHERE w1 IS NOT NULL UNION ALL SELECT _id, task, lower(w0 || ' ' || w1 || ' ' || w2), "
         "(CAST(0 AS DOUBLE) + a0 + a1 + a2) / 3, '3gram' FROM ld WHERE w2 IS NOT NULL)",
     ]
+
+
+def processed_ctes() -> list[str]:
+    """T12/T13 on top of ``span_ctes``: alignment check, sentence ids by cumulative lengths, sentence rows,
+    per-sentence n-grams, and whole-document n-grams for documents that do not align."""
+    return [
+        f"sents AS (SELECT _id, CAST(unnest(range(0, len(s))) AS INTEGER) AS sent_idx, unnest(s) AS sentence "
+        f"FROM (SELECT _id, {sentence_split_sql('text')} AS s FROM st))",
+        "sn AS (SELECT _id, sent_idx, lower(regexp_replace(sentence, '\\s', '', 'g')) AS s FROM sents)",
+        "se AS (SELECT _id, sent_idx, sum(length(s)) OVER (PARTITION BY _id ORDER BY sent_idx "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS send FROM sn)",
+        "wcat AS (SELECT _id, task, string_agg(word, '' ORDER BY widx) AS wc FROM merged GROUP BY _id, task)",
+        "scat AS (SELECT _id, string_agg(s, '' ORDER BY sent_idx) AS sc FROM sn GROUP BY _id)",
+        "al AS (SELECT w._id, w.task, w.wc = coalesce(s.sc, '') AS ok FROM wcat w LEFT JOIN scat s ON s._id = w._id)",
+        "wd AS (SELECT m.*, sum(length(m.word)) OVER (PARTITION BY m._id, m.task ORDER BY m.widx "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(m.word) AS wstart FROM merged m "
+        "JOIN al ON al._id = m._id AND al.task = m.task WHERE al.ok)",
+        "ws AS (SELECT wd.*, (SELECT count(*) FROM se WHERE se._id = wd._id AND se.send <= wd.wstart) AS sid FROM wd)",
+        "srows AS (SELECT _id, task, lower(string_agg(word, ' ' ORDER BY widx)) AS term, avg(attr) AS attr, "
+        "'sentence' AS type FROM ws GROUP BY _id, task, sid)",
+        "skw AS (SELECT ws.* FROM ws JOIN kw ON kw._id = ws._id AND kw.task = ws.task AND kw.widx = ws.widx)",
+        "sld AS (SELECT _id, task, widx, word AS w0, lead(word, 1) OVER w AS w1, lead(word, 2) OVER w AS w2, "
+        "attr AS a0, lead(attr, 1) OVER w AS a1, lead(attr, 2) OVER w AS a2 FROM skw "
+        "WINDOW w AS (PARTITION BY _id, task, sid ORDER BY widx))",
+        "sng AS (SELECT _id, task, lower(w0) AS term, (CAST(0 AS DOUBLE) + a0) / 1 AS attr, '1gram' AS type FROM sld "
+        "UNION ALL SELECT _id, task, lower(w0 || ' ' || w1), (CAST(0 AS DOUBLE) + a0 + a1) / 2, '2gram' FROM sld "
+        "WHERE w1 IS NOT NULL UNION ALL SELECT _id, task, lower(w0 || ' ' || w1 || ' ' || w2), "
+        "(CAST(0 AS DOUBLE) + a0 + a1 + a2) / 3, '3gram' FROM sld WHERE w2 IS NOT NULL)",
+        "dng AS (SELECT ng.* FROM ng JOIN al ON al._id = ng._id AND al.task = ng.task WHERE NOT al.ok)",
+        "prows AS (SELECT * FROM srows UNION ALL SELECT * FROM sng UNION ALL SELECT * FROM dng)",
+    ]
