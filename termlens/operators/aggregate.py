@@ -135,9 +135,6 @@ def aggregate(level: DataFrame, method: str, over=("task",), digits: int | None
 def avg_attr_grouping_sets(level: DataFrame, sets, digits: int | None = DIGITS) -> DataFrame:
     """A2 for several ``over`` sets in one pass (GROUPING SETS); absent keys are null."""
     cols = sorted({c for s in sets for c in s})
-    level.where(F.abs(F.col(ATTR)) > NOISE_FLOOR).createOrReplaceTempView("_tl_level1")
-    gsets = ", ".join("(" + ", ".join(["term", *s]) + ")" for s in sets)
-    q = (f"SELECT term, {', '.join(cols)}, "
-         f"round(sum(abs(attr)) / sum(occurance), {digits}) AS attr, sum(occurance) AS occurance "
-         f"FROM _tl_level1 GROUP BY GROUPING SETS ({gsets})")
-    return level.sparkSession.sql(q)
+    lv = level.where(F.abs(F.col(ATTR)) > NOISE_FLOOR)
+    return lv.groupingSets([[F.col("term"), *[F.col(c) for c in s]] for s in sets], "term", *cols).agg(
+        _r(F.sum(F.abs(ATTR)) / F.sum("occurance"), digits).alias(ATTR), F.sum("occurance").alias("occurance"))

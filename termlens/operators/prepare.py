@@ -11,11 +11,11 @@ from pyspark.sql import types as T
 
 
 def class_encode(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
-    """Sorted distinct values -> 0..k-1. The distinct set of a class column is small (it is a label
-    set), so it is ranked in one task and broadcast back."""
+    """Sorted distinct values -> 0..k-1 (distributed index of the sorted distinct set); the code table
+    of a class column is a label set, small enough to broadcast back."""
     out = out or f"{column}_id"
     values = df.select(column).distinct().where(F.col(column).isNotNull())
-    codes = values.withColumn(out, (F.dense_rank().over(Window.orderBy(column)) - 1).cast("int"))
+    codes = row_index(values, column, "_code").select(column, F.col("_code").cast("int").alias(out))
     return df.join(F.broadcast(codes), column, "left")
 
 
