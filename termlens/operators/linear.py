@@ -34,8 +34,10 @@ def class_stats(spark: SparkSession, labels_train: DataFrame, tasks: TaskMap) ->
             .select("task", "class", "n_class", F.coalesce("n_total", F.lit(0)).alias("n_total")))
 
 
-def fit_centroid(spark: SparkSession, x_train: DataFrame, labels_train: DataFrame, tasks: TaskMap):
-    """V7: returns ``(coef(term, task, class, w), bias(task, class, b))``."""
+def fit_centroid(spark: SparkSession, x_train: DataFrame, labels_train: DataFrame, tasks: TaskMap,
+                 keep=None):
+    """V7: returns ``(coef(term, task, class, w), bias(task, class, b))``. ``keep`` (e.g. a checkpoint)
+    is applied to the per-class means, so the weights and the bias are both read from it."""
     stats = class_stats(spark, labels_train, tasks)
     per_class = (x_train.join(labels_train, "_id")
                  .groupBy("term", "task", F.col("label").alias("class")).agg(F.sum("x").alias("s")))
@@ -47,6 +49,8 @@ def fit_centroid(spark: SparkSession, x_train: DataFrame, labels_train: DataFram
     mu_r = F.coalesce(F.try_divide(F.col("t") - s, (F.col("n_total") - F.col("n_class")).cast("double")),
                       F.lit(0.0))
     coef = j.select("term", "task", "class", mu_c.alias("mu_c"), mu_r.alias("mu_r"))
+    if keep is not None:
+        coef = keep(coef)
     bias = coef.groupBy("task", "class").agg(
         (F.lit(-0.5) * F.sum(F.col("mu_c") * F.col("mu_c") - F.col("mu_r") * F.col("mu_r"))).alias("b"))
     return coef.select("term", "task", "class", (F.col("mu_c") - F.col("mu_r")).alias("w")), bias

@@ -95,7 +95,7 @@ def _build(spark, sf_dir, tasks, cfg, scorer, train_split, materialize: bool = F
     x_train = x.join(train_ids, "_id", "left_semi")
     labels_train = linear.labels_long(train, tasks)
     if scorer == "centroid":
-        coef, bias = linear.fit_centroid(spark, x_train, labels_train, tasks)
+        coef, bias = linear.fit_centroid(spark, x_train, labels_train, tasks, keep=keep if materialize else None)
     elif scorer == "ridge":
         coef, bias = linear.fit_ridge(spark, x_train, labels_train, tasks)
     else:
