@@ -45,3 +45,22 @@ def test_stratified_sample_size(spark):
     out = prepare.stratified_sample(df, "_id", "y", 10)
     assert out.count() == 10
     assert {r["y"] for r in out.collect()} == {0, 1, 2}
+
+
+def test_attention_scores(spark):
+    from termlens.operators import pooling
+
+    rows = [(1, 0, layer, head, q, k, float(layer + q + k)) for layer in (0, 1) for head in (0, 1)
+            for q in (0, 1) for k in (0, 1)]
+    attn = spark.createDataFrame(rows, "_id long, segment int, layer int, head int, query int, key int, score double")
+    got = {r["pos"]: r["attr"] for r in pooling.attention_scores(attn).collect()}
+    assert got == {0: 0.5, 1: 1.5}
+
+
+def test_rejects_and_process_registry(spark):
+    df = spark.createDataFrame([(1, "aa bb"), (2, "")], "_id long, text string")
+    kept, rejects = prepare.with_errors(df, F.col("text") != "", "empty text")
+    assert [r["_id"] for r in kept.collect()] == [1]
+    assert [(r["_id"], r["error"]) for r in rejects.collect()] == [(2, "empty text")]
+    out = prepare.apply_process(kept, "max_len_200").first()
+    assert out["tokens"] == ["aa", "bb"]
