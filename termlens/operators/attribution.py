@@ -164,3 +164,22 @@ def per_type_normalised(attrs: DataFrame, keys=("_id", "task", "type")) -> DataF
         F.when(sd >= 1e-12, (F.col("attr") - F.avg("attr").over(w)) / sd).alias("attr_normed"),
         F.try_divide(F.col("attr"), F.max(F.abs("attr")).over(w)).alias("attr_scaled"),
         F.try_divide(F.col("attr"), F.sum(F.abs("attr")).over(w)).alias("attr_percentile"))
+
+
+def softmax_path_attributions(spark, x: DataFrame, ids: DataFrame, coef: DataFrame, bias: DataFrame,
+                              preds: DataFrame, tasks, n_steps: int | None = 50, keep=None) -> DataFrame:
+    """X6/X7 end to end with one ``x ⋈ coef`` join: its rows give both the class logits (summed per
+    document) and the attribution terms (weighted by ``m_k`` and summed per term). ``keep`` (e.g. a
+    checkpoint) is applied to the joined rows, which are read twice."""
+    xc = x.join(coef, "term").select("_id", "term", "task", "class", (F.col("x") * F.col("w")).alias("xw"))
+    if keep is not None:
+        xc = keep(xc)
+    dots = xc.groupBy("_id", "task", "class").agg(F.sum("xw").alias("dot"))
+    grid = ids.select("_id").crossJoin(F.broadcast(tasks.class_table(spark).select("task", "class")))
+    dots = grid.join(dots, ["_id", "task", "class"], "left").select(
+        "_id", "task", "class", F.coalesce(F.col("dot"), F.lit(0.0)).alias("dot"))
+    w = path_weights(dots, bias, preds, n_steps or 1, single_point=n_steps is None)
+    per_term = (xc.join(w.select("_id", "task", "class", "m"), ["_id", "task", "class"])
+                .groupBy("_id", "task", "term").agg(F.sum(F.col("m") * F.col("xw")).alias("attr")))
+    p = preds.select("_id", "task", "label", "pred", F.col("pred").alias("index"))
+    return per_term.join(p, ["_id", "task"]).withColumn("type", tx.ngram_type("term"))

@@ -497,12 +497,13 @@ def attr_lrp(spark, sf_dir):
 
 def _ig_query(n_steps, doc):
     def q(spark, sf_dir):
+        from termlens.session import cut_lineage
+
         run = baseline.build(spark, sf_dir, TASKS)
         ids = run.split_ids(ATTR_SPLIT)
         x = run.x.join(ids, "_id", "left_semi")
-        dots = xa.full_contributions(spark, x, ids, run.coef, TASKS)
-        wts = xa.path_weights(dots, run.bias, run.preds, n_steps or 1, single_point=n_steps is None)
-        return _rounded_attrs(xa.softmax_attributions(x, run.coef, wts, run.preds))
+        return _rounded_attrs(xa.softmax_path_attributions(spark, x, ids, run.coef, run.bias, run.preds, TASKS,
+                                                           n_steps, keep=cut_lineage))
     q.__doc__ = doc
     return q
 
