@@ -36,14 +36,21 @@ def main():
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in catalog.QUERIES]
     spark = get_spark(f"local[{cpus}]", int(cpus) * 2)
     times = {}
+    failed = []
     for name in names:
         t0 = time.time()
-        catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        try:
+            catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        except Exception as exc:  # noqa: BLE001 - report and keep timing the others
+            failed.append(name)
+            print(f"{name}: FAILED {type(exc).__name__}: {str(exc)[:300]}", file=sys.stderr, flush=True)
+            continue
         times[name] = round(time.time() - t0, 3)
         print(f"{name}: {times[name]}s", file=sys.stderr, flush=True)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_query_time", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))
+                      "queries": times, "failed": failed,
+                      "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))
 
 
 if __name__ == "__main__":
