@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from termlens.session import checkpoint_dir
 from termlens.sources.tables import read_table
@@ -87,3 +88,45 @@ def span_hashes(stream: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     np.cumsum(letters[stream] * _powers(_M, len(stream)), out=sums[1:])
     value = (sums[ends] - sums[starts]) * _powers(_M_INVERSE, len(stream) + 1)[starts]
     return mixed(value ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+
+
+def numbered(df: DataFrame, group: list, order: list, value=None, name: str = "numbered") -> DataFrame:
+    """Adds ``before``: the sum of ``value`` (default 1: the row's 0-based rank) over the earlier rows of its
+    group. ``group`` and ``order`` are column names. Two levels, so that a hot group is spread: rows are range
+    partitioned by group and order and written; sums per (piece, group) give each piece its offset; windows
+    run inside a piece. Rows equal in ``group`` and ``order`` are interchangeable."""
+    spark = df.sparkSession
+    df = df.withColumn("__v", F.lit(1).cast("long") if value is None else F.col(value).cast("long"))
+    keys = [*group, *order]
+    pieces = df.repartitionByRange(*[F.col(c).asc_nulls_last() for c in keys]) if keys else df
+    pieces = written(pieces.withColumn("__p", F.spark_partition_id()), name)
+    names = [f"__g{i}" for i in range(len(group))]
+    sums = pieces.groupBy("__p", *[F.col(c).alias(n) for c, n in zip(group, names)]).agg(F.sum("__v").alias("__s"))
+    offsets = sums.withColumn("__o", F.coalesce(F.sum("__s").over(
+        Window.partitionBy(*names).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__s")
+    same = [pieces["__p"] == offsets["__p"], *[pieces[c].eqNullSafe(offsets[n]) for c, n in zip(group, names)]]
+    joined = pieces.join(offsets, same).drop(offsets["__p"]).drop(*names)
+    inside = F.sum("__v").over(Window.partitionBy("__p", *group).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+                               .rowsBetween(Window.unboundedPreceding, -1))
+    return joined.withColumn("before", F.col("__o") + F.coalesce(inside, F.lit(0))).drop("__v", "__p", "__o")
+
+
+def tree_sum(df: DataFrame, fan: int = 24) -> np.ndarray | None:
+    """Sum of the equally long float64 vectors in column ``v`` (binary), ``fan`` at a time, so that no task
+    holds more than ``fan`` of them; None without rows."""
+    import pandas as pd
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(rows.v.iloc[0], np.float64).copy()
+        for x in rows.v.iloc[1:]:
+            total += np.frombuffer(x, np.float64)
+        return pd.DataFrame({"v": [total.tobytes()]})
+
+    parts = df.rdd.getNumPartitions()
+    df = df.select("v", F.spark_partition_id().alias("k"))
+    while parts > 1:
+        parts = -(-parts // fan)
+        df = (df.groupBy(F.floor(F.col("k") / fan).alias("k")).applyInPandas(
+            lambda key, rows: add(rows).assign(k=key[0]), "v binary, k long"))
+    rows = df.collect()
+    return sum((np.frombuffer(r.v, np.float64) for r in rows[1:]), np.frombuffer(rows[0].v, np.float64).copy()) if rows else None

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlens.llm import lm_scoring
+from termlens.llm import chat_formatting, lm_scoring, token_counts
 from termlens.llm.common import crc_bucket, table
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = lm_scoring.score(docs, "doc_id", "text", crc_bucket("doc_id", 7) != 2)
@@ -16,5 +22,44 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "train_tokens", F.col("base").alias("base_score"), "score", "code_length")
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring}
-ORACLES: dict[str, str] = {}
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat_formatting.perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.concat_ws(",", F.transform("mask", lambda s: F.concat_ws("-", s.start.cast("string"), s.end.cast("string"))))
+    return out.withColumn("mask", spans)
+
+
+OP9_SQL = """
+WITH said AS (
+  SELECT conv_id, turn, replace(coalesce(nullif(role, ''), 'unknown'), '<|', '< |') AS r,
+         replace(coalesce(text, ''), '<|', '< |') AS x
+  FROM conversations WHERE conv_id IS NOT NULL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn ASC NULLS LAST, r, md5(x)) - 1 AS k FROM said),
+seen AS (
+  SELECT a.conv_id, p.speaker, a.k, a.k // 64 AS part, a.r = p.speaker AS own,
+         '<|im_start|>' || CASE WHEN a.r = p.speaker THEN 'assistant' WHEN a.r = 'system' THEN 'system'
+                           ELSE 'user name=' || a.r END || chr(10) AS head,
+         a.x || '<|im_end|>' AS body
+  FROM ranked a JOIN (SELECT DISTINCT conv_id, r AS speaker FROM ranked WHERE r <> 'system') p ON a.conv_id = p.conv_id),
+placed AS (
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (
+    PARTITION BY conv_id, speaker, part ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM seen)
+SELECT conv_id, speaker, part, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_own,
+       string_agg(head || body || chr(10), '' ORDER BY k) AS text,
+       coalesce(string_agg((pos + length(head)) || '-' || (pos + length(head) + length(body)), ',' ORDER BY k)
+                FILTER (WHERE own), '') AS mask
+FROM placed GROUP BY conv_id, speaker, part
+"""
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, "text", tokenizer_path("word_bpe_49k.json")).drop("text")
+
+
+QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
+    "op9_chat_formatting": op9_chat_formatting,
+    "op10_token_counts": op10_token_counts,
+}
+ORACLES: dict[str, str] = {"op9_chat_formatting": OP9_SQL}
