@@ -31,9 +31,18 @@ SAMPLE = 2000  # rows they are gathered from
 CACHE = 1 << 19  # pre-tokens a worker keeps
 LONGEST = 64  # longer pre-tokens are encoded anew each time
 # ---- fixed values: white space and pre-tokens as the tokenizer file has them ----
-SPACE = r"\t-\r\x20\x85\xa0  -     　"
+SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 # ---------------------------------------------------------------------------------
+ODD_SPACE = re.compile("[\x1c-\x1f]").search
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 letters stand for
+    themselves, the other bytes take the letters from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [x for x in range(256) if x not in plain]
+    return {x: chr(x) for x in plain} | {x: chr(256 + i) for i, x in enumerate(rest)}
 
 
 class Lengths(dict):
@@ -44,27 +53,54 @@ class Lengths(dict):
 
         super().__init__(known)
         self.library = Tokenizer.from_str(tokenizer)
+        self.tokenize = self.library.model.tokenize
+        self.letters = byte_letters()
         self.room = len(known) + CACHE
         self.cut = regex.compile(PRE_TOKEN).findall
         special = [x["content"] for x in json.loads(tokenizer)["added_tokens"]]
         self.special = re.compile("|".join(re.escape(x) for x in sorted(special, key=len, reverse=True))) if special else None
+        self.runs = _Runs(self)
 
     def __missing__(self, word: str) -> int:
-        n = len(self.library.encode(word, add_special_tokens=False).ids)
+        n = len(self.tokenize("".join(map(self.letters.__getitem__, word.encode()))))
         if len(word) <= LONGEST and len(self) < self.room:
             self[word] = n
         return n
 
-    def pre_tokens(self, text: str) -> list[str]:
+    def normal(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letter by letter: no final sigma
-        return self.cut(text.lower())
+        return text.lower()
+
+    def pre_tokens(self, text: str) -> list[str]:
+        return self.cut(self.normal(text))
+
+    def piece(self, text: str) -> int:
+        text = self.normal(text)
+        if ODD_SPACE(text):  # str.split() also splits at these, the tokenizer doesn't
+            return sum(map(self.__getitem__, self.cut(text)))
+        return sum(map(self.runs.__getitem__, text.split()))
 
     def count(self, text: str) -> int:
         if self.special is None or not self.special.search(text):
-            return sum(map(self.__getitem__, self.pre_tokens(text)))
+            return self.piece(text)
         pieces = self.special.split(text)
-        return len(pieces) - 1 + sum(sum(map(self.__getitem__, self.pre_tokens(p))) for p in pieces)
+        return len(pieces) - 1 + sum(map(self.piece, pieces))
+
+
+class _Runs(dict):
+    """Run of letters between white space -> number of tokens: no pre-token crosses white space, so a run that
+    was met before needs no cutting. Bounded as the pre-tokens are."""
+
+    def __init__(self, lengths: Lengths):
+        super().__init__()
+        self.lengths = lengths
+
+    def __missing__(self, run: str) -> int:
+        n = sum(map(self.lengths.__getitem__, self.lengths.cut(run)))
+        if len(run) <= LONGEST and len(self) < CACHE:
+            self[run] = n
+        return n
 
 
 _WORKER: dict = {}
