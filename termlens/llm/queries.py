@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlens.llm import chat_formatting, lm_scoring, token_counts
+from termlens.llm import chat_formatting, lm_scoring, mixing, quality_classifier, token_counts, toxicity
 from termlens.llm.common import crc_bucket, table
 
 
@@ -22,6 +22,29 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "train_tokens", F.col("base").alias("base_score"), "score", "code_length")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    placed, sources = mixing.pieces(docs, "doc_id", "text", "source")
+    placed = placed.drop("text")
+    out = mixing.taken(placed, mixing.mix(placed, sources, "source"), sources, "source")
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_bucket("doc_id", 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", ~held_out)
+    return toxicity.scored(docs, model, "text").select("doc_id", held_out.alias("held_out"), "score", "predicted",
+                                                       F.size("spans").alias("n_spans"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_bucket("doc_id", 4) == 2
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "quality", ~held_out)
+    return quality_classifier.scored(docs, model, "text").select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat_formatting.perspectives(table(spark, sf_dir, "conversations"))
     spans = F.concat_ws(",", F.transform("mask", lambda s: F.concat_ws("-", s.start.cast("string"), s.end.cast("string"))))
@@ -59,6 +82,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_mixing": op2_mixing,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality_classifier": op4_quality_classifier,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_token_counts": op10_token_counts,
 }
