@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlens.llm import chat_formatting, lm_scoring, mixing, quality_classifier, token_counts, toxicity
+from termlens.llm import chat_formatting, jaccard_join, lm_scoring, mixing, quality_classifier, token_counts, toxicity
 from termlens.llm.common import crc_bucket, table
 
 
@@ -45,6 +45,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(docs, model, "text").select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.near_duplicates(docs, "doc_id", "text", n=4, percent=85).withColumnRenamed("id", "doc_id")
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat_formatting.perspectives(table(spark, sf_dir, "conversations"))
     spans = F.concat_ws(",", F.transform("mask", lambda s: F.concat_ws("-", s.start.cast("string"), s.end.cast("string"))))
@@ -85,6 +90,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_jaccard_join": op5_jaccard_join,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_token_counts": op10_token_counts,
 }
