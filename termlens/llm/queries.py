@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlens.llm import chat_formatting, jaccard_join, lm_scoring, mixing, quality_classifier, token_counts, toxicity
+from termlens.llm import chat_formatting, embedding_dedup, jaccard_join, lm_scoring, mixing, quality_classifier, sentencepiece_codec, token_counts, toxicity
 from termlens.llm.common import crc_bucket, table
 
 
@@ -50,6 +50,19 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(docs, "doc_id", "text", n=4, percent=85).withColumnRenamed("id", "doc_id")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    out = sentencepiece_codec.decoded(sentencepiece_codec.encoded(docs, "text", model), "ids", model)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids",
+                      F.col("decoded").eqNullSafe(F.replace("text", F.lit("\u2581"), F.lit(" "))).alias("round_trip"))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label").withColumnRenamed("id", "vec_id")
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat_formatting.perspectives(table(spark, sf_dir, "conversations"))
     spans = F.concat_ws(",", F.transform("mask", lambda s: F.concat_ws("-", s.start.cast("string"), s.end.cast("string"))))
@@ -91,6 +104,8 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_jaccard_join": op5_jaccard_join,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_token_counts": op10_token_counts,
 }
