@@ -30,7 +30,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termlens.llm.common import components, mixed, span_hashes, squeeze, unsqueeze, written
@@ -340,3 +340,15 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int = 5, per
     least = found.where("component IS NOT NULL").groupBy(F.col("component").alias("k")).agg(F.min("id").alias("least"))
     return found.join(least, F.col("component") == F.col("k"), "left").select(
         "id", "n_shingles", F.coalesce("least", "id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group left, the one with the smallest id; same columns. Texts without words
+    are in no group and stay. Rows that share that id stay once per group they lead, in md5 order of the text."""
+    found = written(classes(docs, id_col, text_col, n, percent), "jaccard-classes")
+    lead = found.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("id")).select("id")
+    alone = found.where("component IS NULL").select("id")
+    kept = lead.unionByName(alone).groupBy(F.col("id").alias("jj_id")).agg(F.count("*").alias("jj_n"))
+    rows = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("jj_id")))
+    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    return rows.withColumn("jj_nth", nth).where(F.col("jj_nth") <= F.col("jj_n")).select(docs.columns)

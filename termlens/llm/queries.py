@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlens.llm import chat_formatting, embedding_dedup, jaccard_join, lm_scoring, mixing, quality_classifier, sentencepiece_codec, token_counts, toxicity
+from termlens.llm import bm25_search, chat_formatting, embedding_dedup, jaccard_join, lm_scoring, mixing, quality_classifier, sentencepiece_codec, token_counts, toxicity
 from termlens.llm.common import crc_bucket, table
 
 
@@ -50,6 +50,31 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(docs, "doc_id", "text", n=4, percent=85).withColumnRenamed("id", "doc_id")
 
 
+def op6_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bm25_search.search(docs, "doc_id", "text", docs.where("doc_id % 50 = 0"), "doc_id", "text", k=10).withColumnRenamed("id", "doc_id")
+
+
+OP6_SQL = """
+WITH w AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\\x20\\x09-\\x0D]+')) AS t
+  FROM documents),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM w GROUP BY doc_id, t),
+len AS (SELECT d.doc_id, coalesce(sum(tf.tf), 0) AS dl FROM documents d LEFT JOIN tf ON tf.doc_id = d.doc_id GROUP BY d.doc_id),
+tot AS (SELECT count(*) AS n, avg(dl) AS mean FROM len),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+s AS (
+  SELECT q.doc_id AS query_id, tf.doc_id,
+         round(sum(q.tf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf.tf * 2.2 / (tf.tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean))), 6) AS score
+  FROM tf q JOIN tf ON tf.t = q.t JOIN df ON df.t = q.t JOIN len ON len.doc_id = tf.doc_id CROSS JOIN tot
+  WHERE q.doc_id % 50 = 0 GROUP BY q.doc_id, tf.doc_id)
+SELECT query_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
@@ -104,9 +129,10 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_bm25_search": op6_bm25_search,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {"op9_chat_formatting": OP9_SQL}
+ORACLES: dict[str, str] = {"op6_bm25_search": OP6_SQL, "op9_chat_formatting": OP9_SQL}
