@@ -59,6 +59,18 @@ def unsqueeze(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(width, -1).T).view(dtype).reshape(-1)
 
 
+def portions(texts, size: int = 2 << 20):
+    """Consecutive pieces of a list of texts of about ``size`` letters each, to bound what a task holds."""
+    lo = total = 0
+    for hi, text in enumerate(texts):
+        total += len(text or "") + 1
+        if total >= size:
+            yield texts[lo:hi + 1]
+            lo, total = hi + 1, 0
+    if lo < len(texts):
+        yield texts[lo:]
+
+
 def mixed(keys: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser: spreads integer keys over 64 bits."""
     x = np.asarray(keys).astype(np.uint64)
