@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termlens.llm.common import tree_sum, written
+from termlens.llm.common import portions, tree_sum, written
 
 SAMPLE = 20_000
 VOCABULARY = 1 << 17
@@ -241,10 +241,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     tagged = written(sample.select("text", "label").mapInPandas(sequences, "numbers binary, y binary, label int"), "toxic-tags")
     crf = Crf(len(ratio))
 
-    def batch(rows):
-        numbers = [np.frombuffer(x, np.int32) for x in rows.numbers]
-        lengths = np.array([len(x) for x in numbers], dtype=np.int64)
-        return np.concatenate(numbers), lengths, np.concatenate([np.frombuffer(x, np.int8) for x in rows.y]).astype(np.int64)
+    def batches(rows):
+        """Rows of a frame as (numbers, lengths, labels), a few hundred thousand words at a time."""
+        for lo in range(0, len(rows), 400):
+            part = rows.iloc[lo:lo + 400]
+            numbers = [np.frombuffer(x, np.int32) for x in part.numbers]
+            lengths = np.array([len(x) for x in numbers], dtype=np.int64)
+            yield np.concatenate(numbers), lengths, np.concatenate([np.frombuffer(x, np.int8) for x in part.y]).astype(np.int64)
 
     def loss(theta):
         """(minus penalised log-likelihood, gradient), summed over partitions by one job."""
@@ -252,24 +255,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         now.theta = theta
         sent = spark.sparkContext.broadcast(now)
 
-        def part(frames):
+        def summed(frames):
             total = None
             for rows in frames:
-                if len(rows):
-                    g = sent.value.gradient(*batch(rows))
+                for part in batches(rows):
+                    g = sent.value.gradient(*part)
                     total = g if total is None else total + g
             if total is not None:
                 yield pd.DataFrame({"v": [total.tobytes()]})
 
-        total = tree_sum(tagged.mapInPandas(part, "v binary"))
+        total = tree_sum(tagged.mapInPandas(summed, "v binary"))
         sent.unpersist()
         return -total[0] + 0.5 * PENALTY * theta @ theta, -total[1:] + PENALTY * theta
 
     def occurrences(frames):
         total = np.zeros(2 * crf.size)
         for rows in frames:
-            if len(rows):
-                numbers, _, y = batch(rows)
+            for numbers, _, y in batches(rows):
                 total[:crf.size] += np.bincount(numbers, weights=y, minlength=crf.size)
                 total[crf.size:] += np.bincount(numbers, weights=1 - y, minlength=crf.size)
         yield pd.DataFrame({"v": [total.tobytes()]})
@@ -284,9 +286,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
     def features(frames):
         for rows in frames:
-            if len(rows):
-                numbers, lengths, _ = batch(rows)
-                f = document_features(fitted.value.marginals(numbers, lengths), lengths)
+            f = [document_features(fitted.value.marginals(numbers, lengths), lengths) for numbers, lengths, _ in batches(rows)]
+            if f:
+                f = np.concatenate(f)
                 yield pd.DataFrame({"top": f[:, 0], "all": f[:, 1], "label": rows.label})
 
     got = tagged.mapInPandas(features, "top double, all double, label int").toPandas()  # at most SAMPLE rows
@@ -325,6 +327,20 @@ def _lbfgs(loss, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
     return x
 
 
+def _spans(texts, marginals: np.ndarray, lengths: np.ndarray) -> list[list]:
+    """Per text, where its words with a marginal of 0.5 or more are."""
+    spans: list[list] = [[] for _ in texts]
+    ends = np.cumsum(lengths)
+    hits = np.flatnonzero(marginals >= 0.5)
+    owner = np.searchsorted(ends, hits, side="right")
+    for doc in np.unique(owner):
+        words = list(_WORD.finditer(texts[doc]))
+        for at in hits[owner == doc]:
+            m = words[at - (ends[doc] - lengths[doc])]
+            spans[doc].append({"start": m.start(), "end": m.end(), "marginal": float(marginals[at])})
+    return spans
+
+
 def scored(docs: DataFrame, model: Model, text_col: str, threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``score``, ``predicted`` (1 if score >= threshold) and ``spans``: (start, end, marginal) in
     characters of the text, end exclusive, of the words with a marginal of 0.5 or more."""
@@ -339,17 +355,12 @@ def scored(docs: DataFrame, model: Model, text_col: str, threshold: float = 0.5)
             if fitted.weights is None:
                 yield pd.DataFrame({"score": [fitted.rate] * len(texts), "spans": [[] for _ in range(len(texts))]})
                 continue
-            marginals, lengths = fitted.annotate(texts, vocabulary)
-            spans: list[list] = [[] for _ in range(len(texts))]
-            ends = np.cumsum(lengths)
-            hits = np.flatnonzero(marginals >= 0.5)
-            docs_hit = np.searchsorted(ends, hits, side="right")
-            for doc in np.unique(docs_hit):
-                words = list(_WORD.finditer(texts.iloc[doc]))
-                for at in hits[docs_hit == doc]:
-                    m = words[at - (ends[doc] - lengths[doc])]
-                    spans[doc].append({"start": m.start(), "end": m.end(), "marginal": float(marginals[at])})
-            yield pd.DataFrame({"score": fitted.probability(marginals, lengths), "spans": spans})
+            scores, spans = [], []
+            for part in portions(texts.tolist(), 1 << 20):
+                marginals, lengths = fitted.annotate(part, vocabulary)
+                scores.append(fitted.probability(marginals, lengths))
+                spans += _spans(part, marginals, lengths)
+            yield pd.DataFrame({"score": np.concatenate(scores) if scores else [], "spans": spans})
 
     return (docs.withColumn("toxic_tag", tag(F.col(text_col))).withColumn("score", F.col("toxic_tag.score"))
             .withColumn("spans", F.col("toxic_tag.spans")).drop("toxic_tag")
