@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 TABLE = 1 << 16  # broadcast pre-tokens
 SAMPLE = 2000  # rows they are gathered from
-CACHE = 1 << 19  # pre-tokens a worker keeps
+CACHE = 1 << 18  # pre-tokens a worker keeps
 LONGEST = 64  # longer pre-tokens are encoded anew each time
 # ---- fixed values: white space and pre-tokens as the tokenizer file has them ----
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
