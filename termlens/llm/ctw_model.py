@@ -55,7 +55,7 @@ class Level:
         symbol = keys & np.uint64(255)
         for b in range(BITS):
             prefix = keys >> np.uint64(BITS - b)
-            node = np.zeros(len(keys), dtype=np.int64)
+            node = np.zeros(len(keys), dtype=np.int32)
             if len(keys):
                 np.cumsum(prefix[1:] != prefix[:-1], out=node[1:])
             size = int(node[-1]) + 1 if len(keys) else 0

@@ -33,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termlens.llm.common import components, mixed, span_hashes, squeeze, unsqueeze, written
+from termlens.llm.common import components, mixed, portions, span_hashes, squeeze, unsqueeze, written
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 SMALL = 8  # bands with at most so many thresholds may use one-deletion neighbourhoods
 SPARE = 0.15  # further segments of larger bands
 CHANCE = 40.0  # cost of a segment's chance match against that of a signature
@@ -105,6 +105,11 @@ def signatures(shingles: np.ndarray, band: int, scheme: tuple[int, int, int]):
 
 def _sets(texts, n: int):
     """For each text its sorted distinct shingle hashes."""
+    for part in portions(texts):
+        yield from _portion_sets(part, n)
+
+
+def _portion_sets(texts, n: int):
     streams = [b" ".join(t.encode().lower().split()) + b"\n" if t else b"\n" for t in texts]
     raw = np.frombuffer(b"".join(streams), np.uint8)
     inside = (raw != 32) & (raw != 10)
@@ -142,10 +147,10 @@ def _class_of(shingles: np.ndarray) -> np.int64:
 def _members(n: int):
     def run(batches):
         for batch in batches:
-            sets = list(_sets(batch.column(1).to_pylist(), n))
+            found = [(len(s), int(_class_of(s)) if len(s) else None) for s in _sets(batch.column(1).to_pylist(), n)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([int(_class_of(s)) if len(s) else None for s in sets], pa.int64())], names=["id", "n_shingles", "class"])
+                [batch.column(0), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())],
+                names=["id", "n_shingles", "class"])
     return run
 
 
@@ -254,7 +259,7 @@ def _set_rows(n: int, wanted):
         bits = wanted.value
         done = set()
         for batch in batches:
-            classes, sets = [], []
+            classes, sets, size = [], [], 0
             for shingles in _sets(batch.column(0).to_pylist(), n):
                 if len(shingles):
                     key = int(_class_of(shingles))
@@ -264,10 +269,18 @@ def _set_rows(n: int, wanted):
                             done.add(key)
                         classes.append(key)
                         sets.append(shingles.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], names=["class", "set"])
+                        size += len(sets[-1])
+                        if size >= BLOCK_BYTES:
+                            yield _rows(classes, sets)
+                            classes, sets, size = [], [], 0
+            yield _rows(classes, sets)
     return run
 
 
+def _rows(classes, sets):
+    return pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], names=["class", "set"])
+
+
 def links_of(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets link. Sets are built anew for the classes named; a bit filter of
     fixed size keeps other texts from being shuffled."""
@@ -305,7 +318,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent: in
     members = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
                       .mapInArrow(_members(n), "id long, n_shingles long, class long"), "jaccard-members")
     total = members.agg(F.sum("n_shingles").alias("s")).first().s or 0
-    buckets = int(min(4096, max(3 * spark.sparkContext.defaultParallelism, total // 4_000_000)))
+    buckets = int(min(4096, max(3 * spark.sparkContext.defaultParallelism, total // 1_500_000)))
     packed = texts.mapInArrow(_index(n, percent, buckets), "bucket int, sigs binary, owners binary, probes binary, classes binary, sizes binary")
     groups = written(packed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_groups, GROUPS), "jaccard-groups")
 

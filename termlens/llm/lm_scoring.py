@@ -37,11 +37,13 @@ from termlens.llm import ctw_model as M
 from termlens.llm.common import mixed, span_hashes, squeeze, unsqueeze, written
 
 BLOCK_BYTES = 16 << 20
-MAX_BUCKETS = 4096  # buckets grow with the blocks up to here
+PART_BYTES = 3 << 20  # a block is worked on in parts of about this size
+MIN_BUCKETS, MAX_BUCKETS = 96, 4096  # buckets grow with the blocks
 PAD = b"\n" * M.DEPTH
 CTX = np.uint64(8 * (M.DEPTH - 1))  # a gram shifted by this is its two most recent context bytes
 
-BLOCKS = "block long, ids array<long>, train array<boolean>, lengths array<long>, words array<long>, size long, stream binary"
+BLOCKS = ("block long, ids array<long>, train array<boolean>, lengths array<long>, words array<long>, "
+          "docs array<long>, sizes array<long>, streams array<binary>")
 CHUNKS = "bucket int, block long, grams binary, counts binary, words binary, word_counts binary"
 MODEL = ("bucket int, grams binary, counts binary, types long, tokens long, keys array<int>, sums array<double>, "
          "blocks array<long>, grams_at array<binary>, word_counts array<binary>")
@@ -52,16 +54,22 @@ SCORES = "id long, n_tokens long, n_known long, base double, score double, n_byt
 def _stage(batches):
     """Pack (id, train, text) rows into blocks of streams; every text is preceded by a padding of newlines."""
     part, made = TaskContext.get().partitionId(), 0
-    ids, train, lengths, words, streams, size = [], [], [], [], [], 0
+    ids, train, lengths, words, docs, sizes, packed, streams = [], [], [], [], [], [], [], []
+    size = 0
 
-    def block():
+    def close():
         stream = b"".join(streams)
+        packed.append(pa.compress(stream, codec="zstd", asbytes=True))
+        sizes.append(len(stream))
+        docs.append(len(ids) - sum(docs))
+
+    def block():
         return pa.RecordBatch.from_pydict({
-            "block": [(part << 32) + made], "ids": [ids], "train": [train], "lengths": [lengths], "words": [words],
-            "size": [len(stream)], "stream": [pa.compress(stream, codec="zstd", asbytes=True)],
+            "block": [(part << 32) + made], "ids": [ids], "train": [train], "lengths": [lengths], "words": [words], "docs": [docs],
+            "sizes": [sizes], "streams": [packed],
         }, schema=pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())),
-                             ("lengths", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())), ("size", pa.int64()),
-                             ("stream", pa.binary())]))
+                             ("lengths", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())),
+                             ("sizes", pa.list_(pa.int64())), ("streams", pa.list_(pa.binary()))]))
 
     for batch in batches:
         for key, known, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -73,22 +81,25 @@ def _stage(batches):
             words.append(len(tokens))
             streams += [PAD, stream]
             size += len(stream)
-            if size >= BLOCK_BYTES:
-                yield block()
-                made += 1
-                ids, train, lengths, words, streams, size = [], [], [], [], [], 0
+            if size >= PART_BYTES:
+                close()
+                streams, size = [], 0
+                if sum(sizes) >= BLOCK_BYTES:
+                    yield block()
+                    made += 1
+                    ids, train, lengths, words, docs, sizes, packed = [], [], [], [], [], [], []
+    if streams:
+        close()
     if ids:
         yield block()
 
 
-class _Block:
-    """A block's grams and words, in stream order, with their documents."""
+class _Part:
+    """A part's grams and words, in stream order, with their documents."""
 
     def __init__(self, lengths, words, size, stream):
         raw = np.frombuffer(pa.decompress(stream, decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
-        self.lengths = np.asarray(lengths, dtype=np.int64)
-        self.words = np.asarray(words, dtype=np.int64)
-        self.docs = len(self.lengths)
+        self.lengths, self.words, self.docs = lengths, words, len(lengths)
         last = np.cumsum(self.lengths + M.DEPTH)
         keep = np.ones(size, dtype=bool)
         for d in range(M.DEPTH):
@@ -106,6 +117,23 @@ class _Block:
         return np.repeat(per_doc, self.words)
 
 
+def _parts(lengths, words, docs, sizes, streams):
+    """(first document, part) of a block, one at a time."""
+    lengths, words, at = np.asarray(lengths, dtype=np.int64), np.asarray(words, dtype=np.int64), 0
+    for n, size, stream in zip(docs, sizes, streams):
+        yield at, _Part(lengths[at:at + n], words[at:at + n], int(size), stream)
+        at += n
+
+
+def _merged(found):
+    """Sorted distinct keys of several (keys, counts), with summed counts."""
+    keys = _distinct(np.concatenate([k for k, _ in found]))
+    counts = np.zeros(len(keys), dtype=np.int64)
+    for k, c in found:
+        counts[np.searchsorted(keys, k)] += c
+    return keys, counts
+
+
 def _distinct(values: np.ndarray) -> np.ndarray:
     values = np.sort(values)
     return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
@@ -132,10 +160,14 @@ def _chunks(buckets: int):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                b = _Block(row["lengths"], row["words"], row["size"], row["stream"])
                 train = np.asarray(row["train"], dtype=bool)
-                grams, counts = _counted(b.grams, b.of_bytes(train))
-                hashes, word_counts = _counted(b.hashes, b.of_words(train))
+                grams, hashes = [], []
+                for at, b in _parts(row["lengths"], row["words"], row["docs"], row["sizes"], row["streams"]):
+                    known = train[at:at + b.docs]
+                    grams.append(_counted(b.grams, b.of_bytes(known)))
+                    hashes.append(_counted(b.hashes, b.of_words(known)))
+                grams, counts = _merged(grams)
+                hashes, word_counts = _merged(hashes)
                 order, at = _dealt(grams, buckets, True)
                 grams, counts = grams[order], counts[order]
                 order, word_at = _dealt(hashes, buckets, False)
@@ -202,7 +234,7 @@ def _answers(maps):
     return run
 
 
-def _doc_sums(b: _Block, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+def _doc_sums(b: _Part, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Per document the sum of its grams' values: 256 documents at a time, sorted as (gram, document)."""
     out, end = np.zeros(b.docs), np.cumsum(b.lengths)
     for lo in range(0, b.docs, 256):
@@ -217,29 +249,31 @@ def _doc_sums(b: _Block, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _finish(buckets: int, tokens: int, types: int, ends: int):
+    floor = math.log10(tokens + types + 1)
+
     def run(staged: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         answers = answers.sort_values("bucket")
-        log10s = [unsqueeze(x, np.float32) for x in answers.log10s]
-        counts = [unsqueeze(x, np.int64) for x in answers.word_counts]
+        log10s = np.concatenate([unsqueeze(x, np.float32) for x in answers.log10s])
+        counts = np.concatenate([unsqueeze(x, np.int64) for x in answers.word_counts])
         for row in staged.itertuples():
-            b = _Block(row.lengths, row.words, row.size, row.stream)
-            keys = _distinct(b.grams)
+            named = [row.lengths, row.words, row.docs, row.sizes, row.streams]
+            found = [(_distinct(b.grams), _distinct(b.hashes)) for _, b in _parts(*named)]
+            keys, hashes = (_distinct(np.concatenate(x)) for x in zip(*found))
+            del found
             order, _ = _dealt(keys, buckets, True)
             value = np.empty(len(keys))
-            value[order] = np.concatenate(log10s)
-            score = _doc_sums(b, keys, value)
-            hashes = _distinct(b.hashes)
+            value[order] = log10s
             order, _ = _dealt(hashes, buckets, False)
             count = np.empty(len(hashes), dtype=np.int64)
-            count[order] = np.concatenate(counts)
-            seen = count[np.searchsorted(hashes, b.hashes)]
-            doc = b.of_words(np.arange(b.docs))
-            floor = math.log10(tokens + types + 1)
-            base = np.bincount(doc, weights=np.log10(seen + 1.0), minlength=b.docs) + math.log10(ends + 1) - (b.words + 1) * floor
-            known = np.bincount(doc, weights=seen > 0, minlength=b.docs).astype(np.int64) + (ends > 0)
-            out.append(pd.DataFrame({"id": pd.array(list(row.ids), dtype="Int64"), "n_tokens": b.words + 1, "n_known": known,
-                                     "base": base, "score": score, "n_bytes": b.lengths}))
+            count[order] = counts
+            for at, b in _parts(*named):
+                seen = count[np.searchsorted(hashes, b.hashes)]
+                doc = b.of_words(np.arange(b.docs))
+                base = np.bincount(doc, weights=np.log10(seen + 1.0), minlength=b.docs) + math.log10(ends + 1) - (b.words + 1) * floor
+                known = np.bincount(doc, weights=seen > 0, minlength=b.docs).astype(np.int64) + (ends > 0)
+                out.append(pd.DataFrame({"id": pd.array(list(row.ids[at:at + b.docs]), dtype="Int64"), "n_tokens": b.words + 1,
+                                         "n_known": known, "base": base, "score": _doc_sums(b, keys, value), "n_bytes": b.lengths}))
         return pd.concat(out)
     return run
 
@@ -254,7 +288,7 @@ def score(docs: DataFrame, id_col: str, text_col: str, train) -> DataFrame:
     staged = written(rows.mapInArrow(_stage, BLOCKS), "ctw-blocks")
     shape = staged.agg(F.count("*").alias("blocks"),
                        F.sum(F.size(F.filter("train", lambda x: x))).alias("ends")).first()
-    buckets, ends = min(MAX_BUCKETS, max(24, shape.blocks)), int(shape.ends or 0)
+    buckets, ends = min(MAX_BUCKETS, max(MIN_BUCKETS, shape.blocks)), int(shape.ends or 0)
     chunks = staged.mapInArrow(_chunks(buckets), CHUNKS)
     model = written(chunks.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_merge, MODEL), "ctw-model")
     totals = model.agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).first()
