@@ -87,13 +87,16 @@ def keep_word(term, lang_col=None, german_variant: str = "modified") -> Column:
     return keep
 
 
-CLEAN_PUNCT = r"""([.,!?;:()\[\]"'])"""
+# ---- fixed values: padded punctuation, and the runs of blanks that are squeezed ----
+CLEAN_PUNCT = r"([.,!?()])"
+CLEAN_BLANKS = r"\s{2,}"
+# ------------------------------------------------------------------------------------
 
 
 def clean_text(text) -> Column:
-    """Pad punctuation with spaces, then squeeze runs of whitespace."""
+    """Pad ``. , ! ? ( )`` with spaces, then squeeze runs of two or more blanks; no trimming."""
     padded = F.regexp_replace(col_(text), CLEAN_PUNCT, " $1 ")
-    return F.trim(F.regexp_replace(padded, r"\s+", " "))
+    return F.regexp_replace(padded, CLEAN_BLANKS, " ")
 
 
 def strip_marker(token, marker: str = "Ġ") -> Column:

@@ -11,12 +11,12 @@ from pyspark.sql import types as T
 
 
 def class_encode(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
-    """Sorted distinct values -> 0..k-1 (distributed index of the sorted distinct set); the code table
-    of a class column is a label set, small enough to broadcast back."""
+    """Sorted distinct values -> 0..k-1 (distributed index of the sorted distinct set); a null
+    value keeps a null code."""
     out = out or f"{column}_id"
     values = df.select(column).distinct().where(F.col(column).isNotNull())
     codes = row_index(values, column, "_code").select(column, F.col("_code").cast("int").alias(out))
-    return df.join(F.broadcast(codes), column, "left")
+    return df.join(codes, column, "left")
 
 
 def row_index(df: DataFrame, order_col: str, out: str = "row_idx") -> DataFrame:

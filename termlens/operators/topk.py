@@ -33,10 +33,10 @@ def exclusive_top_terms(agg: DataFrame, over=("task",), k: int = 50, attr_field:
 def risk_report(agg: DataFrame, over=("task", "index", "label", "pred"), k: int = 20,
                 attr_field: str = ATTR) -> DataFrame:
     """W5 + T19: top-20 per group, then ``"term (occurance)"`` joined by ``", "`` per (task, label, pred)
-    in descending score order."""
+    in ascending score order."""
     top = top_terms(agg, over, k, attr_field)
     item = F.format_string("%s (%d)", F.col("term"), F.col("occurance"))
-    ordered = F.sort_array(F.collect_list(F.struct((-F.col(attr_field)).alias("neg"), F.col("term"),
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(attr_field).alias("score"), F.col("term"),
                                                    item.alias("item"))))
     return (top.groupBy("task", "label", "pred").agg(ordered.alias("_l"))
             .select("task", "label", "pred",

@@ -6,6 +6,8 @@ aliased identically on both sides.
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -107,7 +109,7 @@ def _sql_risk():
                      *S.homogeneity_ctes(RISK_OVER, src="risk"),
                      f"top AS ({S.top_sql(RISK_OVER, 20)})")
     body = ("SELECT task, label, pred, string_agg(term || ' (' || CAST(occurance AS VARCHAR) || ')', ', ' "
-            "ORDER BY attr DESC, term ASC) AS terms FROM top GROUP BY task, label, pred")
+            "ORDER BY attr ASC, term ASC) AS terms FROM top GROUP BY task, label, pred")
     return S.with_(ctes, body)
 
 
@@ -470,11 +472,11 @@ def label_profile(spark, sf_dir):
 
 
 @register("clean_text", lambda: (
-    f"SELECT item_id, trim(regexp_replace(regexp_replace(text, '{S.CLEAN_PUNCT_SQL}', ' \\1 ', 'g'), "
-    "'\\s+', ' ', 'g')) AS text FROM benchmark"))
+    f"SELECT doc_id, regexp_replace(regexp_replace(text, '{S.CLEAN_PUNCT_SQL}', ' \\1 ', 'g'), "
+    "'[ \\t\\n\\x0B\\f\\r]{2,}', ' ', 'g') AS text FROM documents"))
 def clean_text(spark, sf_dir):
-    """Benchmark texts with punctuation padded and whitespace squeezed."""
-    return segments.cleaned(tables.read_table(spark, sf_dir, "benchmark"), "item_id", "text")
+    """Document texts with punctuation padded and runs of blanks squeezed."""
+    return segments.cleaned(tables.read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 # ---- M5: attribution methods ----------------------------------------------------------------------
@@ -625,10 +627,10 @@ from termlens.streaming import incremental  # noqa: E402
 
 
 @register("class_encode", lambda: "SELECT doc_id, lang, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS lang_id "
-                                  "FROM documents WHERE lang IS NOT NULL")
+                                  "FROM documents WHERE lang IS NOT NULL UNION ALL SELECT doc_id, lang, NULL FROM documents WHERE lang IS NULL")
 def class_encode(spark, sf_dir):
-    """Document language encoded as its rank among the sorted distinct languages."""
-    docs = tables.read_table(spark, sf_dir, "documents").where(F.col("lang").isNotNull()).select("doc_id", "lang")
+    """Document language encoded as its rank among the sorted distinct languages; null stays null."""
+    docs = tables.read_table(spark, sf_dir, "documents").select("doc_id", "lang")
     return prepare.class_encode(docs, "lang")
 
 
@@ -685,8 +687,8 @@ def anti_skip(spark, sf_dir):
 
 def _write_attrs(spark, sf_dir, name):
     run = baseline.build(spark, sf_dir, TASKS)
-    path = scratch_path(spark, f"{name}-{abs(hash((sf_dir, spark.sparkContext.applicationId)))}")
-    sinks.write_table(run.attributions(ATTR_SPLIT).repartition(4, "_id"), path, ["split", "task"])
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")  # fresh on every call: nothing of an earlier run is read
+    sinks.write_table(run.attributions(ATTR_SPLIT), path, ["split", "task"])
     return path
 
 

@@ -178,7 +178,7 @@ def windows_sql(tokens: str, size: int, overlap: int) -> str:
             f"array_to_string(list_slice({tokens}, 1 + k * {step}, k * {step} + {size}), ' ')) END)")
 
 
-CLEAN_PUNCT_SQL = "([.,!?;:()\\[\\]\"''])"
+CLEAN_PUNCT_SQL = "([.,!?()])"
 
 
 def ig_ctes(split: str, n_steps: int | None, prefix: str = "") -> list[str]:

@@ -51,6 +51,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - not set anywhere
             path = None
     if not path:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="termlens-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)

@@ -64,3 +64,10 @@ def test_rejects_and_process_registry(spark):
     assert [(r["_id"], r["error"]) for r in rejects.collect()] == [(2, "empty text")]
     out = prepare.apply_process(kept, "max_len_200").first()
     assert out["tokens"] == ["aa", "bb"]
+
+
+def test_clean_text_keeps_other_marks(spark):
+    from termlens.functions.text import clean_text
+
+    df = spark.createDataFrame([("it's 5:30 [x], ok (yes)!",)], "t string")
+    assert df.select(clean_text("t")).first()[0] == "it's 5:30 [x] , ok ( yes ) ! "

@@ -74,3 +74,12 @@ def test_materialize_reuses(spark, tmp_path):
     assert sinks.materialize(spark, path, build).count() == 5
     assert sinks.materialize(spark, path, build).count() == 5
     assert len(calls) == 1
+
+
+def test_incremental_repeats(spark):
+    from pyspark.sql import functions as F
+
+    from termlens.plans import catalog
+
+    sums = [catalog.QUERIES["incremental_level1"](spark, "/root/testdata/sf0.001").agg(F.sum("occurance")).first()[0] for _ in range(2)]
+    assert sums[0] == sums[1] > 0
