@@ -8,13 +8,16 @@ differs in nothing (or, where one-deletion neighbourhoods are allotted, in at mo
 
 Allocation: small sets (few segments) may give segments a one-deletion neighbourhood, worth two thresholds; the
 cheapest mix of both by estimated cost (signatures plus expected chance matches) is taken for every band. Large
-sets get some segments to spare; a set probes with its H + 1 best ones and leaves out those with the fewest
-shingles (empty ones first), which match most often by chance. All segments are indexed.
+sets get some segments to spare: all are indexed, and once the groups are known a set leaves out as many of
+its most crowded ones as it has to spare, and probes with the others (any H + 1 of them suffice).
 
 Signatures travel packed, one row per block and bucket, with the class (hash of the whole set) instead of a
-document, so exact copies are one entry. Sets that share a signature form a group. Groups are first linked as
-stars around one member; groups whose members are not all connected then give their remaining probe pairs
-across components. Pairs are verified on the whole sets of 64-bit shingle hashes. Links between members that
+document, so exact copies are one entry. Sets that share a signature form a group. In each round the members
+of a group stand in a ring (a new order each time, large groups in several rings) and are compared with the
+next few members of other components; so groups of true copies become one component after a few rounds of
+linear work. Groups still in several components then give their remaining probe pairs across components, so
+no link that joins components is missed; of these, pairs whose counts of shingles by ``CELLS`` hash cells
+already differ by more than H can't link and are left out. Pairs are verified on the whole sets of 64-bit shingle hashes. Links between members that
 are already connected are not enumerated: components are exact, ``n_links`` counts are not offered.
 
 Defined cases: null and empty texts and texts without words have ``n_shingles`` 0 and link with nothing; texts
@@ -37,7 +40,9 @@ from termlens.llm.common import components, mixed, portions, span_hashes, squeez
 
 BLOCK_BYTES = 6 << 20
 SMALL = 8  # bands with at most so many thresholds may use one-deletion neighbourhoods
-SPARE = 0.15  # further segments of larger bands
+SPARE = 0.3  # further segments of larger bands
+CELLS = 64  # cells of the counts that bound a difference from below
+ROUNDS, NEXT, RING = 4, 4, 2048  # rings: rounds, members compared with, members a ring
 CHANCE = 40.0  # cost of a segment's chance match against that of a signature
 FILTER_BITS = 1 << 23  # bits of the broadcast filter of classes to be verified: 1 MB
 
@@ -80,8 +85,8 @@ class Bands:
 
 
 def signatures(shingles: np.ndarray, band: int, scheme: tuple[int, int, int]):
-    """(signatures, probe flags) of one set under a band's scheme."""
-    segments, deletions, probes = scheme
+    """The signatures of one set under a band's scheme."""
+    segments, deletions, _ = scheme
     seed = mixed(np.array([band + 1], dtype=np.uint64))[0]
     spread = mixed(shingles ^ seed)
     segment = ((spread >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
@@ -95,12 +100,10 @@ def signatures(shingles: np.ndarray, band: int, scheme: tuple[int, int, int]):
     name = mixed((np.uint64(band) << np.uint64(32)) + np.arange(segments, dtype=np.uint64))
     out = mixed(sums ^ name)
     if not deletions:
-        probe = np.zeros(segments, dtype=bool)
-        probe[np.argsort(-sizes, kind="stable")[:probes]] = True
-        return out, probe
+        return out
     near = segment < deletions
     less = mixed((sums[segment[near]] - weight[near]) ^ name[segment[near]])
-    return np.concatenate([out, less]), np.ones(len(out) + len(less), dtype=bool)
+    return np.concatenate([out, less])
 
 
 def _sets(texts, n: int):
@@ -192,9 +195,8 @@ def _index(n: int, percent: int, buckets: int):
                     scheme = bands.scheme(band)
                     if scheme[2] <= 1 and scheme[1] == 0:
                         continue  # no difference allowed: partners would be exact copies, one class
-                    s, p = signatures(shingles, band, scheme)
-                    sigs.append(s)
-                    probes.append(p & (band == own))
+                    sigs.append(signatures(shingles, band, scheme))
+                    probes.append(np.full(len(sigs[-1]), band == own))
                 if sigs:
                     found[key] = (len(shingles), np.concatenate(sigs), np.concatenate(probes))
                     size += len(text)
@@ -206,40 +208,48 @@ def _index(n: int, percent: int, buckets: int):
     return run
 
 
-GROUPS = "gid long, class long, size long, probe boolean, star long"
-
-
-def _groups(rows: pd.DataFrame) -> pd.DataFrame:
-    """The groups of one bucket: signatures shared by several classes and probed by one of them at least."""
-    sigs, classes, sizes, probes = [], [], [], []
-    for r in rows.itertuples():
-        owner = np.cumsum(unsqueeze(r.owners, np.int32), dtype=np.int64)
-        sigs.append(unsqueeze(r.sigs, np.uint64))
-        classes.append(unsqueeze(r.classes, np.int64)[owner])
-        sizes.append(unsqueeze(r.sizes, np.int64)[owner])
-        probes.append(unsqueeze(r.probes, np.uint8))
-    sig = np.concatenate(sigs)
-    del sigs
-    twice = np.sort(sig)
-    twice = twice[1:][twice[1:] == twice[:-1]]
-    twice = twice[np.concatenate([[True], twice[1:] != twice[:-1]])] if len(twice) else twice
-    if not len(twice):
-        return pd.DataFrame({"gid": [], "class": [], "size": [], "probe": [], "star": []})
-    at = np.minimum(np.searchsorted(twice, sig), len(twice) - 1)
-    keep = twice[at] == sig
-    f = pd.DataFrame({"g": at[keep], "class": np.concatenate(classes)[keep], "size": np.concatenate(sizes)[keep], "probe": np.concatenate(probes)[keep] > 0})
-    f = f.groupby(["g", "class"], as_index=False).agg(size=("size", "first"), probe=("probe", "any"))
-    # one star centre a group; groups of the same members (and probes) say the same
-    token = mixed(f["class"].to_numpy().view(np.uint64))
-    f["t"] = token
-    f["h"] = mixed(token + f["probe"].to_numpy().astype(np.uint64)).view(np.int64)
-    g = f.groupby("g")
-    kept = pd.DataFrame({"n": g["class"].size(), "any": g["probe"].any(), "h": g["h"].sum()})
-    kept = kept[(kept.n > 1) & kept["any"]].drop_duplicates(["n", "h"])
-    f = f[f.g.isin(kept.index)].sort_values(["g", "t"], kind="stable")
-    f["star"] = f.groupby("g")["class"].transform("first")
-    f["gid"] = (np.int64(rows.bucket.iloc[0]) << 40) + f["g"]
-    return f[["gid", "class", "size", "probe", "star"]]
+GROUPS = "gid long, class long, size long, probe boolean, members long, copies long, spare long"
+
+
+def _groups(percent: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """The groups of one bucket: signatures that several classes share."""
+        sigs, classes, sizes, probes = [], [], [], []
+        for r in rows.itertuples():
+            owner = np.cumsum(unsqueeze(r.owners, np.int32), dtype=np.int64)
+            sigs.append(unsqueeze(r.sigs, np.uint64))
+            classes.append(unsqueeze(r.classes, np.int64)[owner])
+            sizes.append(unsqueeze(r.sizes, np.int64)[owner])
+            probes.append(unsqueeze(r.probes, np.uint8))
+        sig = np.concatenate(sigs)
+        del sigs
+        twice = np.sort(sig)
+        twice = twice[1:][twice[1:] == twice[:-1]]
+        twice = twice[np.concatenate([[True], twice[1:] != twice[:-1]])] if len(twice) else twice
+        if not len(twice):
+            return pd.DataFrame({c.split()[0]: [] for c in GROUPS.split(", ")})
+        at = np.minimum(np.searchsorted(twice, sig), len(twice) - 1)
+        keep = twice[at] == sig
+        f = pd.DataFrame({"g": at[keep], "class": np.concatenate(classes)[keep], "size": np.concatenate(sizes)[keep], "probe": np.concatenate(probes)[keep] > 0})
+        f = f.groupby(["g", "class"], as_index=False).agg(size=("size", "first"), probe=("probe", "any"))
+        # groups of the same members (and probes) say the same: one is kept, and counted as so many
+        token = mixed(f["class"].to_numpy().view(np.uint64))
+        f["h"] = mixed(token + f["probe"].to_numpy().astype(np.uint64)).view(np.int64)
+        g = f.groupby("g")
+        kept = pd.DataFrame({"members": g["class"].size(), "any": g["probe"].any(), "h": g["h"].sum()})
+        kept = kept[(kept.members > 1) & kept["any"]]
+        kept["copies"] = kept.groupby(["members", "h"])["any"].transform("size")
+        kept = kept.drop_duplicates(["members", "h"])
+        f = f.join(kept[["members", "copies"]], on="g", how="inner")
+        bands = Bands(percent)
+        spare = {}
+        for size in f["size"].unique():
+            segments, deletions, need = bands.scheme(bands.band(int(size)))
+            spare[size] = 0 if deletions else segments - need
+        f["spare"] = f["size"].map(spare)
+        f["gid"] = (np.int64(rows.bucket.iloc[0]) << 40) + f["g"]
+        return f[["gid", "class", "size", "probe", "members", "copies", "spare"]]
+    return run
 
 
 def _verify(percent: int):
@@ -259,7 +269,7 @@ def _set_rows(n: int, wanted):
         bits = wanted.value
         done = set()
         for batch in batches:
-            classes, sets, size = [], [], 0
+            classes, sets, cells, size = [], [], [], 0
             for shingles in _sets(batch.column(0).to_pylist(), n):
                 if len(shingles):
                     key = int(_class_of(shingles))
@@ -269,31 +279,36 @@ def _set_rows(n: int, wanted):
                             done.add(key)
                         classes.append(key)
                         sets.append(shingles.tobytes())
+                        cells.append(np.bincount((mixed(shingles) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).tolist())
                         size += len(sets[-1])
                         if size >= BLOCK_BYTES:
-                            yield _rows(classes, sets)
-                            classes, sets, size = [], [], 0
-            yield _rows(classes, sets)
+                            yield _rows(classes, sets, cells)
+                            classes, sets, cells, size = [], [], [], 0
+            yield _rows(classes, sets, cells)
     return run
 
 
-def _rows(classes, sets):
-    return pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], names=["class", "set"])
+def _rows(classes, sets, cells):
+    return pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary()), pa.array(cells, pa.list_(pa.int32()))],
+                                      names=["class", "set", "cells"])
 
 
-def links_of(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets link. Sets are built anew for the classes named; a bit filter of
-    fixed size keeps other texts from being shuffled."""
-    spark = pairs.sparkSession
-    named = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+def sets_of(named: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(class, set, cells) of the classes named; cells are its counts of shingles by hash cell. Sets are built anew from the texts; a bit filter of fixed size keeps
+    most other texts' sets from being shuffled."""
+    spark = named.sparkSession
     bit = F.pmod(F.col("class"), F.lit(FILTER_BITS))
     maps = named.select(F.bitmap_bucket_number(bit).alias("k"), F.bitmap_bit_position(bit).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
     bits = bytearray(FILTER_BITS // 8 + 8192)
     for row in maps:  # bucket k holds the numbers (k - 1) * 32768 + 1 .. k * 32768; 0 is in bucket 0
         _place(bits, row.k, bytes(row.bits))
     wanted = spark.sparkContext.broadcast(bytes(bits))
-    sets = docs.mapInArrow(_set_rows(n, wanted), "class long, set binary")
-    sets = written(sets.join(named, "class", "left_semi").groupBy("class").agg(F.first("set").alias("set")), "jaccard-sets")
+    sets = docs.mapInArrow(_set_rows(n, wanted), "class long, set binary, cells array<int>")
+    return written(sets.join(named, "class", "left_semi").groupBy("class").agg(F.first("set").alias("set"), F.first("cells").alias("cells")), "jaccard-sets")
+
+
+def links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets link."""
     both = (pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
             .join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y"))
     return written(both.mapInArrow(_verify(percent), "a long, b long"), "jaccard-links")
@@ -320,29 +335,65 @@ def classes(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent: in
     total = members.agg(F.sum("n_shingles").alias("s")).first().s or 0
     buckets = int(min(4096, max(3 * spark.sparkContext.defaultParallelism, total // 1_500_000)))
     packed = texts.mapInArrow(_index(n, percent, buckets), "bucket int, sigs binary, owners binary, probes binary, classes binary, sizes binary")
-    groups = written(packed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_groups, GROUPS), "jaccard-groups")
-
-    def pair(a, b, size_a, size_b):
-        larger, smaller = F.greatest(size_a, size_b), F.least(size_a, size_b)
-        return (F.col(a) != F.col(b)) & (100 * smaller >= percent * larger)
-
-    centre = groups.where("class = star").select(F.col("gid").alias("cg"), F.col("size").alias("centre_size"))
-    tried = written(groups.where("class <> star").join(centre, F.col("gid") == F.col("cg"))
-                    .where(pair("class", "star", F.col("size"), F.col("centre_size")))
-                    .select(F.least("class", "star").alias("a"), F.greatest("class", "star").alias("b")).distinct(), "jaccard-stars")
-    links = links_of(tried, texts, n, percent)
-    found = components(links)
-    at = groups.join(found.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    open_ = at.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gid")
-    at = written(at.join(open_, "gid", "left_semi").drop("star"), "jaccard-open")
-    other = at.select(F.col("gid").alias("g2"), F.col("class").alias("c2"), F.col("size").alias("s2"), F.col("component").alias("k2"))
-    across = (at.where("probe").join(other, (F.col("gid") == F.col("g2")) & (F.col("component") != F.col("k2")) & (F.col("size") >= F.col("s2"))
-                                     & (100 * F.col("s2") >= percent * F.col("size")))
-              .select(F.least("class", "c2").alias("a"), F.greatest("class", "c2").alias("b")).distinct())
-    across = written(across.join(tried, ["a", "b"], "left_anti"), "jaccard-across")
-    if across.limit(1).count():
-        links = links.unionByName(links_of(across, texts, n, percent))
+    raw = packed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_groups(percent), GROUPS)
+    # allocation by cost: a set's most crowded segments go first, as many as it has to spare
+    crowd = Window.partitionBy("class").orderBy(F.desc("members"), "gid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spent = F.sum(F.when(F.col("probe"), F.col("copies")).otherwise(0)).over(crowd)
+    groups = written(raw.withColumn("probe", F.col("probe") & (spent > F.col("spare"))).drop("copies", "spare"), "jaccard-groups")
+    live = groups.groupBy("gid").agg(F.max("probe").alias("any")).where("any").select("gid")
+    groups = written(groups.join(live, "gid", "left_semi"), "jaccard-probed")
+    sets = sets_of(groups.select("class").distinct(), texts, n)
+    links, tried, found = None, None, None
+
+    def still_open():
+        """Members, with their components, of the groups that are in several components."""
+        if found is None:
+            return groups.withColumn("component", F.col("class"))
+        at = groups.join(found.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        apart = at.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gid")
+        return written(at.join(apart, "gid", "left_semi"), "jaccard-open")
+
+    def compared(pairs):
+        """Verify new pairs; False if there are none."""
+        nonlocal links, tried, found
+        pairs = pairs.distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        if not pairs.limit(1).count():
+            return False
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = links_of(pairs, sets, percent)
+        links = new if links is None else links.unionByName(new)
+        if not new.limit(1).count():
+            return False
         found = components(links)
+        return True
+
+    def fits(size, probe, size2, probe2):
+        """May the two sets be partners, and does the larger one probe?"""
+        return ((100 * F.least(size, size2) >= percent * F.greatest(size, size2))
+                & ((probe & (size >= size2)) | (probe2 & (size2 >= size))))
+
+    for k in range(ROUNDS):
+        at = still_open().withColumn("turn", F.xxhash64("class", F.lit(k)))
+        ring = F.pmod(F.shiftright("turn", 20), F.ceil(F.col("members") / RING))
+        line = Window.partitionBy("gid", "ring").orderBy("turn", "class")
+        me = F.struct("class", "size", "component", "probe")
+        near = at.withColumn("ring", ring).withColumn("others", F.array(*[F.lead(me, j).over(line) for j in range(1, NEXT + 1)]))
+        near = near.select("class", "size", "component", "probe", F.explode("others").alias("o")).where("o IS NOT NULL AND component <> o.component")
+        if not compared(near.where(fits(F.col("size"), F.col("probe"), F.col("o.size"), F.col("o.probe")))
+                        .select(F.least("class", "o.class").alias("a"), F.greatest("class", "o.class").alias("b"))) and k:
+            break
+    if tried is not None:
+        at = still_open().join(sets.select("class", "cells"), "class")
+        other = at.select(F.col("gid").alias("g2"), F.col("class").alias("c2"), F.col("size").alias("s2"), F.col("component").alias("k2"),
+                          F.col("probe").alias("p2"), F.col("cells").alias("e2"))
+        apart = F.aggregate(F.zip_with("cells", "e2", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
+        compared(at.join(other, (F.col("gid") == F.col("g2")) & (F.col("component") < F.col("k2"))
+                         & fits(F.col("size"), F.col("probe"), F.col("s2"), F.col("p2"))
+                         & ((100 + percent) * apart <= (100 - percent) * (F.col("size") + F.col("s2"))))
+                 .select(F.least("class", "c2").alias("a"), F.greatest("class", "c2").alias("b")))
+    if found is None:
+        return members.select("id", "n_shingles", "class", F.col("class").alias("component"))
     return members.join(found.select(F.col("node").alias("class"), "component"), "class", "left").select(
         "id", "n_shingles", "class", F.coalesce("component", "class").alias("component"))
 
