@@ -48,12 +48,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def squeeze(values: np.ndarray) -> bytes:
     """An array as compressed bytes: 8 bytes of length, then zstd over byte planes."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
     return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def unsqueeze(data: bytes, dtype) -> np.ndarray:
     size = int.from_bytes(data[:8], "little")
+    if not size:
+        return np.zeros(0, dtype)
     planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
     width = np.dtype(dtype).itemsize
     return np.ascontiguousarray(planes.reshape(width, -1).T).view(dtype).reshape(-1)

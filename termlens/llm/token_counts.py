@@ -21,13 +21,12 @@ import re
 import unicodedata
 from collections import Counter
 
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TABLE = 1 << 16  # broadcast pre-tokens
-SAMPLE = 2000  # rows they are gathered from
+SAMPLE, SAMPLE_LETTERS = 2000, 8000  # rows they are gathered from, and letters of each
 CACHE = 1 << 18  # pre-tokens a worker keeps
 LONGEST = 64  # longer pre-tokens are encoded anew each time
 # ---- fixed values: white space and pre-tokens as the tokenizer file has them ----
@@ -115,24 +114,14 @@ def _lengths(table) -> Lengths:
     return _WORKER[key]
 
 
-def _frequent(tokenizer: str):
-    def run(batches):
-        lengths, counts = Lengths(tokenizer, {}), Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(w for w in lengths.pre_tokens(text) if len(w) <= LONGEST)
-        top = counts.most_common(TABLE)
-        yield pa.RecordBatch.from_pydict({"word": [w for w, _ in top], "n": [lengths[w] for w, _ in top], "hits": [c for _, c in top]},
-                                         schema=pa.schema([("word", pa.string()), ("n", pa.int64()), ("hits", pa.int64())]))
-    return run
-
-
 def frequent_table(texts: DataFrame, text_col: str, tokenizer: str) -> dict:
-    """Lengths of the most frequent pre-tokens of a bounded sample; at most ``TABLE`` short strings."""
-    sample = texts.where(F.col(text_col).isNotNull()).select(text_col).limit(SAMPLE)
-    found = sample.mapInArrow(_frequent(tokenizer), "word string, n long, hits long")
-    top = found.groupBy("word").agg(F.max("n").alias("n"), F.sum("hits").alias("hits")).orderBy(F.desc("hits"), "word").limit(TABLE)
-    return {r.word: r.n for r in top.collect()}
+    """Lengths of the most frequent pre-tokens of a bounded sample: at most ``SAMPLE`` rows, ``SAMPLE_LETTERS``
+    letters of each (a sample for speed only), come to the driver; at most ``TABLE`` short strings go out."""
+    sample = texts.where(F.col(text_col).isNotNull()).select(F.left(F.col(text_col), F.lit(SAMPLE_LETTERS)).alias("t")).take(SAMPLE)
+    lengths, counts = Lengths(tokenizer, {}), Counter()
+    for row in sample:
+        counts.update(w for w in lengths.pre_tokens(row.t) if len(w) <= LONGEST)
+    return {w: lengths[w] for w, _ in counts.most_common(TABLE)}
 
 
 def count_tokens(docs: DataFrame, text_col: str, tokenizer_file: str, limit: int = 2048) -> DataFrame:
