@@ -10,8 +10,10 @@ give the pieces that end there, and the best of them is relaxed into the Viterbi
   at each position is the library's encoding. Admissible pairs are decided once and cached.
 
 White space is written as the mark U+2581, a mark is put in front, and no piece holds a mark after a letter,
-so runs of letters between marks are coded on their own and kept in a bounded cache per worker. Letters
-without a piece become byte pieces. Decoding joins pieces and bytes and drops the mark in front.
+so runs of letters between marks are coded on their own and kept in a bounded cache per worker. Runs of up to
+``LONGEST`` letters that are not in it are coded together, column by column over arrays (``Columns``); longer
+ones one at a time (``Codec.run``): the same pass of the same automaton. Letters without a piece become byte
+pieces. Decoding joins pieces and bytes and drops the mark in front.
 
 Defined cases: null texts give null ids; empty texts give no ids; repeated rows are coded each; other columns
 are kept (a clashing ``ids`` column is replaced); an empty table gives no rows. A text that holds U+2581 comes
@@ -28,12 +30,158 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termlens.llm.common import portions
+
 MARK = "▁"
 CACHE = 1 << 18
 LONGEST = 64
+PAIRS = 1 << 21  # decided pairs a worker keeps as arrays (18 MB)
+CHUNK = 1 << 15  # runs coded at once
 _RUN = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
 
+class Columns:
+    """The automaton as arrays: codes many short runs at once, one position of all of them per step.
+
+    ``out`` and ``more`` are the output links: the node of the longest piece that ends at a node, and of the
+    next shorter one (0: none)."""
+
+    def __init__(self, codec: "Codec"):
+        self.codec = codec
+        letters = sorted({x for p in codec.normal for x in p})
+        self.width = len(letters) + 1
+        self.letter = np.zeros(0x110000, dtype=np.int32)  # code point -> column, 0: in no piece
+        self.letter[[ord(x) for x in letters]] = np.arange(1, self.width)
+        known = {x: i + 1 for i, x in enumerate(letters)}
+        children: list[dict[int, int]] = [{}]
+        piece, size = [-1], [0]
+        for p, i in codec.normal.items():
+            node = 0
+            for x in p:
+                step = children[node].setdefault(known[x], len(children))
+                if step == len(children):
+                    children.append({})
+                    piece.append(-1)
+                    size.append(0)
+                node = step
+            piece[node], size[node] = i, len(p)
+        fail, out, more, level = [0] * len(children), [0] * len(children), [0] * len(children), [0]
+        while level:  # breadth first: a node's fail node lies nearer to the root
+            below = []
+            for node in level:
+                for x, child in children[node].items():
+                    at = fail[node]
+                    while node and at and x not in children[at]:
+                        at = fail[at]
+                    fail[child] = children[at].get(x, 0) if node else 0
+                    longest = out[fail[child]]
+                    out[child], more[child] = (child, longest) if piece[child] >= 0 else (longest, 0)
+                    below.append(child)
+            level = below
+        edges = sorted((node * self.width + x, child) for node, c in enumerate(children) for x, child in c.items())
+        self.edges, self.targets = np.array(edges or [(-1, 0)], dtype=np.int64).T.copy()
+        self.fail, self.out, self.more = (np.array(v, dtype=np.int64) for v in (fail, out, more))
+        self.piece, self.size = np.array(piece, dtype=np.int64), np.array(size, dtype=np.int64)
+        self.pair_keys, self.pair_ok = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+        self.scores = np.array(codec.scores, dtype=np.float64)
+
+    def _step(self, states: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The nodes after one more letter, following fail links where there is no edge."""
+        out = np.zeros(len(states), dtype=np.int64)
+        open_ = np.flatnonzero(letters)
+        states = states[open_]
+        while len(open_):
+            keys = states * self.width + letters[open_]
+            at = np.minimum(np.searchsorted(self.edges, keys), len(self.edges) - 1)
+            hit = self.edges[at] == keys
+            out[open_[hit]] = self.targets[at[hit]]
+            left = ~hit & (states > 0)
+            open_, states = open_[left], self.fail[states[left]]
+        return out
+
+    def _admissible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``Codec.admissible`` of many pairs; pairs met for the first time are decided once each."""
+        keys = (left + 1) * len(self.codec.texts) + right
+        if not len(keys):
+            return np.zeros(0, dtype=bool)
+
+        def found():
+            at = np.searchsorted(self.pair_keys, keys)
+            near = np.minimum(at, max(0, len(self.pair_keys) - 1))
+            return near, (self.pair_keys[near] == keys) if len(self.pair_keys) else np.zeros(len(keys), dtype=bool)
+
+        near, hit = found()
+        out = np.zeros(len(keys), dtype=bool)
+        out[hit] = self.pair_ok[near[hit]]
+        if not hit.all():
+            new, back = np.unique(keys[~hit], return_inverse=True)
+            vocabulary = len(self.codec.texts)
+            ok = np.array([self.codec.decided(k // vocabulary - 1, k % vocabulary) for k in new.tolist()], dtype=bool)
+            out[~hit] = ok[back]
+            if len(self.pair_keys) + len(new) <= PAIRS:
+                at = np.searchsorted(self.pair_keys, new)
+                self.pair_keys, self.pair_ok = np.insert(self.pair_keys, at, new), np.insert(self.pair_ok, at, ok)
+        return out
+
+    def code(self, runs: list[str]) -> list[tuple]:
+        """Ids of each of ``runs``, none longer than ``LONGEST`` letters."""
+        order = sorted(range(len(runs)), key=lambda i: len(runs[i]), reverse=True)
+        out: list = [()] * len(runs)
+        for lo in range(0, len(order), CHUNK):
+            some = order[lo:lo + CHUNK]
+            for i, ids in zip(some, self._coded([runs[i] for i in some])):
+                out[i] = ids
+        return out
+
+    def _coded(self, runs: list[str]) -> list[tuple]:
+        """``code`` for a chunk of runs, longest first."""
+        sizes = np.array([len(r) for r in runs], dtype=np.int64)
+        codes = self.letter[np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32)].astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        n, longest = len(runs), int(sizes[0]) if len(runs) else 0
+        came = np.zeros((longest + 1, n), dtype=np.int16)  # by position: where its last piece starts
+        last = np.full((longest + 1, n), -1, dtype=np.int32)  # and that piece (-1: a letter that stands alone)
+        best = np.zeros((longest + 1, n)) if self.codec.kind == "unigram" else None
+        states = np.zeros(n, dtype=np.int64)
+        for end in range(1, longest + 1):
+            live = int(np.searchsorted(-sizes, -end, side="right"))  # runs with a letter here
+            states = self._step(states[:live], codes[first[:live] + end - 1])
+            came[end, :live] = end - 1
+            if best is not None:
+                best[end, :live] = best[end - 1, :live] - 1e6
+            settled = np.zeros(live, dtype=bool)
+            links = self.out[states]
+            rows = np.flatnonzero(links)
+            links = links[rows]
+            while len(rows):
+                piece, start = self.piece[links], end - self.size[links]
+                if best is None:
+                    good = self._admissible(last[start, rows].astype(np.int64), piece)
+                    going = ~good
+                else:
+                    score = best[start, rows] + self.scores[piece]
+                    good = ~settled[rows] | (score > best[end, rows])
+                    best[end, rows[good]] = score[good]
+                    going = np.ones(len(rows), dtype=bool)
+                settled[rows[good]] = True
+                came[end, rows[good]], last[end, rows[good]] = start[good], piece[good]
+                links = self.more[links]
+                going &= links > 0
+                rows, links = rows[going], links[going]
+        rows, at, steps = np.arange(n), sizes.copy(), []
+        while len(rows):
+            steps.append((rows, last[at, rows]))
+            at = came[at, rows].astype(np.int64)
+            rows, at = rows[at > 0], at[at > 0]
+        if not steps:
+            return []
+        owner, ids = np.concatenate([s[0] for s in steps][::-1]), np.concatenate([s[1] for s in steps][::-1])
+        alone = set(owner[ids < 0].tolist())  # runs with byte pieces
+        ids = ids[np.argsort(owner, kind="stable")].tolist()
+        ends = np.cumsum(np.bincount(owner, minlength=n)).tolist()
+        return [self.codec.run(runs[i]) if i in alone else tuple(ids[a:b]) for i, (a, b) in enumerate(zip([0, *ends], ends))]
+
+
 class Codec:
     """Encoder and decoder over a table of pieces."""
 
@@ -58,6 +206,7 @@ class Codec:
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
         self.runs: dict[str, tuple] = {}
+        self.columns = Columns(self)
 
     @classmethod
     def of_file(cls, model: bytes, kind: str = "bpe") -> "Codec":
@@ -82,12 +231,16 @@ class Codec:
         key = (left, right)
         got = self.pairs.get(key)
         if got is None:
-            a, b = self.texts[left] if left >= 0 else "", self.texts[right]
-            got = self._merged(a + b) == ([a, b] if a else [b])
+            got = self.decided(left, right)
             if len(self.pairs) < CACHE:
                 self.pairs[key] = got
         return got
 
+    def decided(self, left: int, right: int) -> bool:
+        """``admissible`` by merging the letters of both."""
+        a, b = self.texts[left] if left >= 0 else "", self.texts[right]
+        return self._merged(a + b) == ([a, b] if a else [b])
+
     def run(self, text: str) -> tuple:
         """Ids of one run: a single pass of the automaton with one survivor a position."""
         n = len(text)
@@ -120,17 +273,23 @@ class Codec:
         return tuple(reversed(ids))
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        runs, out = self.runs, []
-        for run in _RUN.findall(MARK + text.replace(" ", MARK)):
-            ids = runs.get(run)
-            if ids is None:
-                ids = self.run(run)
-                if len(runs) < CACHE and len(run) <= LONGEST:
-                    runs[run] = ids
-            out.extend(ids)
-        return out
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list) -> list:
+        """Ids of every text (None for None)."""
+        split = [_RUN.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        coded, new = self.runs, set()
+        for runs in split:
+            new.update(runs)
+        new = [r for r in new if r not in coded]
+        here = {r: self.run(r) for r in new if len(r) > LONGEST}
+        short = [r for r in new if len(r) <= LONGEST]
+        room = CACHE - len(coded)
+        for k, (r, ids) in enumerate(zip(short, self.columns.code(short))):
+            (coded if k < room else here)[r] = ids
+        both = {**coded, **here} if here and len(here) * 8 > len(coded) else None
+        get = both.__getitem__ if both is not None else (lambda r: coded[r] if r in coded else here[r]) if here else coded.__getitem__
+        return [None if t is None else list(chain.from_iterable(map(get, runs))) for t, runs in zip(texts, split)]
 
     def decode(self, ids) -> str:
         out, pending = [], bytearray()
@@ -179,7 +338,10 @@ def encoded(docs: DataFrame, text_col: str, model: bytes, kind: str = "bpe") ->
     @F.pandas_udf("array<int>")
     def ids(texts):
         codec = _codec(table)
-        return pd.Series([None if t is None else np.array(codec.encode(t), dtype=np.int32) for t in texts], dtype=object)
+        out = []
+        for some in portions(texts.tolist()):
+            out += [None if x is None else np.array(x, dtype=np.int32) for x in codec.encode_all(some)]
+        return pd.Series(out, dtype=object)
 
     return docs.withColumn("ids", ids(F.col(text_col)))
 

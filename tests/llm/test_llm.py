@@ -235,3 +235,21 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert 0 < out.doc_id.nunique() <= docs.count() and (out.n_pieces == out.ids.map(len)).all()
     assert isinstance(out, pd.DataFrame) and out.groupby("doc_id").size().max() <= mixing.MOST
+
+
+def test_sentencepiece_columns_equal_single_runs():
+    """Runs coded together, by columns, get the ids of runs coded one at a time, for both kinds of model."""
+    import random
+
+    from termlens.llm.sentencepiece_codec import LONGEST, Codec
+
+    r = random.Random(3)
+    words = sorted({"".join(r.choice("abc") for _ in range(r.randrange(1, 6))) for _ in range(80)} | {"a", "b", "c"})
+    pieces = [("<unk>", 0.0, "unknown"), *[(f"<0x{b:02X}>", 0.0, "byte") for b in range(256)],
+              *[(w, -float(i), "normal") for i, w in enumerate(sorted(words, key=len, reverse=True))]]
+    texts = ["", "a", "a" * LONGEST, "ab" * LONGEST] + ["".join(r.choice("abcdé") for _ in range(r.randrange(1, 70))) for _ in range(500)]
+    for kind in ("bpe", "unigram"):
+        together, alone = Codec(pieces, kind), Codec(pieces, kind)
+        short = [t for t in texts if 0 < len(t) <= LONGEST]
+        assert together.columns.code(short) == [alone.run(t) for t in short]
+        assert together.encode_all([None, *texts, *texts]) == [None, *[alone.encode(t) for t in texts * 2]]
