@@ -77,14 +77,17 @@ class Graph:
         """Of candidates sorted by similarity, those nearer to the node than to any chosen before, then the
         nearest others; rows of ``most`` ids, -1: none."""
         vectors = self.x[np.maximum(ids, 0)]
-        between = np.einsum("qcd,qed->qce", vectors, vectors)
+        between = vectors @ vectors.transpose(0, 2, 1)
         valid = (ids >= 0) & (sims > -1.5)
         chosen = np.zeros(ids.shape, dtype=bool)
         closest = np.full(ids.shape, -2.0, dtype=np.float32)  # similarity to the nearest chosen one
+        taken = np.zeros(len(ids), dtype=np.int64)
         for c in range(ids.shape[1]):
-            take = valid[:, c] & (sims[:, c] > closest[:, c]) & (chosen.sum(1) < max(1, most // 2))
-            chosen[:, c] = take
-            np.maximum(closest, np.where(take[:, None], between[:, c], -2.0), out=closest)
+            r = np.flatnonzero(valid[:, c] & (sims[:, c] > closest[:, c]) & (taken < max(1, most // 2)))
+            if len(r):
+                chosen[r, c] = True
+                taken[r] += 1
+                closest[r] = np.maximum(closest[r], between[r, c])
         rank = np.argsort(np.where(chosen, 0, np.where(valid, 1, 2)), axis=1, kind="stable")[:, :most]
         out = np.where(np.take_along_axis(valid, rank, 1), np.take_along_axis(ids, rank, 1), -1)
         return np.pad(out, ((0, 0), (0, most - out.shape[1])), constant_values=-1)
@@ -100,12 +103,13 @@ class Graph:
         ends = np.cumsum(counts)
         for lo in range(0, len(at), BATCH):  # back links: merge, and thin out where there are too many
             part = at[lo:lo + BATCH]
-            most = int(counts[lo:lo + BATCH].max())
-            fresh = np.full((len(part), most), -1, dtype=np.int64)
-            for row, (end, count) in enumerate(zip(ends[lo:lo + BATCH], counts[lo:lo + BATCH])):
-                fresh[row, :count] = source[end - count:end]
+            count, end = counts[lo:lo + BATCH], ends[lo:lo + BATCH]
+            fresh = np.full((len(part), int(count.max())), -1, dtype=np.int64)
+            first = end[0] - count[0]
+            row = np.repeat(np.arange(len(part)), count)
+            fresh[row, np.arange(first, end[-1]) - (end - count)[row]] = source[first:end[-1]]
             every = np.hstack([links[part], fresh])
-            sims = np.einsum("qd,qcd->qc", self.x[part], self.x[np.maximum(every, 0)])
+            sims = (self.x[np.maximum(every, 0)] @ self.x[part][:, :, None])[:, :, 0]
             again = (every[:, :, None] == every[:, None, :]) & (np.arange(every.shape[1])[None, :, None] > np.arange(every.shape[1])[None, None, :])
             sims = np.where((every < 0) | again.any(2), -2.0, sims)
             order = np.argsort(-sims, axis=1, kind="stable")
@@ -132,30 +136,37 @@ class Graph:
         sims = np.pad(sims, ((0, 0), (0, width - sims.shape[1])), constant_values=-2.0)
         order = np.argsort(-sims, axis=1, kind="stable")[:, :beam]
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+        best_ids, best_sims = ids, sims  # what is known of all queries; below, of those that still walk
         open_ = ids >= 0
         live = np.arange(len(q))
         while len(live):
-            rank = np.where(open_[live], np.arange(beam), beam * 2)
-            best = np.argpartition(rank, min(EXPAND, beam) - 1, axis=1)[:, :EXPAND] if beam > EXPAND else np.broadcast_to(np.arange(beam), (len(live), beam))
-            usable = np.take_along_axis(open_[live], best, 1)
-            at = np.take_along_axis(ids[live], best, 1)
-            open_[live[:, None], best] = False
+            rank = np.where(open_, np.arange(beam), beam * 2)
+            step = np.argpartition(rank, min(EXPAND, beam) - 1, axis=1)[:, :EXPAND] if beam > EXPAND else np.broadcast_to(np.arange(beam), (len(live), beam))
+            usable = np.take_along_axis(open_, step, 1)
+            at = np.take_along_axis(ids, step, 1)
+            np.put_along_axis(open_, step, False, 1)
             near = np.where(usable[:, :, None], links[np.maximum(at, 0)], -1).reshape(len(live), -1)
             near = np.sort(near, axis=1)
             fresh = (near >= 0) & np.concatenate([np.ones((len(live), 1), bool), near[:, 1:] != near[:, :-1]], axis=1)
             fresh &= ~seen[live[:, None], np.maximum(near, 0)]
             r, c = np.nonzero(fresh)
-            got = np.full(near.shape, -2.0, dtype=np.float32)
-            if len(r):
-                seen[live[r], near[r, c]] = True
-                got[r, c] = np.einsum("id,id->i", q[live[r]], self.x[near[r, c]])
-            every_ids = np.hstack([ids[live], np.where(fresh, near, -1)])
-            every = np.hstack([sims[live], got])
-            every_open = np.hstack([open_[live], fresh])
-            order = np.argsort(-every, axis=1, kind="stable")[:, :beam]
-            ids[live], sims[live] = np.take_along_axis(every_ids, order, 1), np.take_along_axis(every, order, 1)
-            open_[live] = np.take_along_axis(every_open, order, 1)
-            live = live[open_[live].any(1)]
+            if len(r):  # only the new candidates, side by side, go into the beams
+                new, place = near[r, c], (np.cumsum(fresh, axis=1) - 1)[r, c]
+                seen[live[r], new] = True
+                got = np.full((len(live), int(place.max()) + 1), -2.0, dtype=np.float32)
+                got[r, place] = np.einsum("id,id->i", q[live[r]], self.x[new])
+                named = np.full(got.shape, -1, dtype=ids.dtype)
+                named[r, place] = new
+                every = np.hstack([sims, got])
+                order = np.argsort(-every, axis=1, kind="stable")[:, :beam]
+                sims = np.take_along_axis(every, order, 1)
+                ids = np.take_along_axis(np.hstack([ids, named]), order, 1)
+                open_ = np.take_along_axis(np.hstack([open_, named >= 0]), order, 1)
+            going = open_.any(1)
+            if not going.all():
+                best_ids[live[~going]], best_sims[live[~going]] = ids[~going], sims[~going]
+                live, ids, sims, open_ = live[going], ids[going], sims[going], open_[going]
+        ids, sims = best_ids, best_sims
         return ids, sims
 
     def search(self, q: np.ndarray, beam: int, extra: int = 0):
