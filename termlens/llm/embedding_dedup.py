@@ -1,7 +1,7 @@
 """Operator 8: embedding near-dedup with hierarchical navigable small-world graphs.
 
 Exact copies (same label, same numbers) are one class. Classes of a label are dealt by hash into shards of at
-most about ``SHARD`` vectors, so a hot label has many shards; every shard gets its own graph, and every class
+most about ``SHARD`` vectors or ``SHARD_BYTES``, so a hot label has many shards; every shard gets its own graph, and every class
 queries every shard of its label, in chunks of ``CHUNK`` queries. A chunk's beams are widened until its audit
 queries (``AUDIT`` of them, compared with the whole shard by brute force) reach the asked recall; a query whose
 whole beam links is repeated with a wider one, so large groups are found whole. Found pairs are verified by
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from termlens.llm.common import components, written
 from termlens.llm.hnsw import Graph
 
-SHARD = 16384
+SHARD, SHARD_BYTES = 16384, 32 << 20  # vectors a shard, and bytes of them: a shard is one packed row
 CHUNK = 1024
 AUDIT = 48
 RECALL = 0.99
@@ -90,14 +90,13 @@ def _search(threshold: float):
     def run(shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(shard) or not len(queries):
             return pd.DataFrame({"class": [], "low": [], "links": []})
-        shard = shard.sort_values("class")
-        unit, asked = _unit(shard.v), _unit(queries.v)
-        keys, own = shard["class"].to_numpy(), queries["class"].to_numpy()
-        graph = Graph.restored(unit, shard.links)
-        q, n = search_shard(graph, unit, asked, threshold)
+        packed = shard.iloc[0]
+        keys, counts = np.frombuffer(packed["keys"], np.int64), np.frombuffer(packed["counts"], np.int64)
+        unit, asked, own = np.frombuffer(packed["vectors"], np.float64).reshape(len(keys), -1), _unit(queries.v), queries["class"].to_numpy()
+        q, n = search_shard(Graph.restored(unit, packed["links"]), unit, asked, threshold)
         other = keys[n] != own[q]
         q, n = q[other], n[other]
-        links = np.bincount(q, weights=shard["n"].to_numpy()[n], minlength=len(own)).astype(np.int64)
+        links = np.bincount(q, weights=counts[n], minlength=len(own)).astype(np.int64)
         key, low = _local_edges(own[q], keys[n])
         return pd.concat([pd.DataFrame({"class": own, "low": own, "links": links}), pd.DataFrame({"class": key, "low": low, "links": 0})[lambda f: f["class"] != f["low"]]])
     return run
@@ -113,18 +112,18 @@ def near_duplicates(rows: DataFrame, id_col: str, vector_col: str, label_col: st
     members = base.select("id", "class")
     classes = written(base.where(good).groupBy("class").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("n"), F.min("id").alias("least"))
                       .withColumn("dim", F.size("v")), "hnsw-classes")
-    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("m")).withColumn("shards", F.ceil(F.col("m") / SHARD)).withColumn("chunks", F.ceil(F.col("m") / CHUNK)).drop("m")
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("m")).withColumn("shards", F.ceil(F.col("m") / F.greatest(F.lit(1), F.least(F.lit(SHARD), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("dim"))))))).withColumn("chunks", F.ceil(F.col("m") / CHUNK)).drop("m")
     placed = classes.join(sizes, ["label", "dim"])
     placed = placed.withColumn("shard", F.pmod(F.xxhash64("class", F.lit(1)), F.col("shards"))).withColumn("chunk", F.pmod(F.xxhash64("class", F.lit(2)), F.col("chunks")))
 
-    def build(part: pd.DataFrame) -> pd.DataFrame:
+    def build(key, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("class")
-        part["links"] = Graph(_unit(part.v)).packed()
-        return part
+        unit = _unit(part.v)
+        return pd.DataFrame([{"label": key[0], "dim": key[1], "shard": key[2], "chunks": part.chunks.iloc[0], "keys": part["class"].to_numpy(np.int64).tobytes(),
+                              "vectors": unit.tobytes(), "counts": part.n.to_numpy(np.int64).tobytes(), "links": Graph(unit).packed()}])
 
-    kind = f"class long, label {base.schema['label'].dataType.simpleString()}, dim int, v array<double>, n long, shard long, chunks long, links binary"
-    graphs = written(placed.select("class", "label", "dim", "v", "n", "shard", "chunks").withColumn("links", F.lit(None).cast("binary"))
-                     .groupBy("label", "dim", "shard").applyInPandas(build, kind), "hnsw-graphs")
+    kind = f"label {base.schema['label'].dataType.simpleString()}, dim int, shard long, chunks long, keys binary, vectors binary, counts binary, links binary"
+    graphs = written(placed.select("class", "label", "dim", "v", "n", "shard", "chunks").groupBy("label", "dim", "shard").applyInPandas(build, kind), "hnsw-graphs")
     each = graphs.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     asked = placed.select("class", "label", "dim", "v", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
     keys = ["label", "dim", "shard", "chunk"]

@@ -33,24 +33,22 @@ class Graph:
             entry = nodes[0]
         self.entry = entry
 
-    def packed(self) -> list[bytes]:
-        """One value per vector: its level and its links in the layers it belongs to."""
-        return [np.concatenate([[self.level[i]], *[links[i] for _, links in self.layers[:self.level[i] + 1]]]).astype(np.int32).tobytes()
-                for i in range(len(self.x))]
+    def packed(self) -> bytes:
+        """Levels of all vectors, then layer by layer the links of the vectors that belong to it."""
+        return b"".join([self.level.astype(np.int32).tobytes(), *[links[self.level >= depth].tobytes() for depth, (_, links) in enumerate(self.layers)]])
 
     @classmethod
-    def restored(cls, vectors: np.ndarray, packed) -> "Graph":
+    def restored(cls, vectors: np.ndarray, packed: bytes) -> "Graph":
         """The graph of the same vectors in the same order, from ``packed()``."""
-        graph = cls.__new__(cls)
+        graph, flat, n = cls.__new__(cls), np.frombuffer(packed, np.int32), len(vectors)
         graph.x = np.ascontiguousarray(vectors, dtype=np.float32)
-        rows = [np.frombuffer(p, np.int32) for p in packed]
-        graph.level = np.array([r[0] for r in rows], dtype=int)
+        graph.level, at = flat[:n].astype(int), n
         graph.layers = []
-        for depth in range(int(graph.level.max()) + 1 if len(rows) else 0):
-            links = np.full((len(rows), 2 * M), -1, dtype=np.int32)
-            for i in np.flatnonzero(graph.level >= depth):
-                links[i] = rows[i][1 + depth * 2 * M:1 + (depth + 1) * 2 * M]
+        for depth in range(int(graph.level.max()) + 1 if n else 0):
             nodes = np.flatnonzero(graph.level >= depth)
+            links = np.full((n, 2 * M), -1, dtype=np.int32)
+            links[nodes] = flat[at:at + len(nodes) * 2 * M].reshape(-1, 2 * M)
+            at += len(nodes) * 2 * M
             graph.layers.append((nodes[np.argsort(-graph.level[nodes], kind="stable")], links))
         graph.entry = graph.layers[-1][0][0] if graph.layers else None
         return graph
