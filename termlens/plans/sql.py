@@ -276,7 +276,7 @@ def removal_ctes(tasks, split: str = "eval", methods=("lrp", "ig", "lgxa", "rand
         "nrm AS (SELECT method, _id, task, p, sqrt(sum(v * v)) AS norm FROM vv GROUP BY method, _id, task, p)",
         "dts AS (SELECT vv.method, vv._id, vv.task, vv.p, c.class, sum(vv.v * c.w) AS dot FROM vv JOIN coef c "
         "ON c.term = vv.term AND c.task = vv.task GROUP BY vv.method, vv._id, vv.task, vv.p, c.class)",
-        "kk AS (SELECT DISTINCT method, _id, task FROM rk)",
+        "kk AS (SELECT mt.method, dlen._id, mt.task FROM dlen CROSS JOIN mt)",
         "sg AS (SELECT kk.method, kk._id, kk.task, cu.p, cu.cut AS removed_tokens, cl.class FROM kk "
         "JOIN cuts cu ON cu._id = kk._id JOIN classes cl ON cl.task = kk.task)",
         "sc AS (SELECT sg.*, round(coalesce(d.dot / NULLIF(n.norm, 0), 0) + b.b, 9) AS score FROM sg "
