@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix's documents: what is taken of a document, one row per epoch in which words of it are taken."""
+    """The mix's documents: what is taken of a document, with its white space, one row per epoch in which words of it are taken."""
     return mixing.mixed_documents(docs, "doc_id", "text", "source", "n_chars")
 
 

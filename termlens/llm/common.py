@@ -15,6 +15,7 @@ from termlens.sources.tables import read_table
 
 # ---- fixed values: a word is a run of bytes other than ASCII white space; A-Z are lower-cased ----
 WORD = r"[^\x20\x09-\x0D]+"
+SPACES = r"[\x20\x09-\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # ---------------------------------------------------------------------------------------------------
 
@@ -37,6 +38,12 @@ def words(column):
     return F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit("(" + WORD + ")"), 1)
 
 
+def word_slices(column):
+    """Array of the text cut at word bounds, one slice a word of ``words``: the word with the white space behind
+    it, the first also with that ahead. Joined by the empty string they are the text (without words: none)."""
+    return F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(rf"((?:\A{SPACES}+)?{WORD}{SPACES}*)"), 1)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back: a lost executor then
     costs a read, and two plans over the result see the same rows."""

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termlens.llm.common import mixed, numbered, words, written
+from termlens.llm.common import mixed, numbered, word_slices, words, written
 
 BLOCK = 64  # words a block
 SHARD = 1024  # slots a shard
@@ -160,8 +160,9 @@ def taken(placed: DataFrame, mixture: DataFrame, sources: DataFrame, source_col:
 
 def mixed_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str, length_col: str | None = None, seed: int = 1) -> DataFrame:
     """The mix as documents, in the columns of ``docs``: one row per document and epoch in which words of it are
-    taken; the text is the taken words in order, joined by one space (so a document may come up to ``MOST``
-    times, whole or in part). ``length_col`` is set to the new text's length."""
+    taken (so a document may come up to ``MOST`` times, whole or in part). The text is the taken slices of the
+    original in order, each a word with the white space behind it (the first also with that ahead): a document
+    taken whole comes out unchanged. ``length_col`` is set to the new text's length."""
     placed, sources = pieces(docs, id_col, text_col, source_col)
     spans = mix(placed, sources, source_col, seed)
     copies = (spans.groupBy(F.col("source_no").alias("mix_no"), F.col("before").alias("mix_before"), F.col("epoch").alias("mix_epoch"))
@@ -169,8 +170,8 @@ def mixed_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str
     named = sources.select(F.col("source").alias("mix_source"), "source_no")
     at = placed.where("size > 0").join(named, F.col(source_col).eqNullSafe(F.col("mix_source"))).drop("mix_source")
     rows = at.join(copies, (F.col("source_no") == F.col("mix_no")) & (F.col("before") == F.col("mix_before")))
-    chosen = F.flatten(F.transform("mix_spans", lambda s: F.slice("mix_words", (s.from_word + 1).cast("int"), s.n_words.cast("int"))))
-    rows = rows.withColumn("mix_words", words(F.col(text_col))).withColumn(text_col, F.concat_ws(" ", chosen))
+    chosen = F.flatten(F.transform("mix_spans", lambda s: F.slice("mix_slices", (s.from_word + 1).cast("int"), s.n_words.cast("int"))))
+    rows = rows.withColumn("mix_slices", word_slices(F.col(text_col))).withColumn(text_col, F.array_join(chosen, ""))
     if length_col:
         rows = rows.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return rows.select(docs.columns)

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -253,3 +254,26 @@ def test_sentencepiece_columns_equal_single_runs():
         short = [t for t in texts if 0 < len(t) <= LONGEST]
         assert together.columns.code(short) == [alone.run(t) for t in short]
         assert together.encode_all([None, *texts, *texts]) == [None, *[alone.encode(t) for t in texts * 2]]
+
+
+def test_mixed_documents_keep_white_space(spark):
+    """Documents taken whole come out unchanged; parts are made of the original's words with the white space behind."""
+    texts = ["a b\n\n  c\td\r\n", "\n\tindented  twice\n", "one", " x\x0by\x0c z\x1cq\u00a0r ", "\n".join(f"line {i}\t{'#' * (i % 5)}  end" for i in range(200)), " \n ", "", None]
+    docs = spark.createDataFrame([(i, t, "only", 0) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars int")
+    got = {r.doc_id: r for r in mixing.mixed_documents(docs, "doc_id", "text", "source", "n_chars").collect()}
+    assert {i: r.text for i, r in got.items()} == {i: t for i, t in enumerate(texts) if t and t.strip()}
+    assert all(r.n_chars == len(r.text) for r in got.values())
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    original, parts = {r.doc_id: r.text for r in docs.collect()}, 0
+    for r in mixing.mixed_documents(docs, "doc_id", "text", "source", "n_chars").collect():
+        text = original[r.doc_id]
+        whole = len(word_list(r.text)) == len(word_list(text))
+        assert r.text == text if whole else r.text != text
+        slices = iter(re.findall(r"(?:\A[ \t-\r]+)?[^ \t-\r]+[ \t-\r]*", text))
+        assert all(s in slices for s in re.findall(r"(?:\A[ \t-\r]+)?[^ \t-\r]+[ \t-\r]*", r.text))  # in order
+        parts += not whole
+    assert parts
+
+
+def word_list(text):
+    return re.findall(r"[^ \t-\r]+", text)
