@@ -3,10 +3,10 @@
 Exact copies (same label, same numbers) are one class. Classes of a label are dealt by hash into shards of at
 most about ``SHARD`` vectors or ``SHARD_BYTES``, so a hot label has many shards; every shard gets its own graph, and every class
 queries every shard of its label, in chunks of ``CHUNK`` queries. A chunk's beams are widened until its audit
-queries (``AUDIT`` of them, compared with the whole shard by brute force) reach the asked recall; a query whose
-whole beam links is repeated with a wider one, so large groups are found whole (a beam that would take a good
-part of the shard is widened to all of it, by products instead of a walk). Found pairs are verified by
-cosine in double precision. A chunk returns each query's number of linked vectors and, instead of pairs, one
+queries (``AUDIT`` of them, compared with the whole shard by brute force) reach the asked recall; a query whose whole beam
+links is repeated with a wider one, so large groups are found whole, and the repeated queries are audited by
+their links at each beam, which widens on a miss (a beam that would take a good part of the shard is widened to
+all of it, by products instead of a walk). Found pairs are verified by cosine in double precision. A chunk returns each query's number of linked vectors and, instead of pairs, one
 edge per vector to a smaller linked one per chunk-local component; components are then joined.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite numbers, and vectors with a null
@@ -65,7 +65,7 @@ def _all(unit: np.ndarray, queries: np.ndarray, threshold: float):
 
 
 def search_shard(graph: Graph, unit: np.ndarray, queries: np.ndarray, threshold: float):
-    """All links of ``queries`` into one shard: (query row, shard row). Beams widen until the audit passes."""
+    """All links of ``queries`` into one shard: (query row, shard row). Beams widen until the audits pass."""
     if not len(unit) or not len(queries):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
@@ -87,6 +87,10 @@ def search_shard(graph: Graph, unit: np.ndarray, queries: np.ndarray, threshold:
             still = np.zeros(0, dtype=np.int64)
         else:
             q2, n2, still = _found(graph, unit, queries[full], threshold, beam, extra)
+            done = np.setdiff1d(np.arange(len(full)), still)  # these would stay as they are: audited at this beam
+            done = done[np.unique(np.linspace(0, len(done) - 1, min(AUDIT, len(done))).astype(int))]
+            if np.isin(q2, done).sum() < RECALL * (queries[full[done]] @ unit.T >= threshold).sum():
+                still = np.arange(len(full))
         q, n, full = np.append(q[keep], full[q2]), np.append(n[keep], n2), full[still]
     return q, n
 

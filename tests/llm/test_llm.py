@@ -277,3 +277,29 @@ def test_mixed_documents_keep_white_space(spark):
 
 def word_list(text):
     return re.findall(r"[^ \t-\r]+", text)
+
+
+class Lossy:
+    """Exact neighbours, but half of them are lost at beam 192."""
+
+    def __init__(self, unit):
+        self.x = unit.astype(np.float32)
+
+    def search(self, q, beam, extra=0):
+        sims = q @ self.x.T
+        ids = np.argsort(-sims, axis=1, kind="stable")[:, :beam]
+        sims = np.take_along_axis(sims, ids, 1)
+        if beam == 192:
+            ids[:, ::2], sims[:, ::2] = -1, -2.0
+        return ids, sims
+
+
+def test_repeated_queries_are_audited():
+    """In a shard too large for products at beam 192, a walk that loses links of repeated queries widens."""
+    rng = np.random.default_rng(9)
+    unit = rng.normal(size=(6500, 16))
+    unit[100:200] = unit[100] + 0.01 * rng.normal(size=(100, 16))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    assert 4 * embedding_dedup.BEAM * embedding_dedup.WIDE < len(unit)
+    q, _ = embedding_dedup.search_shard(Lossy(unit), unit, unit[:1000], 0.98)
+    assert len(q) == (unit[:1000] @ unit.T >= 0.98).sum()
