@@ -3,7 +3,8 @@
 Exact copies (same label, same numbers) are one class. Classes of a label are dealt by hash into shards of at
 most about ``SHARD`` vectors or ``SHARD_BYTES``, so a hot label has many shards; every shard gets its own graph, and every class
 queries every shard of its label, in chunks of ``CHUNK`` queries. A chunk's beams are widened until its audit
-queries (``AUDIT`` of them, compared with the whole shard by brute force) reach the asked recall; a query whose whole beam
+queries (``AUDIT`` of them, compared with the whole shard by brute force) reach the asked recall, both of their
+links and of their ``NEAR`` nearest neighbours in the shard, which there always are; a query whose whole beam
 links is repeated with a wider one, so large groups are found whole, and the repeated queries are audited by
 their links at each beam, which widens on a miss (a beam that would take a good part of the shard is widened to
 all of it, by products instead of a walk). Found pairs are verified by cosine in double precision. A chunk returns each query's number of linked vectors and, instead of pairs, one
@@ -27,6 +28,7 @@ from termlens.llm.hnsw import Graph
 SHARD, SHARD_BYTES = 16384, 32 << 20  # vectors a shard, and bytes of them: a shard is one packed row
 CHUNK = 1024
 AUDIT = 48
+NEAR = 10  # nearest neighbours an audit query is measured by
 RECALL = 0.99
 BEAM = 48
 WIDE = 32  # a beam of 1 / WIDE of the shard or more is widened to the whole shard
@@ -64,20 +66,40 @@ def _all(unit: np.ndarray, queries: np.ndarray, threshold: float):
     return np.concatenate(q), np.concatenate(n)
 
 
-def search_shard(graph: Graph, unit: np.ndarray, queries: np.ndarray, threshold: float):
-    """All links of ``queries`` into one shard: (query row, shard row). Beams widen until the audits pass."""
+def _near(found: np.ndarray, sims: np.ndarray, own: np.ndarray):
+    """How many of the ``NEAR`` nearest of each query, by all its similarities ``sims`` and itself left out, are
+    among the ids ``found``, and how many there are."""
+    rows = np.arange(len(sims))
+    among = np.zeros(sims.shape, dtype=bool)
+    r, c = np.nonzero(found >= 0)
+    among[r, found[r, c]] = True
+    sims, itself = sims.copy(), own >= 0
+    sims[rows[itself], own[itself]] = -2.0
+    k = np.minimum(NEAR, sims.shape[1] - itself)
+    least = -np.sort(-sims, axis=1)[rows, np.maximum(k, 1) - 1]  # ties of the last one count as it does
+    return np.minimum((among & (sims >= least[:, None] - 1e-6) & (sims > -1.5)).sum(1), k), k
+
+
+def search_shard(graph: Graph, unit: np.ndarray, queries: np.ndarray, threshold: float, own: np.ndarray | None = None):
+    """All links of ``queries`` into one shard: (query row, shard row). Beams widen until the audits pass.
+    ``own`` is the shard row that each query is itself, -1: none (the default)."""
     if not len(unit) or not len(queries):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-    truth = (queries[audit] @ unit.T >= threshold).sum(1)
+    sims = queries[audit] @ unit.T
+    truth = (sims >= threshold).sum(1)
+    itself = np.full(len(audit), -1) if own is None else own[audit]
     beam, extra = min(BEAM, len(unit)), 0
     while True:
         q, _, full = _found(graph, unit, queries[audit], threshold, beam, extra)
-        # a query with a full beam gets a wider one of its own below: it says nothing of the others' beam
-        hits = np.count_nonzero(~np.isin(q, full))
-        if hits >= RECALL * np.delete(truth, full).sum() or beam >= len(unit):
+        # a query with a full beam gets a wider one of its own below: it says nothing of the others' links
+        linked = np.count_nonzero(~np.isin(q, full)) >= RECALL * np.delete(truth, full).sum()
+        hits, near = _near(graph.search(queries[audit].astype(np.float32), beam, extra)[0], sims, itself)
+        if (linked and hits.sum() >= RECALL * near.sum()) or beam >= len(unit):
             break
         beam, extra = min(2 * beam, len(unit)), max(8, 2 * extra)
+        if beam * WIDE >= len(unit):
+            return _all(unit, queries, threshold)
     q, n, full = _found(graph, unit, queries, threshold, beam, extra)
     while len(full) and beam < len(unit):
         beam = min(4 * beam, len(unit))
@@ -117,7 +139,8 @@ def _search(threshold: float):
         packed = shard.iloc[0]
         keys, counts = np.frombuffer(packed["keys"], np.int64), np.frombuffer(packed["counts"], np.int64)
         unit, asked, own = np.frombuffer(packed["vectors"], np.float64).reshape(len(keys), -1), _unit(queries.v), queries["class"].to_numpy()
-        q, n = search_shard(Graph.restored(unit, packed["links"]), unit, asked, threshold)
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)  # keys are sorted
+        q, n = search_shard(Graph.restored(unit, packed["links"]), unit, asked, threshold, np.where(keys[at] == own, at, -1))
         other = keys[n] != own[q]
         q, n = q[other], n[other]
         links = np.bincount(q, weights=counts[n], minlength=len(own)).astype(np.int64)

@@ -279,6 +279,21 @@ def word_list(text):
     return re.findall(r"[^ \t-\r]+", text)
 
 
+def test_audit_measures_nearest_neighbours():
+    """A graph that reaches nothing fails its audit even if no audit query has a link."""
+    rng = np.random.default_rng(8)
+    unit = rng.normal(size=(3000, 16))
+    unit[2000] = unit[1] + 0.01 * rng.normal(size=16)  # the only link; neither of the two is an audit query
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    queries, own = unit[:1000], np.arange(1000)
+    audit = np.linspace(0, 999, embedding_dedup.AUDIT).astype(int)
+    assert 1 not in audit
+    graph = Graph(unit)
+    graph.layers[0][1][:] = -1
+    q, n = embedding_dedup.search_shard(graph, unit, queries, 0.98, own)
+    assert {(a, b) for a, b in zip(q, n) if a != b} == {(a, b) for a, b in np.argwhere(queries @ unit.T >= 0.98) if a != b} != set()
+
+
 class Lossy:
     """Exact neighbours, but half of them are lost at beam 192."""
 
@@ -301,5 +316,5 @@ def test_repeated_queries_are_audited():
     unit[100:200] = unit[100] + 0.01 * rng.normal(size=(100, 16))
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     assert 4 * embedding_dedup.BEAM * embedding_dedup.WIDE < len(unit)
-    q, _ = embedding_dedup.search_shard(Lossy(unit), unit, unit[:1000], 0.98)
+    q, _ = embedding_dedup.search_shard(Lossy(unit), unit, unit[:1000], 0.98, np.arange(1000))
     assert len(q) == (unit[:1000] @ unit.T >= 0.98).sum()
