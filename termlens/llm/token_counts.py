@@ -2,9 +2,10 @@
 
 A text is normalised and cut into pre-tokens by the tokenizer file's rules; its count is the sum of the
 pre-tokens' lengths in tokens, which do not depend on their neighbours. Tier 1 is a broadcast table of the
-lengths of frequent pre-tokens (at most ``TABLE`` entries, gathered from a sample of at most ``SAMPLE`` rows:
-it decides speed only, never a count). Misses are encoded by the library and kept in a bounded cache that a
-worker carries from batch to batch (tier 2). No pre-token is ever shuffled.
+lengths of the most frequent pre-tokens of all texts (at most ``TABLE`` entries; it decides speed only, never a
+count). Every partition counts its whole texts in a summary of bounded size, and only the summaries meet in a
+grouped sum: no pre-token of the texts is shuffled. Misses are encoded by the library and kept in a bounded
+cache that a worker carries from batch to batch (tier 2).
 
 The tokenizer file must be byte-level BPE behind NFC, white-space and lower-case normalisation with a split
 pattern (as ``word_bpe_49k.json``). Special strings inside texts count as the library counts them: one token
@@ -16,17 +17,21 @@ each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import unicodedata
 from collections import Counter
 
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termlens.llm.common import portions, written
+
 TABLE = 1 << 16  # broadcast pre-tokens
-SAMPLE, SAMPLE_LETTERS = 2000, 8000  # rows they are gathered from, and letters of each
+SUMMARY = 1 << 16  # pre-tokens that a partition's summary keeps
 CACHE = 1 << 18  # pre-tokens a worker keeps
 LONGEST = 64  # longer pre-tokens are encoded anew each time
 # ---- fixed values: white space and pre-tokens as the tokenizer file has them ----
@@ -71,8 +76,20 @@ class Lengths(dict):
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letter by letter: no final sigma
         return text.lower()
 
-    def pre_tokens(self, text: str) -> list[str]:
-        return self.cut(self.normal(text))
+    def pre_tokens(self, texts) -> Counter:
+        """Counts of the pre-tokens of some texts; a run between white space is cut once."""
+        counts, runs = Counter(), Counter()
+        for text in texts:
+            for piece in self.special.split(text) if self.special is not None and self.special.search(text) else [text]:
+                piece = self.normal(piece)
+                if ODD_SPACE(piece):
+                    counts.update(self.cut(piece))
+                else:
+                    runs.update(piece.split())
+        for run, n in runs.items():
+            for word in self.cut(run):
+                counts[word] += n
+        return counts
 
     def piece(self, text: str) -> int:
         text = self.normal(text)
@@ -114,14 +131,44 @@ def _lengths(table) -> Lengths:
     return _WORKER[key]
 
 
+def thinned(counts: Counter, most: int) -> Counter:
+    """A frequent-items summary (Misra-Gries) of at most ``most`` entries: all counts are lowered by the first one
+    beyond, so each is too low by at most the total of counts / ``most``, over all calls and merges."""
+    if len(counts) <= most:
+        return counts
+    over = heapq.nlargest(most + 1, counts.values())[-1]
+    return Counter({w: n - over for w, n in counts.items() if n > over})
+
+
+def _summaries(tokenizer: str):
+    def run(batches):
+        lengths, counts = Lengths(tokenizer, {}), Counter()
+        for batch in batches:
+            for some in portions([t for t in batch.column(0).to_pylist() if t]):
+                for word, n in lengths.pre_tokens(some).items():
+                    if len(word) <= LONGEST:
+                        counts[word] += n
+                if len(counts) > 4 * SUMMARY:
+                    counts = thinned(counts, SUMMARY)
+        counts = thinned(counts, SUMMARY)
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+    return run
+
+
 def frequent_table(texts: DataFrame, text_col: str, tokenizer: str) -> dict:
-    """Lengths of the most frequent pre-tokens of a bounded sample: at most ``SAMPLE`` rows, ``SAMPLE_LETTERS``
-    letters of each (a sample for speed only), come to the driver; at most ``TABLE`` short strings go out."""
-    sample = texts.where(F.col(text_col).isNotNull()).select(F.left(F.col(text_col), F.lit(SAMPLE_LETTERS)).alias("t")).take(SAMPLE)
-    lengths, counts = Lengths(tokenizer, {}), Counter()
-    for row in sample:
-        counts.update(w for w in lengths.pre_tokens(row.t) if len(w) <= LONGEST)
-    return {w: lengths[w] for w, _ in counts.most_common(TABLE)}
+    """Lengths of the ``TABLE`` most frequent pre-tokens of all texts, by the sum of the partitions' summaries. The
+    driver gets the table and, to find its least count, the number of words by count."""
+    summaries = texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_summaries(tokenizer), "word string, n long")
+    sums = written(summaries.groupBy("word").agg(F.sum("n").alias("n")), "token-sums")
+    least, left = 0, TABLE
+    for level in sorted(sums.groupBy("n").agg(F.count("*").alias("words")).collect(), key=lambda r: -r.n):
+        if level.words > left:
+            least = level.n
+            break
+        left -= level.words
+    words = sums.where(F.col("n") > least).select("word").collect() + (sums.where(F.col("n") == least).select("word").take(left) if least else [])
+    lengths = Lengths(tokenizer, {})
+    return {r.word: lengths[r.word] for r in words}
 
 
 def count_tokens(docs: DataFrame, text_col: str, tokenizer_file: str, limit: int = 2048) -> DataFrame:

@@ -318,3 +318,27 @@ def test_repeated_queries_are_audited():
     assert 4 * embedding_dedup.BEAM * embedding_dedup.WIDE < len(unit)
     q, _ = embedding_dedup.search_shard(Lossy(unit), unit, unit[:1000], 0.98, np.arange(1000))
     assert len(q) == (unit[:1000] @ unit.T >= 0.98).sum()
+
+
+def test_frequent_pre_tokens_of_all_documents(spark):
+    """The table's pre-tokens come from whole texts of all rows; the bounded summary keeps what is frequent."""
+    tokenizer = open(queries.tokenizer_path("word_bpe_49k.json"), encoding="utf-8").read()
+    rows = [("early words",)] * 2500 + [("late zebra's " * 2,)] * 500 + [("x " * 6000 + "behind " * 400,), (None,), ("",), ("Q\x1cq <|endoftext|>",)]
+    texts = spark.createDataFrame(rows, "text string").coalesce(1)
+    table = token_counts.frequent_table(texts, "text", tokenizer)
+    assert set(table) == {"early", "words", "late", "zebra", "'s", "x", "behind", "q", "\x1c"}
+    lengths = token_counts.Lengths(tokenizer, {})
+    assert lengths.pre_tokens(["late zebra's " * 2, "Q\x1cq <|endoftext|>"]) == {"late": 2, "zebra": 2, "'s": 2, "q": 2, "\x1c": 1}
+    counts = Counter()
+    for lo in range(0, 5000, 50):
+        counts.update({f"rare {k}": 1 for k in range(lo, lo + 50)} | {"often": 20})
+        counts = token_counts.thinned(counts, 100)
+    assert len(counts) <= 100 and 2000 - 7000 / 100 <= counts["often"] <= 2000
+
+
+def test_table_is_cut_by_count(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "TABLE", 5)
+    tokenizer = open(queries.tokenizer_path("word_bpe_49k.json"), encoding="utf-8").read()
+    texts = spark.createDataFrame([("a a a b b b c c d d e e f f g",)], "text string")
+    table = token_counts.frequent_table(texts, "text", tokenizer)
+    assert len(table) == 5 and {"a", "b"} < set(table) < set("abcdef")
