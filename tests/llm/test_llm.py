@@ -342,3 +342,13 @@ def test_table_is_cut_by_count(spark, monkeypatch):
     texts = spark.createDataFrame([("a a a b b b c c d d e e f f g",)], "text string")
     table = token_counts.frequent_table(texts, "text", tokenizer)
     assert len(table) == 5 and {"a", "b"} < set(table) < set("abcdef")
+
+
+def test_search_finds_matches_of_common_words_only(spark):
+    """A word that is in every one of 20,000 documents scores 2.5e-5, which is above 0 after rounding."""
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"))
+    got = bm25_search.search(docs, "doc_id", "text", docs.where("doc_id = 7"), "doc_id", "text").collect()
+    score = round(math.log1p(0.5 / 20000.5), 6)
+    assert score > 0 and sorted((r["rank"], r.id, r.score) for r in got) == [(i + 1, i, score) for i in range(10)]
+    docs = docs.where("doc_id < 19999").unionByName(spark.createDataFrame([(20000, "other")], "doc_id long, text string"))
+    assert bm25_search.search(docs, "doc_id", "text", docs.where("doc_id = 7"), "doc_id", "text").count() == 10
