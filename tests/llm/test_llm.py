@@ -352,3 +352,13 @@ def test_search_finds_matches_of_common_words_only(spark):
     assert score > 0 and sorted((r["rank"], r.id, r.score) for r in got) == [(i + 1, i, score) for i in range(10)]
     docs = docs.where("doc_id < 19999").unionByName(spark.createDataFrame([(20000, "other")], "doc_id long, text string"))
     assert bm25_search.search(docs, "doc_id", "text", docs.where("doc_id = 7"), "doc_id", "text").count() == 10
+
+
+def test_last_comparison_runs_without_ring_pairs(spark, monkeypatch):
+    """Linked pairs that no ring round brought together are found by the last comparison."""
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:59], "q"])), (3, " ".join(f"z{k}" for k in range(60))), (4, "one two")]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 4, 85).collect()
+    assert {r.id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 4, 85)
+    assert {r.id: r.component_id for r in got}[2] == 1
