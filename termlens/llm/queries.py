@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlens.llm import bm25_search, chat_formatting, embedding_dedup, jaccard_join, lm_scoring, mixing, quality_classifier, sentencepiece_codec, token_counts, toxicity
-from termlens.llm.common import crc_bucket, table
+from termlens.llm import bm25_search, chat_formatting, embedding_dedup, jaccard_join, lm_scoring, mixing, period_runs, quality_classifier, sentencepiece_codec, token_counts, toxicity
+from termlens.llm.common import crc_bucket, table, words
 
 
 def tokenizer_path(name: str) -> str:
@@ -123,6 +123,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, "text", tokenizer_path("word_bpe_49k.json")).drop("text")
 
 
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    text = F.when(h % 10 == 0, period_runs.tail_repeated(words(F.col("text")), F.floor(h / 10))).otherwise(F.coalesce("text", F.lit("")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    out = period_runs.collapse_runs(docs, "doc_id", "text").withColumn("best", period_runs.longest("runs"))
+    line = lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n"))
+    return out.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                      F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+                      F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+                      F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_mixing": op2_mixing,
@@ -134,5 +146,6 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_token_counts": op10_token_counts,
+    "op13_period_runs": op13_period_runs,
 }
 ORACLES: dict[str, str] = {"op6_bm25_search": OP6_SQL, "op9_chat_formatting": OP9_SQL}
