@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlens.llm import bm25_search, chat_formatting, embedding_dedup, jaccard_join, lm_scoring, mixing, period_runs, quality_classifier, sentencepiece_codec, token_counts, toxicity
+from termlens.llm import bm25_search, chat_formatting, embedding_dedup, jaccard_join, lm_scoring, mixing, period_runs, quality_classifier, sentencepiece_codec, token_counts, toxicity, warc_packages
 from termlens.llm.common import crc_bucket, table, words
+from termlens.session import scratch_path
 
 
 def tokenizer_path(name: str) -> str:
@@ -123,6 +126,27 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, "text", tokenizer_path("word_bpe_49k.json")).drop("text")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc_packages.write(table(spark, sf_dir, "pages"), scratch_path(spark, f"llm/warc-{uuid.uuid4().hex}"), "page_id", "url", "html")
+    out = warc_packages.records(spark, path, payloads=False)
+    return out.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                      F.col("refers_to").cast("long").alias("refers_to"))
+
+
+OP11_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+r AS (SELECT page_id, h, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS f,
+             row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST) AS k FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                               1 + ((('0x' || substr(x, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31), 1)
+                        FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN k > 1 THEN f END AS refers_to
+FROM r
+"""
+
+
 def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     text = F.when(h % 10 == 0, period_runs.tail_repeated(words(F.col("text")), F.floor(h / 10))).otherwise(F.coalesce("text", F.lit("")))
@@ -146,6 +170,7 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_token_counts": op10_token_counts,
+    "op11_warc": op11_warc,
     "op13_period_runs": op13_period_runs,
 }
-ORACLES: dict[str, str] = {"op6_bm25_search": OP6_SQL, "op9_chat_formatting": OP9_SQL}
+ORACLES: dict[str, str] = {"op6_bm25_search": OP6_SQL, "op9_chat_formatting": OP9_SQL, "op11_warc": OP11_SQL}
