@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlens.llm import bm25_search, chat_formatting, embedding_dedup, jaccard_join, lm_scoring, mixing, period_runs, quality_classifier, sentencepiece_codec, token_counts, toxicity, warc_packages
+from termlens.llm import bm25_search, chat_formatting, conversation_trie, embedding_dedup, jaccard_join, lm_scoring, mixing, period_runs, quality_classifier, sentencepiece_codec, token_counts, toxicity, warc_packages
 from termlens.llm.common import crc_bucket, table, words
 from termlens.session import scratch_path
 
@@ -147,6 +147,49 @@ FROM r
 """
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.ordered(table(spark, sf_dir, "conversations"))
+    c = F.col("conv")
+    convs, rebuilt = conversation_trie.branched(turns, c - c % 5, crc_bucket("conv", 9), 8)
+    return conversation_trie.prefix_trie(convs, rebuilt)
+
+
+OP12_SQL = """
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT c, c - c % 5 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+                         lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+                                                  lambda u, z: xor(u >> 1, 3988292384 * (u & 1)))), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT c FROM t)),
+rebuilt AS (
+  SELECT c.c, t.k + 1 AS d, r, x FROM c JOIN t ON t.c = c.base WHERE t.k < h
+  UNION ALL
+  SELECT c.c, least(h, (SELECT count(*) FROM t b WHERE b.c = c.base)) + t.k - h + 1, r, x FROM c JOIN t ON t.c = c.c WHERE t.k >= h),
+paths AS (
+  SELECT c, 0 AS d, 'root' AS key, 0 AS n FROM c
+  UNION ALL
+  SELECT c, d, md5(string_agg(md5(strlen(r) || ':' || r || x), '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)), strlen(x) FROM rebuilt),
+lens AS (SELECT c, max(d) AS len FROM paths GROUP BY c),
+nodes AS (
+  SELECT p.d, p.key, min(p.c) AS m, count(*) AS n, any_value(p.n) AS bytes,
+         sha256(coalesce(string_agg(p.c::VARCHAR, ',' ORDER BY p.c) FILTER (WHERE len = p.d), '')) AS ends
+  FROM paths p JOIN lens USING (c) GROUP BY p.d, p.key),
+below AS (SELECT DISTINCT a.d, a.key, b.d AS bd, b.key AS bkey FROM paths a JOIN paths b ON a.c = b.c AND b.d >= a.d),
+kids AS (SELECT d, key, count(*) FILTER (WHERE bd = d + 1) AS kids FROM below GROUP BY d, key),
+sums AS (
+  SELECT b.d, b.key, count(*) FILTER (WHERE k.kids = 0) AS leaves, sum((n.n - 1) * n.bytes) AS saved
+  FROM below b JOIN nodes n ON n.d = b.bd AND n.key = b.bkey JOIN kids k ON k.d = b.bd AND k.key = b.bkey GROUP BY b.d, b.key),
+up AS (SELECT b.bd AS d, b.bkey AS key, n.m FROM below b JOIN nodes n ON n.d = b.d AND n.key = b.key WHERE b.bd = b.d + 1)
+SELECT n.m AS conv_id, n.d::BIGINT AS depth, up.m AS parent_conv_id, n.n AS n_convs, kids.kids AS n_children, leaves AS n_leaves,
+       saved::BIGINT AS saved_tokens, ends AS ends_sha256
+FROM nodes n JOIN kids USING (d, key) JOIN sums USING (d, key) LEFT JOIN up USING (d, key)
+"""
+
+
 def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     text = F.when(h % 10 == 0, period_runs.tail_repeated(words(F.col("text")), F.floor(h / 10))).otherwise(F.coalesce("text", F.lit("")))
@@ -171,6 +214,8 @@ QUERIES = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_token_counts": op10_token_counts,
     "op11_warc": op11_warc,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_period_runs": op13_period_runs,
 }
-ORACLES: dict[str, str] = {"op6_bm25_search": OP6_SQL, "op9_chat_formatting": OP9_SQL, "op11_warc": OP11_SQL}
+ORACLES: dict[str, str] = {"op6_bm25_search": OP6_SQL, "op9_chat_formatting": OP9_SQL, "op11_warc": OP11_SQL,
+                           "op12_conversation_trie": OP12_SQL}
