@@ -171,19 +171,23 @@ def write(df: DataFrame, path: str, id_col: str, url_col: str, text_col: str, mi
     """Writes a record for every row of ``df`` into packages under ``path``, which is returned."""
     payload = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("sha", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("long"))
-    slim = written(rows.select("id", "url", "sha", "n").groupBy("id", "url", "sha", "n").agg(F.count("*").alias("copies")), "warc-keys")
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", F.col("url").isNull().alias("no_url"), "url")
-    first = slim.where(F.col("n") >= min_revisit).groupBy("sha").agg(F.min(place).alias("f"), F.sum("copies").alias("total"))
-    alike = slim["id"].eqNullSafe(F.col("f.id")) & slim["url"].eqNullSafe(F.col("f.url"))
-    again = slim.join(first.where("total > 1"), "sha").withColumn("more", F.col("copies") - F.when(alike, 1).otherwise(0)).where("more > 0")
+    # the pair of id and url as one text that is never null, so that grouping and join deal payloads out by the same keys, once
+    ident = F.col("id").cast("string")
+    place = F.concat(F.coalesce(F.concat(F.octet_length(ident).cast("string"), F.lit(":"), ident), F.lit("-")), F.coalesce(F.concat(F.lit("u"), "url"), F.lit("-")))
+    rows = rows.withColumn("sha", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("long")).withColumn("place", place)
+    each = [F.any_value("id").alias("id"), F.any_value("url").alias("url"), F.any_value("n").alias("n"), F.count("*").alias("copies")]
+    slim = written(rows.select("id", "url", "sha", "n", "place").groupBy("sha", "place").agg(*each), "warc-keys")
+    rank = F.struct(F.col("id").isNull().alias("no_id"), "id", F.col("url").isNull().alias("no_url"), "url", "place")
+    first = slim.where(F.col("n") >= min_revisit).groupBy("sha").agg(F.min(rank).alias("f"), F.sum("copies").alias("total"))
+    again = (slim.join(first.where("total > 1"), "sha").withColumn("more", F.col("copies") - F.when(F.col("place") == F.col("f.place"), 1).otherwise(0))
+             .where("more > 0"))
     revisits = again.select("id", "url", "sha", "n", F.lit(None).cast("binary").alias("payload"), F.col("f.id").alias("first"), "more")
-    whole = rows.groupBy("id", "url", "sha", "n").agg(F.any_value("payload").alias("payload"), F.count("*").alias("copies"))
-    mine = first.select(F.col("sha").alias("fsha"), F.col("f.id").alias("fid"), F.col("f.url").alias("furl"))
-    kept = whole.join(mine, (whole["sha"] == mine["fsha"]) & whole["id"].eqNullSafe(mine["fid"]) & whole["url"].eqNullSafe(mine["furl"]), "left")
+    whole = rows.groupBy("sha", "place").agg(*each, F.any_value("payload").alias("payload"))
+    mine = first.select("sha", F.col("f.place").alias("place"), F.lit(True).alias("is_first"))
     # a row below min_revisit has no first and is a response as often as it occurs
-    responses = (kept.withColumn("more", F.when(F.col("n") < min_revisit, F.col("copies")).otherwise(F.when(F.col("fsha").isNotNull(), 1).otherwise(0)))
-                 .where("more > 0").select("id", "url", "sha", "n", "payload", F.lit(None).cast(df.schema[id_col].dataType).alias("first"), "more"))
+    more = F.when(F.col("n") < min_revisit, F.col("copies")).otherwise(F.when(F.col("is_first"), 1).otherwise(0))
+    responses = whole.join(mine, ["sha", "place"], "left").withColumn("more", more).where("more > 0").select(
+        "id", "url", "sha", "n", "payload", F.lit(None).cast(df.schema[id_col].dataType).alias("first"), "more")
 
     def work(batches):
         packer = _Packer(package_bytes, level)
