@@ -468,7 +468,11 @@ def records(spark: SparkSession, path: str, payloads: bool = True, by_ranges: bo
                 data = Ranged(p).read(start, offsets[-1] + lengths[-1])
                 yield from _batches(bare(_parsed(p, archive, data, start, offsets, lengths)), RECORD)
 
-    return chunks(spark, path, chunk_bytes).repartition("package", "start").mapInArrow(work, RECORD_DDL)
+    # the rows that name ranges are tiny beside the ranges, so their number and not their bytes says how many tasks read
+    todo = written(chunks(spark, path, chunk_bytes), "warc-ranges")
+    n = todo.count()
+    parts = max(-(-n // 8), min(n, spark.sparkContext.defaultParallelism), 1)
+    return todo.repartition(parts, "package", "start").mapInArrow(work, RECORD_DDL)
 
 
 def with_payloads(found: DataFrame) -> DataFrame:
