@@ -4,7 +4,7 @@
 ``w = mean_class(x) - mean_rest(x)`` and ``b = -(|mean_class|^2 - |mean_rest|^2) / 2``, i.e. the
 nearest-centroid decision function. Everything is a join plus grouped sums; the only broadcast
 tables are the task/class grid, whose size is fixed by the configuration.
-``fit_ridge`` (V6) wraps Spark ML's ``LinearRegression`` one-vs-rest with the sklearn ridge scaling.
+``fit_ridge`` (V6) solves one-vs-rest ridge with balanced classes by conjugate gradients over the long table.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termlens.config import TaskMap
+from termlens.session import cut_lineage
 
 SCORE_DIGITS = 9
 
@@ -82,59 +83,83 @@ def predict(spark: SparkSession, x: DataFrame, samples: DataFrame, coef: DataFra
     return labels_long(samples, tasks).join(preds, ["_id", "task"])
 
 
+def ridge_targets(tasks: TaskMap) -> list[tuple[str, int]]:
+    """One-vs-rest targets: class 1 of a two-class task, else every class."""
+    return [(t, c) for t, n in tasks.tasks for c in ([1] if n == 2 else range(n))]
+
+
+def ridge_documents(labels_train: DataFrame, tasks: TaskMap) -> DataFrame:
+    """``(_id, y0.., w0..)``: per target the value +-1 and the balanced weight ``n / (k * n_class)`` of a document
+    (``k``: classes that occur); a document without a label of the task weighs nothing there."""
+    counts = labels_train.where(F.col("label").isNotNull()).groupBy("task", "label").agg(F.count(F.lit(1)).alias("n_class"))
+    totals = counts.groupBy("task").agg(F.sum("n_class").alias("n"), F.count(F.lit(1)).alias("k"))
+    # one row per task and class, fixed by the configuration
+    weights = counts.join(totals, "task").select("task", "label", (F.col("n") / (F.col("k") * F.col("n_class"))).alias("weight"))
+    rows = labels_train.join(F.broadcast(weights), ["task", "label"])
+    columns = []
+    for i, (task, c) in enumerate(ridge_targets(tasks)):
+        mine = F.col("task") == task
+        columns += [F.coalesce(F.max(F.when(mine, F.when(F.col("label") == c, 1.0).otherwise(-1.0))), F.lit(0.0)).alias(f"y{i}"),
+                    F.coalesce(F.max(F.when(mine, F.col("weight"))), F.lit(0.0)).alias(f"w{i}")]
+    return rows.groupBy("_id").agg(*columns)
+
+
 def fit_ridge(spark: SparkSession, x_train: DataFrame, labels_train: DataFrame, tasks: TaskMap,
-              alpha: float = 0.5, tol: float = 1e-2, max_iter: int = 100):
-    """V6: one-vs-rest ridge with balanced class weights, targets +-1 (sklearn ``RidgeClassifier``).
-
-    Features are assembled into sparse vectors per document (the only place a vector is built).
-    Spark divides ``regParam`` by the label's standard deviation, so
-    ``regParam = alpha / sum(w) * sd(y)``; with balanced weights ``sum(w) = n``. For two classes a single
-    model is fitted and its coefficients stacked as ``[-c, c]``.
-    Returns ``(coef(term, task, class, w), bias(task, class, b))``.
-    """
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-    from pyspark.ml.regression import LinearRegression
-    from pyspark.sql import types as T
-
-    # distributed feature index (zipWithIndex: no single-partition window)
-    index = spark.createDataFrame(
-        x_train.select("term").distinct().rdd.zipWithIndex().map(lambda r: (r[0][0], int(r[1]))),
-        "term string, j int")
-    n_feat = int(index.agg(F.count(F.lit(1))).first()[0])
-    feats = (x_train.join(index, "term").groupBy("_id")
-             .agg(F.sort_array(F.collect_list(F.struct("j", "x"))).alias("f")))
-    to_vec = F.udf(lambda f: SparseVector(n_feat, [e["j"] for e in f], [e["x"] for e in f]), VectorUDT())
-    feats = feats.select("_id", to_vec("f").alias("features"))
-    coefs, biases = [], []
-    for task, n_labels in tasks.tasks:
-        lab = labels_train.where(F.col("task") == task).select("_id", "label")
-        data = feats.join(lab, "_id")
-        counts = data.groupBy("label").count().collect()  # bounded by the number of classes
-        n = sum(r["count"] for r in counts)
-        k = len(counts)
-        weight = {r["label"]: n / (k * r["count"]) for r in counts}
-        wexpr = F.create_map(*[v for kv in weight.items() for v in (F.lit(kv[0]), F.lit(kv[1]))])
-        targets = [1] if n_labels == 2 else list(range(n_labels))
-        for c in targets:
-            y = F.when(F.col("label") == c, 1.0).otherwise(-1.0)
-            d = data.select("features", y.alias("y"), wexpr[F.col("label")].alias("wt"))
-            sd = d.agg(F.stddev_samp("y")).first()[0] or 1.0
-            lr = LinearRegression(featuresCol="features", labelCol="y", weightCol="wt", regParam=alpha / n * sd,
-                                  elasticNetParam=0.0, standardization=False, tol=tol, maxIter=max_iter,
-                                  solver="l-bfgs")
-            model = lr.fit(d)
-            arr = model.coefficients.toArray().tolist()
-            rows = [(j, float(v)) for j, v in enumerate(arr) if v != 0.0]
-            cdf = spark.createDataFrame(rows, T.StructType([T.StructField("j", T.IntegerType()),
-                                                            T.StructField("w", T.DoubleType())]))
-            cdf = cdf.join(index, "j").select("term", F.lit(task).alias("task"), F.lit(c).alias("class"), "w")
-            coefs.append(cdf)
-            biases.append((task, c, float(model.intercept)))
-            if n_labels == 2:
-                coefs.append(cdf.select("term", "task", F.lit(0).alias("class"), (-F.col("w")).alias("w")))
-                biases.append((task, 0, -float(model.intercept)))
-    coef = coefs[0]
-    for c in coefs[1:]:
-        coef = coef.unionByName(c)
-    bias = spark.createDataFrame(biases, "task string, class int, b double")
-    return coef, bias
+              alpha: float = 0.5, tol: float = 1e-2, max_iter: int = 100, keep=None):
+    """V6: one-vs-rest ridge with balanced class weights, targets +-1 and an unpenalised intercept, by conjugate
+    gradients on tables. Returns ``(coef(term, task, class, w), bias(task, class, b))``.
+
+    All targets are solved together, a column each. The unknowns, residuals and directions are one row per
+    term; a step multiplies by ``X`` (join on term, sum per document) and by its transpose (join on document, sum per
+    term), and ``keep`` (a table in the shared folder) cuts the lineage. Only the sums that a step needs come to the
+    driver, a few numbers per target. Features are centred by their weighted means without being made dense:
+    ``X_c' W X_c p = X' W X p - m s`` with ``s = X' w`` and ``m = p's / sum(w)``. A target whose residual has
+    shrunk to ``tol`` of its first stands still; the loop ends when all do, or after ``max_iter`` steps."""
+    keep = keep or cut_lineage
+    targets = ridge_targets(tasks)
+    ks = range(len(targets))
+    docs = keep(ridge_documents(labels_train, tasks))
+    sums = docs.agg(*[F.sum(F.col(f"w{k}")).alias(f"w{k}") for k in ks], *[F.sum(F.col(f"w{k}") * F.col(f"y{k}")).alias(f"y{k}") for k in ks]).first()
+    total = [sums[f"w{k}"] or 0.0 for k in ks]
+    y_mean = [(sums[f"y{k}"] or 0.0) / total[k] if total[k] else 0.0 for k in ks]
+    x = x_train.select("_id", "term", "x")
+    start = x.join(docs, "_id").groupBy("term").agg(
+        *[F.sum(F.col("x") * F.col(f"w{k}") * (F.col(f"y{k}") - F.lit(y_mean[k]))).alias(f"r{k}") for k in ks],
+        *[F.sum(F.col("x") * F.col(f"w{k}")).alias(f"s{k}") for k in ks])
+    state = keep(start.select("term", *[F.lit(0.0).alias(f"c{k}") for k in ks], *[f"r{k}" for k in ks], *[F.col(f"r{k}").alias(f"p{k}") for k in ks],
+                              *[f"s{k}" for k in ks]))
+    first = state.agg(*[F.sum(F.col(f"r{k}") * F.col(f"r{k}")).alias(f"r{k}") for k in ks]).first()
+    rr = [first[f"r{k}"] or 0.0 for k in ks]
+    limit = [tol * tol * v for v in rr]
+    for _ in range(max_iter):
+        live = [rr[k] > limit[k] for k in ks]
+        if not any(live):
+            break
+        ahead = x.join(state.select("term", *[f"p{k}" for k in ks]), "term").groupBy("_id").agg(
+            *[F.sum(F.col("x") * F.col(f"p{k}")).alias(f"q{k}") for k in ks])
+        ahead = ahead.join(docs, "_id").select("_id", *[(F.col(f"w{k}") * F.col(f"q{k}")).alias(f"q{k}") for k in ks])
+        back = x.join(ahead, "_id").groupBy("term").agg(*[F.sum(F.col("x") * F.col(f"q{k}")).alias(f"u{k}") for k in ks])
+        step = keep(state.join(back, "term"))
+        got = step.agg(*[F.sum(F.col(f"p{k}") * F.col(f"u{k}")).alias(f"pu{k}") for k in ks],
+                       *[F.sum(F.col(f"p{k}") * F.col(f"s{k}")).alias(f"ps{k}") for k in ks],
+                       *[F.sum(F.col(f"p{k}") * F.col(f"p{k}")).alias(f"pp{k}") for k in ks]).first()
+        mean = [got[f"ps{k}"] / total[k] if live[k] else 0.0 for k in ks]
+        size = [rr[k] / (got[f"pu{k}"] - mean[k] * got[f"ps{k}"] + alpha * got[f"pp{k}"]) if live[k] else 0.0 for k in ks]
+        rest = [F.col(f"r{k}") - F.lit(size[k]) * (F.col(f"u{k}") - F.lit(mean[k]) * F.col(f"s{k}") + F.lit(alpha) * F.col(f"p{k}")) for k in ks]
+        new = step.agg(*[F.sum(rest[k] * rest[k]).alias(f"r{k}") for k in ks]).first()
+        turn = [new[f"r{k}"] / rr[k] if live[k] else 0.0 for k in ks]
+        state = step.select("term", *[(F.col(f"c{k}") + F.lit(size[k]) * F.col(f"p{k}")).alias(f"c{k}") for k in ks],
+                            *[rest[k].alias(f"r{k}") for k in ks],
+                            *[((rest[k] + F.lit(turn[k]) * F.col(f"p{k}")) if live[k] else F.col(f"p{k}")).alias(f"p{k}") for k in ks],
+                            *[f"s{k}" for k in ks])
+        rr = [new[f"r{k}"] if live[k] else rr[k] for k in ks]
+    ends = state.agg(*[F.sum(F.col(f"s{k}") * F.col(f"c{k}")).alias(f"c{k}") for k in ks]).first()
+    biases, parts = [], []
+    for k, (task, c) in enumerate(targets):
+        b = y_mean[k] - ((ends[f"c{k}"] or 0.0) / total[k] if total[k] else 0.0)
+        signs = [(0, -1.0), (1, 1.0)] if dict(tasks.tasks)[task] == 2 else [(c, 1.0)]
+        for cls, sign in signs:
+            biases.append((task, cls, sign * b))
+            parts.append(F.struct(F.lit(task).alias("task"), F.lit(cls).alias("class"), (F.lit(sign) * F.col(f"c{k}")).alias("w")))
+    coef = state.select("term", F.explode(F.array(*parts)).alias("e")).select("term", "e.task", "e.class", "e.w")
+    return coef, spark.createDataFrame(biases, "task string, class int, b double")

@@ -6,7 +6,7 @@ samples -> n-grams -> tf -> vocabulary (train split) -> tf-idf (all splits) -> s
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +35,7 @@ class BaselineRun:
 
     materialized: bool = False
     _attrs: dict = field(default_factory=dict)
+    _ridge: dict = field(default_factory=dict)
 
     def attributions(self, split: str | None = "test", target: str = "pred") -> DataFrame:
         """X1 rows for one split (all splits when None), with ``split`` kept (materialized once per run)."""
@@ -55,6 +56,18 @@ class BaselineRun:
 _RUNS: dict = {}
 
 
+def with_ridge(run: BaselineRun, alpha: float = 0.5, tol: float = 1e-2, max_iter: int = 100, train_split: str = "train") -> BaselineRun:
+    """The same samples and features under the ridge scorer (V6), fitted once per run and parameters."""
+    key = (alpha, tol, max_iter, train_split)
+    if key not in run._ridge:
+        ids = run.split_ids(train_split)
+        coef, bias = linear.fit_ridge(run.spark, run.x.join(ids, "_id", "left_semi"), run.labels.join(ids, "_id", "left_semi"), run.tasks,
+                                      alpha, tol, max_iter)
+        preds = linear.predict(run.spark, run.x, run.samples, coef, bias, run.tasks)
+        run._ridge[key] = replace(run, coef=coef, bias=bias, preds=preds, _attrs={}, _ridge={})
+    return run._ridge[key]
+
+
 def build(spark: SparkSession, sf_dir: str, tasks: TaskMap = DEFAULT_TASKS,
           cfg: VectorizerConfig | None = None, scorer: str = "centroid",
           train_split: str = "train", cache: bool = True) -> BaselineRun:

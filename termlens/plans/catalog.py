@@ -201,6 +201,21 @@ def predictions(spark, sf_dir):
     return wide.join(run.samples.select("_id", "split"), "_id")
 
 
+RIDGE = {"alpha": 0.5, "tol": 1e-2, "max_iter": 20}
+
+
+@register("ridge_predictions", lambda: S.with_(
+    _base_sql(*S.ridge_ctes(TASKS, RIDGE["alpha"], RIDGE["tol"], RIDGE["max_iter"])),
+    "SELECT r._id, s.split, r.task, r.label, r.pred, round(r.score, 6) AS score FROM rpreds r JOIN samples s ON s._id = r._id"))
+def ridge_predictions(spark, sf_dir):
+    """V6: class and score of every sample and task by ridge, balanced, fitted on the train split."""
+    run = baseline.with_ridge(baseline.build(spark, sf_dir, TASKS), **RIDGE)
+    scores = linear.decision_scores(spark, run.x, run.samples, run.coef, run.bias, TASKS)
+    best = scores.groupBy("_id", "task").agg(F.max("score").alias("score"))
+    return (run.preds.join(best, ["_id", "task"]).join(run.samples.select("_id", "split"), "_id")
+            .select("_id", "split", "task", "label", "pred", F.round("score", 6).alias("score")))
+
+
 def _sql_conf_cte():
     return [f"ep AS (SELECT * FROM preds WHERE _id IN (SELECT _id FROM samples WHERE split = '{METRIC_SPLIT}'))",
             "conf AS (SELECT a.task, a.class AS label, b.class AS pred, CAST(coalesce(c.n, 0) AS BIGINT) AS n "

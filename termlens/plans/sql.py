@@ -360,3 +360,55 @@ def processed_ctes() -> list[str]:
         "dng AS (SELECT ng.* FROM ng JOIN al ON al._id = ng._id AND al.task = ng.task WHERE NOT al.ok)",
         "prows AS (SELECT * FROM srows UNION ALL SELECT * FROM sng UNION ALL SELECT * FROM dng)",
     ]
+
+
+def ridge_ctes(tasks: TaskMap, alpha: float, tol: float, steps: int) -> list[str]:
+    """V6 as ``steps`` unrolled conjugate-gradient steps over (term, k) rows, then ``rcoef``, ``rbias``, ``rscores`` and
+    ``rpreds``. ``k`` numbers the one-vs-rest targets."""
+    from termlens.operators.linear import ridge_targets
+
+    targets = ridge_targets(tasks)
+    values = ", ".join(f"({k}, '{t}', {c})" for k, (t, c) in enumerate(targets))
+    a = f"CAST({alpha!r} AS DOUBLE)"
+    out = [
+        f"rt AS (SELECT * FROM (VALUES {values}) v(k, task, class))",
+        "rcn AS (SELECT task, label, count(*) AS nc FROM lt WHERE label IS NOT NULL GROUP BY task, label)",
+        "rcw AS (SELECT task, label, CAST(sum(nc) OVER (PARTITION BY task) AS DOUBLE) / (count(*) OVER (PARTITION BY task) * nc) AS wt FROM rcn)",
+        "rd AS MATERIALIZED (SELECT lt._id, rt.k, CASE WHEN lt.label = rt.class THEN 1.0::DOUBLE ELSE -1.0 END AS y, rcw.wt AS w FROM lt "
+        "JOIN rcw ON rcw.task = lt.task AND rcw.label = lt.label JOIN rt ON rt.task = lt.task)",
+        "rtot AS MATERIALIZED (SELECT k, sum(w) AS tw, sum(w * y) / sum(w) AS ym FROM rd GROUP BY k)",
+        "rx AS MATERIALIZED (SELECT _id, term, x FROM xt)",
+        "rs0 AS MATERIALIZED (SELECT term, d.k, CAST(0 AS DOUBLE) AS c, sum(x * w * (y - ym)) AS r, sum(x * w * (y - ym)) AS p, sum(x * w) AS s "
+        "FROM rx JOIN rd d USING (_id) JOIN rtot t ON t.k = d.k GROUP BY term, d.k)",
+        "rr0 AS MATERIALIZED (SELECT k, sum(r * r) AS rr FROM rs0 GROUP BY k)",
+        f"rlim AS MATERIALIZED (SELECT k, rr * CAST({tol * tol!r} AS DOUBLE) AS lim FROM rr0)",
+    ]
+    for i in range(steps):
+        out += [
+            f"rq{i} AS (SELECT x._id, s.k, sum(x.x * s.p) AS q FROM rx x JOIN rs{i} s USING (term) GROUP BY x._id, s.k)",
+            f"ru{i} AS MATERIALIZED (SELECT x.term, q.k, sum(x.x * d.w * q.q) AS u FROM rx x JOIN rq{i} q USING (_id) "
+            f"JOIN rd d ON d._id = q._id AND d.k = q.k GROUP BY x.term, q.k)",
+            f"rg{i} AS MATERIALIZED (SELECT s.k, sum(p * u) AS pu, sum(p * s) AS ps, sum(p * p) AS pp FROM rs{i} s JOIN ru{i} u "
+            f"ON u.term = s.term AND u.k = s.k GROUP BY s.k)",
+            f"ra{i} AS MATERIALIZED (SELECT g.k, rr.rr > l.lim AS live, g.ps / t.tw AS m, "
+            f"CASE WHEN rr.rr > l.lim THEN rr.rr / (g.pu - g.ps / t.tw * g.ps + {a} * g.pp) ELSE 0 END AS size, rr.rr "
+            f"FROM rg{i} g JOIN rr{i} rr USING (k) JOIN rlim l USING (k) JOIN rtot t USING (k))",
+            f"rn{i} AS MATERIALIZED (SELECT s.term, s.k, s.c + a.size * s.p AS c, s.r - a.size * (u.u - a.m * s.s + {a} * s.p) AS r, s.p, s.s, a.live "
+            f"FROM rs{i} s JOIN ru{i} u ON u.term = s.term AND u.k = s.k JOIN ra{i} a ON a.k = s.k)",
+            f"rr{i + 1} AS MATERIALIZED (SELECT k, sum(r * r) AS rr FROM rn{i} GROUP BY k)",
+            f"rs{i + 1} AS MATERIALIZED (SELECT n.term, n.k, n.c, n.r, CASE WHEN n.live THEN n.r + b.rr / a.rr * n.p ELSE n.p END AS p, n.s "
+            f"FROM rn{i} n JOIN rr{i + 1} b ON b.k = n.k JOIN ra{i} a ON a.k = n.k)",
+        ]
+    pairs = ", ".join(f"({k}, '{t}', {cls}, {sign})" for k, (t, c) in enumerate(targets)
+                      for cls, sign in ([(0, -1), (1, 1)] if dict(tasks.tasks)[t] == 2 else [(c, 1)]))
+    return out + [
+        f"rsign AS (SELECT * FROM (VALUES {pairs}) v(k, task, class, sgn))",
+        f"rb AS (SELECT s.k, any_value(t.ym) - sum(s.s * s.c) / any_value(t.tw) AS b FROM rs{steps} s JOIN rtot t ON t.k = s.k GROUP BY s.k)",
+        f"rcoef AS MATERIALIZED (SELECT s.term, g.task, g.class, g.sgn * s.c AS w FROM rs{steps} s JOIN rsign g ON g.k = s.k)",
+        "rbias AS (SELECT g.task, g.class, g.sgn * rb.b AS b FROM rb JOIN rsign g ON g.k = rb.k)",
+        "rdots AS (SELECT x._id, c.task, c.class, sum(x.x * c.w) AS dot FROM x JOIN rcoef c ON x.term = c.term GROUP BY x._id, c.task, c.class)",
+        "rscores AS MATERIALIZED (SELECT s._id, cl.task, cl.class, round(coalesce(d.dot, 0) + b.b, 9) AS score FROM samples s CROSS JOIN classes cl "
+        "LEFT JOIN rdots d ON d._id = s._id AND d.task = cl.task AND d.class = cl.class JOIN rbias b ON b.task = cl.task AND b.class = cl.class)",
+        "rpreds AS (SELECT l._id, l.task, l.label, p.class AS pred, p.score FROM labels_long l JOIN (SELECT *, row_number() OVER "
+        "(PARTITION BY _id, task ORDER BY score DESC, class ASC) AS rn FROM rscores) p ON l._id = p._id AND l.task = p.task WHERE p.rn = 1)",
+    ]
