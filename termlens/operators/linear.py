@@ -79,8 +79,12 @@ def argmax_class(scores: DataFrame) -> DataFrame:
 def predict(spark: SparkSession, x: DataFrame, samples: DataFrame, coef: DataFrame, bias: DataFrame,
             tasks: TaskMap) -> DataFrame:
     """``(_id, task, label, pred)`` for every sample and task."""
-    preds = argmax_class(decision_scores(spark, x, samples, coef, bias, tasks))
-    return labels_long(samples, tasks).join(preds, ["_id", "task"])
+    return labelled(decision_scores(spark, x, samples, coef, bias, tasks), samples, tasks)
+
+
+def labelled(scores: DataFrame, samples: DataFrame, tasks: TaskMap) -> DataFrame:
+    """``(_id, task, label, pred)`` from decision scores."""
+    return labels_long(samples, tasks).join(argmax_class(scores), ["_id", "task"])
 
 
 def ridge_targets(tasks: TaskMap) -> list[tuple[str, int]]:

@@ -28,6 +28,7 @@ class BaselineRun:
     labels: DataFrame
     coef: DataFrame
     bias: DataFrame
+    scores: DataFrame
     preds: DataFrame
 
     def split_ids(self, split: str) -> DataFrame:
@@ -63,8 +64,8 @@ def with_ridge(run: BaselineRun, alpha: float = 0.5, tol: float = 1e-2, max_iter
         ids = run.split_ids(train_split)
         coef, bias = linear.fit_ridge(run.spark, run.x.join(ids, "_id", "left_semi"), run.labels.join(ids, "_id", "left_semi"), run.tasks,
                                       alpha, tol, max_iter)
-        preds = linear.predict(run.spark, run.x, run.samples, coef, bias, run.tasks)
-        run._ridge[key] = replace(run, coef=coef, bias=bias, preds=preds, _attrs={}, _ridge={})
+        scores = linear.decision_scores(run.spark, run.x, run.samples, coef, bias, run.tasks)
+        run._ridge[key] = replace(run, coef=coef, bias=bias, scores=scores, preds=linear.labelled(scores, run.samples, run.tasks), _attrs={}, _ridge={})
     return run._ridge[key]
 
 
@@ -114,6 +115,7 @@ def _build(spark, sf_dir, tasks, cfg, scorer, train_split, materialize: bool = F
     else:
         raise ValueError(f"unknown scorer {scorer!r}")
     coef, bias = keep(coef), keep(bias)
-    preds = keep(linear.predict(spark, x, s, coef, bias, tasks))
-    return BaselineRun(spark, tasks, s, tf, vocab, x, linear.labels_long(s, tasks), coef, bias, preds,
+    scores = keep(linear.decision_scores(spark, x, s, coef, bias, tasks))
+    preds = keep(linear.labelled(scores, s, tasks))
+    return BaselineRun(spark, tasks, s, tf, vocab, x, linear.labels_long(s, tasks), coef, bias, scores, preds,
                        materialized=materialize)

@@ -210,8 +210,7 @@ RIDGE = {"alpha": 0.5, "tol": 1e-2, "max_iter": 20}
 def ridge_predictions(spark, sf_dir):
     """V6: class and score of every sample and task by ridge, balanced, fitted on the train split."""
     run = baseline.with_ridge(baseline.build(spark, sf_dir, TASKS), **RIDGE)
-    scores = linear.decision_scores(spark, run.x, run.samples, run.coef, run.bias, TASKS)
-    best = scores.groupBy("_id", "task").agg(F.max("score").alias("score"))
+    best = run.scores.groupBy("_id", "task").agg(F.max("score").alias("score"))
     return (run.preds.join(best, ["_id", "task"]).join(run.samples.select("_id", "split"), "_id")
             .select("_id", "split", "task", "label", "pred", F.round("score", 6).alias("score")))
 
@@ -290,9 +289,7 @@ def _sql_log_loss():
 def log_loss(spark, sf_dir):
     """Softmax cross-entropy of the decision scores on the eval split, per task and mean over tasks."""
     run = baseline.build(spark, sf_dir, TASKS)
-    ids = run.split_ids(METRIC_SPLIT)
-    scores = linear.decision_scores(spark, run.x.join(ids, "_id", "left_semi"), ids, run.coef, run.bias, TASKS)
-    return metrics.log_loss(scores, run.labels)
+    return metrics.log_loss(run.scores.join(run.split_ids(METRIC_SPLIT), "_id", "left_semi"), run.labels)
 
 
 def _sql_effects(split):
@@ -617,21 +614,23 @@ def merge_pieces(spark, sf_dir):
 @register("word_ngram_attrs", lambda: S.with_(
     _base_sql(*S.span_ctes()),
     "SELECT ng.term, round(ng.attr, 9) AS attr, ng.type, ng._id, p.label, p.pred AS index, ng.task, p.pred, "
-    "CAST(NULL AS DOUBLE) AS proba FROM ng JOIN preds p ON p._id = ng._id AND p.task = ng.task"))
+    "round(pb.proba, 9) AS proba FROM ng JOIN preds p ON p._id = ng._id AND p.task = ng.task "
+    "JOIN pb ON pb._id = ng._id AND pb.task = ng.task"))
 def word_ngram_attrs(spark, sf_dir):
     """T11 + F9: attributed word 1-3-grams over whole test documents (no sentence alignment)."""
     run = baseline.build(spark, sf_dir, TASKS)
-    return evaluation.processed_attributions(run, with_sentences=False).withColumn("attr", F.round("attr", 9))
+    return evaluation.processed_attributions(run, with_sentences=False).withColumns({c: F.round(c, 9) for c in ("attr", "proba")})
 
 
 @register("processed_attrs", lambda: S.with_(
     _base_sql(*S.span_ctes(), *S.processed_ctes()),
     "SELECT r.term, round(r.attr, 9) AS attr, r.type, r._id, p.label, p.pred AS index, r.task, p.pred, "
-    "CAST(NULL AS DOUBLE) AS proba FROM prows r JOIN preds p ON p._id = r._id AND p.task = r.task"))
+    "round(pb.proba, 9) AS proba FROM prows r JOIN preds p ON p._id = r._id AND p.task = r.task "
+    "JOIN pb ON pb._id = r._id AND pb.task = r.task"))
 def processed_attrs(spark, sf_dir):
-    """T12 + T13: sentence rows and per-sentence n-grams (whole-document n-grams when misaligned)."""
+    """T12 + T13: sentence and rest rows, n-grams inside sentences (of the whole document where sentences stay unmatched)."""
     run = baseline.build(spark, sf_dir, TASKS)
-    return evaluation.processed_attributions(run).withColumn("attr", F.round("attr", 9))
+    return evaluation.processed_attributions(run).withColumns({c: F.round(c, 9) for c in ("attr", "proba")})
 
 
 # ---- M8: preparation and sinks ----------------------------------------------------------------------

@@ -149,7 +149,7 @@ def exclusive_top_sql(over, k: int, src: str = "agg") -> str:
 
 
 def with_(ctes: list[str], body: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + body
 
 
 # ---- text ------------------------------------------------------------------------------------------
@@ -316,6 +316,9 @@ def span_ctes(split: str = "test") -> list[str]:
         f"(SELECT _id, regexp_extract_all(lower(text), '{tok_re}') AS t FROM st))",
         f"uni AS (SELECT a._id, a.task, a.term, a.attr / tf.tf AS a FROM attrs a JOIN tf ON tf._id = a._id "
         f"AND tf.term = a.term WHERE a.split = '{split}' AND a.type = '1gram')",
+        "pm AS (SELECT _id, task, max(score) AS mx FROM scores GROUP BY _id, task)",
+        "pb AS (SELECT s._id, s.task, 1 / sum(exp(s.score - pm.mx)) AS proba FROM scores s JOIN pm ON pm._id = s._id AND pm.task = s.task "
+        "GROUP BY s._id, s.task)",
         "merged AS (SELECT tok._id, c.task, CAST(tok.tpos + 1 AS BIGINT) AS widx, tok.token AS word, "
         "coalesce(uni.a, 0) AS attr FROM tok CROSS JOIN (SELECT DISTINCT task FROM classes) c "
         "LEFT JOIN uni ON uni._id = tok._id AND uni.task = c.task AND uni.term = tok.token)",
@@ -332,24 +335,26 @@ def span_ctes(split: str = "test") -> list[str]:
 
 
 def processed_ctes() -> list[str]:
-    """T12/T13 on top of ``span_ctes``: alignment check, sentence ids by cumulative lengths, sentence rows,
-    per-sentence n-grams, and whole-document n-grams for documents that do not align."""
+    """T12/T13 on top of ``span_ctes``: the word-by-word fold as a recursion over word numbers. ``att`` counts dropped
+    matches, so that words of one match share (sentence, att); a match counts when it spells its sentence, or when it
+    is open at the end of a document whose last sentence alone is unfinished."""
     return [
-        f"sents AS (SELECT _id, CAST(unnest(range(0, len(s))) AS INTEGER) AS sent_idx, unnest(s) AS sentence "
-        f"FROM (SELECT _id, {sentence_split_sql('text')} AS s FROM st))",
-        "sn AS (SELECT _id, sent_idx, lower(regexp_replace(sentence, '\\s', '', 'g')) AS s FROM sents)",
-        "se AS (SELECT _id, sent_idx, sum(length(s)) OVER (PARTITION BY _id ORDER BY sent_idx "
-        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS send FROM sn)",
-        "wcat AS (SELECT _id, task, string_agg(word, '' ORDER BY widx) AS wc FROM merged GROUP BY _id, task)",
-        "scat AS (SELECT _id, string_agg(s, '' ORDER BY sent_idx) AS sc FROM sn GROUP BY _id)",
-        "al AS (SELECT w._id, w.task, w.wc = coalesce(s.sc, '') AS ok FROM wcat w LEFT JOIN scat s ON s._id = w._id)",
-        "wd AS (SELECT m.*, sum(length(m.word)) OVER (PARTITION BY m._id, m.task ORDER BY m.widx "
-        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(m.word) AS wstart FROM merged m "
-        "JOIN al ON al._id = m._id AND al.task = m.task WHERE al.ok)",
-        "ws AS (SELECT wd.*, (SELECT count(*) FROM se WHERE se._id = wd._id AND se.send <= wd.wstart) AS sid FROM wd)",
-        "srows AS (SELECT _id, task, lower(string_agg(word, ' ' ORDER BY widx)) AS term, avg(attr) AS attr, "
-        "'sentence' AS type FROM ws GROUP BY _id, task, sid)",
-        "skw AS (SELECT ws.* FROM ws JOIN kw ON kw._id = ws._id AND kw.task = ws.task AND kw.widx = ws.widx)",
+        f"td AS MATERIALIZED (SELECT _id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+|[^\\s\\p{{L}}\\p{{N}}_]') AS w, "
+        f"list_transform({sentence_split_sql('text')}, lambda x: lower(regexp_replace(x, '\\s', '', 'g'))) AS s FROM st)",
+        "fold AS (SELECT _id, 0 AS i, 0 AS s, 0 AS o, 0 AS att, -1 AS ws, -1 AS wa, false AS fin, w AS wl, s AS sl FROM td UNION ALL "
+        "SELECT _id, i + 1, CASE WHEN ok AND o + n = length(cur) THEN s + 1 ELSE s END, CASE WHEN ok AND o + n < length(cur) THEN o + n ELSE 0 END, "
+        "CASE WHEN ok THEN att ELSE att + 1 END, CASE WHEN ok THEN s ELSE -1 END, att, ok AND o + n = length(cur), wl, sl FROM "
+        "(SELECT *, wl[i + 1] AS word, length(wl[i + 1]) AS n, sl[s + 1] AS cur, substr(sl[s + 1], o + 1, length(wl[i + 1])) = wl[i + 1] AS ok "
+        "FROM fold WHERE i < len(wl) AND s < len(sl)))",
+        "fw AS MATERIALIZED (SELECT _id, i AS widx, s, o, ws, wa, fin, len(sl) AS ns FROM fold)",
+        "fend AS (SELECT _id, max(ns) AS ns, arg_max(s, widx) AS s, arg_max(o, widx) AS o, arg_max(wa, widx) AS wa, count(*) FILTER (WHERE fin) AS done "
+        "FROM fw GROUP BY _id)",
+        "fdoc AS (SELECT *, ns > 0 AND (done = 0 OR s < ns - 1) AS whole, ns > 0 AND done > 0 AND s = ns - 1 AND o > 0 AS rest FROM fend)",
+        "fgood AS (SELECT _id, ws, wa, 'sentence' AS kind FROM fw WHERE fin UNION ALL SELECT _id, s, wa, 'rest' FROM fdoc WHERE rest)",
+        "sidw AS (SELECT f._id, f.widx, g.ws AS sid, g.kind FROM fw f JOIN fgood g ON g._id = f._id AND g.ws = f.ws AND g.wa = f.wa WHERE f.widx > 0)",
+        "srows AS (SELECT m._id, m.task, lower(string_agg(m.word, ' ' ORDER BY m.widx)) AS term, avg(m.attr) AS attr, f.kind AS type "
+        "FROM merged m JOIN sidw f ON f._id = m._id AND f.widx = m.widx GROUP BY m._id, m.task, f.sid, f.kind)",
+        "skw AS (SELECT kw.*, f.sid FROM kw JOIN sidw f ON f._id = kw._id AND f.widx = kw.widx JOIN fdoc d ON d._id = kw._id WHERE NOT d.whole)",
         "sld AS (SELECT _id, task, widx, word AS w0, lead(word, 1) OVER w AS w1, lead(word, 2) OVER w AS w2, "
         "attr AS a0, lead(attr, 1) OVER w AS a1, lead(attr, 2) OVER w AS a2 FROM skw "
         "WINDOW w AS (PARTITION BY _id, task, sid ORDER BY widx))",
@@ -357,7 +362,7 @@ def processed_ctes() -> list[str]:
         "UNION ALL SELECT _id, task, lower(w0 || ' ' || w1), (CAST(0 AS DOUBLE) + a0 + a1) / 2, '2gram' FROM sld "
         "WHERE w1 IS NOT NULL UNION ALL SELECT _id, task, lower(w0 || ' ' || w1 || ' ' || w2), "
         "(CAST(0 AS DOUBLE) + a0 + a1 + a2) / 3, '3gram' FROM sld WHERE w2 IS NOT NULL)",
-        "dng AS (SELECT ng.* FROM ng JOIN al ON al._id = ng._id AND al.task = ng.task WHERE NOT al.ok)",
+        "dng AS (SELECT ng.* FROM ng JOIN fdoc d ON d._id = ng._id WHERE d.whole)",
         "prows AS (SELECT * FROM srows UNION ALL SELECT * FROM sng UNION ALL SELECT * FROM dng)",
     ]
 
