@@ -133,7 +133,7 @@ def regex_escape(term) -> Column:
     return F.regexp_replace(col_(term), r"([\\.\[\]{}()*+?^$|])", r"\\$1")
 
 
-PHRASE_GAP = r"\b(?:.{0,12}|\s)\b"
+PHRASE_GAP = r"\b(?:[^\n]{0,12}|\s)\b"
 
 
 def phrase_pattern(term) -> Column:

@@ -589,14 +589,16 @@ def removal_label_counts(spark, sf_dir):
     return masking.docs_per_label(evaluation.removal_curve(spark, sf_dir))
 
 
-@register("global_masks")
+MASK_BASE = (S.level1_cte(), S.avg_cte(OVER_TP), *S.mask_ctes("test", 50))
+
+
+@register("global_masks", lambda: S.with_(_base_sql(*MASK_BASE), "SELECT * FROM steps"))
 def global_masks(spark, sf_dir):
-    """M1/M2: per test document and task, masking steps over its label's ranked terms (limit 50).
-    Sequential fold; checked against a brute-force walk on a fixture (tests), rows-only here."""
+    """M1/M2: per test document and task, masking steps over its label's ranked terms (limit 50)."""
     return evaluation.global_mask_steps(spark, sf_dir)
 
 
-@register("mask_eval")
+@register("mask_eval", lambda: S.with_(_base_sql(*MASK_BASE, *S.mask_eval_ctes(TASKS)), "SELECT * FROM meval"))
 def mask_eval(spark, sf_dir):
     """M3/M4: every masking step re-scored with the fitted scorer (logits, preds, labels, pred_logits)."""
     return evaluation.mask_eval(spark, sf_dir)

@@ -417,3 +417,67 @@ def ridge_ctes(tasks: TaskMap, alpha: float, tol: float, steps: int) -> list[str
         "rpreds AS (SELECT l._id, l.task, l.label, p.class AS pred, p.score FROM labels_long l JOIN (SELECT *, row_number() OVER "
         "(PARTITION BY _id, task ORDER BY score DESC, class ASC) AS rn FROM rscores) p ON l._id = p._id AND l.task = p.task WHERE p.rn = 1)",
     ]
+
+
+# Letters beyond ASCII as capitals, which lower-cased texts lack (but for those of the mask), so that ``\\b`` knows them.
+LETTERS, CAPITALS = "ßäçèéêíñóöüáàâúïîôûùëœ", "BCDEFGHIJLNOPQRTUVWXYZ"
+
+
+def mask_ctes(split: str = "test", limit: int = 50) -> list[str]:
+    """M1: a recursion over each document's candidate terms (all words occur in it) in rank order. ``steps`` holds the
+    emitted rows. An error stops the query where a document's class has fewer ranked terms than the limit (M2)."""
+    to, back = f"'{LETTERS}', '{CAPITALS}'", f"'{CAPITALS}', '{LETTERS}'"
+    gap = "\\b(?:[\\x00-\\x09\\x0B-\\x7F]{0,12}|\\s)\\b"
+    return [
+        "ranked AS MATERIALIZED (SELECT task, pred AS cls, term, row_number() OVER (PARTITION BY task, pred ORDER BY attr DESC, term ASC) AS rank FROM agg)",
+        f"mdocs AS MATERIALIZED (SELECT s._id, l.task, l.label AS cls, lower(s.text) AS text, s.lang FROM samples s JOIN labels_long l ON l._id = s._id "
+        f"WHERE s.split = '{split}')",
+        "nterms AS (SELECT task, cls, count(*) AS n FROM ranked GROUP BY task, cls)",
+        f"mguard AS MATERIALIZED (SELECT d._id, d.task, CASE WHEN coalesce(n.n, 0) < {limit} THEN error('too few ranked terms') ELSE 0 END AS g "
+        f"FROM mdocs d LEFT JOIN nterms n ON n.task = d.task AND n.cls = d.cls)",
+        "dwords AS MATERIALIZED (SELECT DISTINCT _id, task, cls, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS word FROM mdocs)",
+        "twords AS MATERIALIZED (SELECT DISTINCT task, cls, rank, term, unnest(string_split(term, ' ')) AS word FROM ranked)",
+        "tsize AS (SELECT task, cls, rank, count(*) AS k FROM twords GROUP BY task, cls, rank)",
+        f"cand AS MATERIALIZED (SELECT c._id, c.task, c.rank, c.term, row_number() OVER (PARTITION BY c._id, c.task ORDER BY c.rank) AS ci, "
+        f"'\\b' || replace(translate(c.term, {to}), ' ', '{gap}') || '\\b' AS pat FROM (SELECT d._id, d.task, t.cls, t.rank, t.term, count(*) AS m FROM dwords d "
+        f"JOIN twords t ON t.task = d.task AND t.cls = d.cls AND t.word = d.word GROUP BY ALL) c JOIN tsize z ON z.task = c.task AND z.cls = c.cls "
+        f"AND z.rank = c.rank AND z.k = c.m)",
+        f"walk AS (SELECT _id, task, CAST(0 AS BIGINT) AS ci, translate(text, {to}) AS t, '' AS cum, 0 AS n, CAST(0 AS BIGINT) AS missed, CAST([] AS VARCHAR[]) AS masked, true AS hit "
+        f"FROM mdocs UNION ALL SELECT _id, task, ci, CASE WHEN hit THEN regexp_replace(t, CASE WHEN cum = '' THEN pat ELSE cum || '|' || pat END, '[MASK]', 'g') "
+        f"ELSE t END, CASE WHEN hit AND contains(term, ' ') THEN CASE WHEN cum = '' THEN pat ELSE cum || '|' || pat END ELSE cum END, "
+        f"CASE WHEN hit THEN n + 1 ELSE n END, CASE WHEN hit THEN rank - n - 1 ELSE missed END, CASE WHEN hit THEN list_append(masked, term) ELSE masked END, hit "
+        f"FROM (SELECT w._id, w.task, c.ci, w.t, w.cum, w.n, w.missed, w.masked, c.rank, c.term, c.pat, regexp_matches(w.t, c.pat) AS hit FROM walk w "
+        f"JOIN cand c ON c._id = w._id AND c.task = w.task AND c.ci = w.ci + 1 WHERE w.n < {limit}))",
+        f"steps AS MATERIALIZED (SELECT w._id, w.task, w.n AS n_masked_terms, w.masked AS masked_terms, CAST(w.missed + g.g AS INTEGER) AS n_missed_terms, "
+        f"CAST((length(t) - length(replace(t, '[MASK]', ''))) // 6 AS INTEGER) AS n_masked_tokens, translate(t, {back}) AS text FROM walk w "
+        f"JOIN mguard g ON g._id = w._id AND g.task = w.task WHERE hit)",
+    ]
+
+
+def mask_eval_ctes(tasks: TaskMap) -> list[str]:
+    """M3/M4 on top of ``mask_ctes``: every step's text scored again; ``meval`` is the result."""
+    order = "CASE task " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(tasks.names)) + " END"
+    grams = ", ".join(_ngram_sql("w", n) for n in (1, 2, 3))
+    labels = "[" + ", ".join(tasks.names) + "]"
+    return [
+        f"mw AS (SELECT _id, mtask, n, {stopword_filter_sql('w0', 'lang')} AS w FROM (SELECT p._id, p.task AS mtask, p.n_masked_terms AS n, s.lang, "
+        f"regexp_extract_all(lower(p.text), '\\[mask\\]|{WORD_RE}') AS w0 FROM steps p JOIN samples s ON s._id = p._id))",
+        f"mtf AS (SELECT _id, mtask, n, term, count(*) AS tf FROM (SELECT _id, mtask, n, unnest(list_concat({grams})) AS term FROM mw) GROUP BY ALL)",
+        "mv AS MATERIALIZED (SELECT m._id, m.mtask, m.n, m.term, m.tf * v.idf AS v FROM mtf m JOIN vocab v ON v.term = m.term)",
+        "mn AS (SELECT _id, mtask, n, sqrt(sum(v * v)) AS norm FROM mv GROUP BY ALL)",
+        "mdt AS (SELECT mv._id, mv.mtask, mv.n, c.task, c.class, sum(mv.v * c.w) AS dot FROM mv JOIN coef c ON c.term = mv.term GROUP BY ALL)",
+        "msc AS (SELECT p._id, p.task AS mtask, p.n_masked_terms AS n, cl.task, cl.class, round(coalesce(d.dot / NULLIF(mn.norm, 0), 0) + b.b, 9) AS score "
+        "FROM steps p CROSS JOIN classes cl LEFT JOIN mn ON mn._id = p._id AND mn.mtask = p.task AND mn.n = p.n_masked_terms "
+        "LEFT JOIN mdt d ON d._id = p._id AND d.mtask = p.task AND d.n = p.n_masked_terms AND d.task = cl.task AND d.class = cl.class "
+        "JOIN bias b ON b.task = cl.task AND b.class = cl.class)",
+        "mex AS (SELECT *, exp(score - max(score) OVER w) AS ex FROM msc WINDOW w AS (PARTITION BY _id, mtask, n, task))",
+        "mpr AS (SELECT _id, mtask, n, task, list(p ORDER BY class) AS prob FROM (SELECT *, ex / sum(ex) OVER (PARTITION BY _id, mtask, n, task) AS p FROM mex) "
+        "GROUP BY _id, mtask, n, task)",
+        f"mlg AS MATERIALIZED (SELECT _id, mtask, n, list(prob ORDER BY {order}) AS logits, "
+        f"list(CAST(list_position(prob, list_max(prob)) - 1 AS INTEGER) ORDER BY {order}) AS preds FROM mpr GROUP BY _id, mtask, n)",
+        f"meval AS (SELECT p.n_masked_terms, p.masked_terms, p.n_missed_terms, p.n_masked_tokens, list_transform(g.logits, lambda a: list_transform(a, lambda x: round(x, 9))) AS logits, "
+        f"g.preds, s.labels, p.text, p._id, p.task, CAST({order.replace('CASE task', 'CASE p.task')} AS INTEGER) AS task_index, "
+        f"[round(g.logits[i][z.preds[i] + 1], 9) FOR i IN range(1, {len(tasks.names) + 1})] AS pred_logits FROM steps p "
+        f"JOIN mlg g ON g._id = p._id AND g.mtask = p.task AND g.n = p.n_masked_terms JOIN mlg z ON z._id = p._id AND z.mtask = p.task AND z.n = 0 "
+        f"JOIN (SELECT _id, {labels} AS labels FROM samples) s ON s._id = p._id)",
+    ]
