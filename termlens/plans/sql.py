@@ -181,8 +181,8 @@ def windows_sql(tokens: str, size: int, overlap: int) -> str:
 CLEAN_PUNCT_SQL = "([.,!?()])"
 
 
-def ig_ctes(split: str, n_steps: int | None, prefix: str = "") -> list[str]:
-    """Softmax-linear integrated gradients (``n_steps`` midpoints) or LGXA (``None``: alpha = 1)."""
+def ig_ctes(split: str, n_steps: int | None, prefix: str = "", target: str = "pred") -> list[str]:
+    """Softmax-linear integrated gradients (``n_steps`` midpoints) or LGXA (``None``: alpha = 1) of the class ``target``."""
     steps = (f"SELECT (CAST(i AS DOUBLE) + 0.5) / {n_steps} AS a FROM range(0, {n_steps}) t(i)" if n_steps
              else "SELECT CAST(1.0 AS DOUBLE) AS a")
     P = prefix
@@ -197,8 +197,8 @@ def ig_ctes(split: str, n_steps: int | None, prefix: str = "") -> list[str]:
         "{P}lg AS (SELECT g._id, g.task, g.class, st.a, st.a * g.dot + g.b AS z FROM {P}grid g CROSS JOIN {P}steps st)",
         "{P}lg2 AS (SELECT *, exp(z - max(z) OVER (PARTITION BY _id, task, a)) AS ex FROM {P}lg)",
         "{P}pr AS (SELECT _id, task, class, a, ex / sum(ex) OVER (PARTITION BY _id, task, a) AS p FROM {P}lg2)",
-        "{P}pc AS (SELECT pr._id, pr.task, pr.a, pr.p AS pc, pd.pred FROM {P}pr pr JOIN preds pd "
-        "ON pd._id = pr._id AND pd.task = pr.task AND pd.pred = pr.class)",
+        f"{P}pc AS (SELECT pr._id, pr.task, pr.a, pr.p AS pc, pd.{target} AS pred FROM {P}pr pr JOIN preds pd "
+        f"ON pd._id = pr._id AND pd.task = pr.task AND pd.{target} = pr.class)",
         "{P}mw AS (SELECT pr._id, pr.task, pr.class, avg(CASE WHEN pr.class = pc.pred THEN pc.pc * (1 - pc.pc) "
         "ELSE -pc.pc * pr.p END) AS m FROM {P}pr pr JOIN {P}pc pc ON pc._id = pr._id AND pc.task = pr.task AND pc.a = pr.a "
         "GROUP BY pr._id, pr.task, pr.class)",
@@ -222,10 +222,6 @@ def random_attr_sql(seed: int = 0) -> str:
             f"::BIGINT AS DOUBLE) / 4294967296.0")
 
 
-def prefixed_ig_ctes(prefix: str, split: str, n_steps: int | None) -> list[str]:
-    return ig_ctes(split, n_steps, prefix)
-
-
 def removal_ctes(tasks, split: str = "eval", methods=("lrp", "ig", "lgxa", "random")) -> list[str]:
     from termlens.operators.masking import PERCENTILES
 
@@ -235,10 +231,12 @@ def removal_ctes(tasks, split: str = "eval", methods=("lrp", "ig", "lgxa", "rand
     ta = []
     ctes = []
     if "lrp" in methods:
-        ta.append(f"SELECT 'lrp' AS method, _id, task, term, attr FROM attrs WHERE split = '{split}'")
-    for name, steps in (("ig", 50), ("lgxa", None)):
+        ta.append("SELECT 'lrp' AS method, x._id, p.task, x.term, x.x * c.w AS attr FROM x JOIN preds p ON p._id = x._id "
+                  "JOIN coef c ON c.term = x.term AND c.task = p.task AND c.class = p.label JOIN samples s ON s._id = x._id "
+                  f"WHERE s.split = '{split}' AND x.x * c.w <> 0")
+    for name, steps in (("ig", 20), ("lgxa", None)):
         if name in methods:
-            ctes += prefixed_ig_ctes(f"{name}_", split, steps)
+            ctes += ig_ctes(split, steps, f"{name}_", "label")
             ta.append(f"SELECT '{name}' AS method, _id, task, term, attr FROM {name}_ig")
     pts = ", ".join(f"({p})" for p in [0] + PERCENTILES)
     mvals = ", ".join(f"('{m}')" for m in methods)

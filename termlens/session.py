@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,6 +66,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read back: scans of it prune columns and partitions, and a
+    lost executor costs a read. The folder's owner removes it after the application."""
+    path = scratch_path(df.sparkSession, f"tables/{name}-{uuid.uuid4().hex}")
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-path of the shared checkpoint folder for materialized tables."""
     return os.path.join(checkpoint_dir(spark), name)

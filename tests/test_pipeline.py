@@ -48,6 +48,16 @@ def test_removal_curve_invariants(spark):
         assert rs[0]["pred"] == base[(i, t)]
 
 
+def test_uncut_documents_score_as_the_metrics_say(spark):
+    """The 0 % row of the removal F1 is the accuracy on the same split."""
+    from termlens.plans import catalog
+
+    f1 = {(r["method"], r["task"]): r["f1"] for r in catalog.removal_f1(spark, SF).where("removed_percentile = 0").collect()}
+    accuracy = {r["task"]: r["accuracy"] for r in catalog.prf_averages(spark, SF).where("average = 'micro'").collect()}
+    assert len(f1) == len(accuracy) * len(evaluation.REMOVAL_METHODS)
+    assert all(v == accuracy[t] for (_, t), v in f1.items())
+
+
 def test_incremental_level1_equals_batch(spark, tmp_path):
     run = baseline.build(spark, SF, DEFAULT_TASKS)
     attrs = run.attributions("test")
