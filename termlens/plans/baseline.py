@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from termlens.config import DEFAULT_TASKS, TaskMap, VectorizerConfig
 from termlens.operators import attribution as xa
 from termlens.operators import linear, vectorize
+from termlens.session import kept_table
 from termlens.sources import tables
 
 
@@ -24,7 +25,7 @@ class BaselineRun:
     samples: DataFrame
     tf: DataFrame
     vocab: DataFrame
-    x: DataFrame
+    x_split: DataFrame
     labels: DataFrame
     coef: DataFrame
     bias: DataFrame
@@ -32,8 +33,17 @@ class BaselineRun:
     preds: DataFrame
 
     def split_ids(self, split: str) -> DataFrame:
+        """Ids of a split: of the split's partition, without its texts."""
         return self.samples.where(F.col("split") == split).select("_id")
 
+    def x_of(self, split: str | None) -> DataFrame:
+        """Features ``(_id, term, x)`` of a split: its partition alone is read."""
+        return (self.x_split if split is None else self.x_split.where(F.col("split") == split)).drop("split")
+
+    @property
+    def x(self) -> DataFrame:
+        return self.x_of(None)
+
     materialized: bool = False
     _attrs: dict = field(default_factory=dict)
     _ridge: dict = field(default_factory=dict)
@@ -43,13 +53,10 @@ class BaselineRun:
         key = (split, target)
         if key in self._attrs:
             return self._attrs[key]
-        x = self.x if split is None else self.x.join(self.split_ids(split), "_id", "left_semi")
-        a = xa.linear_attributions(x, self.preds, self.coef, target)
-        a = a.join(self.samples.select("_id", "split"), "_id")
+        a = xa.linear_attributions(self.x_of(split), self.preds, self.coef, target)
+        a = a.withColumn("split", F.lit(split)) if split else a.join(self.samples.select("_id", "split"), "_id")
         if self.materialized:
-            from termlens.session import cut_lineage
-
-            a = cut_lineage(a)
+            a = kept_table(a, "attributions")
         self._attrs[key] = a
         return a
 
@@ -62,7 +69,7 @@ def with_ridge(run: BaselineRun, alpha: float = 0.5, tol: float = 1e-2, max_iter
     key = (alpha, tol, max_iter, train_split)
     if key not in run._ridge:
         ids = run.split_ids(train_split)
-        coef, bias = linear.fit_ridge(run.spark, run.x.join(ids, "_id", "left_semi"), run.labels.join(ids, "_id", "left_semi"), run.tasks,
+        coef, bias = linear.fit_ridge(run.spark, run.x_of(train_split), run.labels.join(ids, "_id", "left_semi"), run.tasks,
                                       alpha, tol, max_iter)
         scores = linear.decision_scores(run.spark, run.x, run.samples, coef, bias, run.tasks)
         run._ridge[key] = replace(run, coef=coef, bias=bias, scores=scores, preds=linear.labelled(scores, run.samples, run.tasks), _attrs={}, _ridge={})
@@ -74,9 +81,9 @@ def build(spark: SparkSession, sf_dir: str, tasks: TaskMap = DEFAULT_TASKS,
           train_split: str = "train", cache: bool = True) -> BaselineRun:
     """Build (or reuse, within the session) the fitted chain.
 
-    With ``cache`` the reused stages (samples, vocabulary, tf-idf, model, predictions) are materialized
-    once with reliable checkpoints in the shared checkpoint folder: every report built on the run reads
-    them instead of re-fitting, their plans stay small, and they survive the loss of an executor.
+    With ``cache`` the reused stages are written once as Parquet tables in the shared folder (samples and features by
+    split): every report built on the run reads the columns and splits it needs instead of re-fitting, plans stay
+    small, and the loss of an executor costs a read.
     """
     cfg = cfg or VectorizerConfig()
     key = (id(spark.sparkContext), spark.sparkContext.applicationId, sf_dir, tasks, repr(cfg), scorer, train_split)
@@ -94,28 +101,25 @@ def release():
 
 
 def _build(spark, sf_dir, tasks, cfg, scorer, train_split, materialize: bool = False) -> BaselineRun:
-    from termlens.session import cut_lineage
-
-    keep = cut_lineage if materialize else (lambda d: d)
-    s = keep(tables.samples(spark, sf_dir, tasks))
+    keep = kept_table if materialize else (lambda d, name, by=None: d)
+    s = keep(tables.samples(spark, sf_dir, tasks), "samples", ["split"])
     doc_terms = vectorize.document_terms(s, cfg.ngram_range[0], cfg.ngram_range[1], pattern=cfg.token_pattern)
-    tf = vectorize.term_frequencies(doc_terms)
+    tf = keep(vectorize.term_frequencies(doc_terms), "tf")
     train = s.where(F.col("split") == train_split)
     train_ids = train.select("_id")
     n_docs = train_ids.agg(F.count(F.lit(1)).alias("n_docs"))
-    tf = keep(tf)
-    vocab = keep(vectorize.fit_vocabulary(tf.join(train_ids, "_id", "left_semi"), n_docs, cfg.min_df, cfg.max_df))
-    x = keep(vectorize.tfidf(tf, vocab, cfg.sublinear_tf))
-    x_train = x.join(train_ids, "_id", "left_semi")
+    vocab = keep(vectorize.fit_vocabulary(tf.join(train_ids, "_id", "left_semi"), n_docs, cfg.min_df, cfg.max_df), "vocabulary")
+    x = keep(vectorize.tfidf(tf, vocab, cfg.sublinear_tf).join(s.select("_id", "split"), "_id"), "features", ["split"])
+    x_train = x.where(F.col("split") == train_split).drop("split")
     labels_train = linear.labels_long(train, tasks)
     if scorer == "centroid":
-        coef, bias = linear.fit_centroid(spark, x_train, labels_train, tasks, keep=keep if materialize else None)
+        coef, bias = linear.fit_centroid(spark, x_train, labels_train, tasks, keep=(lambda d: keep(d, "means")) if materialize else None)
     elif scorer == "ridge":
         coef, bias = linear.fit_ridge(spark, x_train, labels_train, tasks)
     else:
         raise ValueError(f"unknown scorer {scorer!r}")
-    coef, bias = keep(coef), keep(bias)
-    scores = keep(linear.decision_scores(spark, x, s, coef, bias, tasks))
-    preds = keep(linear.labelled(scores, s, tasks))
+    coef, bias = keep(coef, "coefficients"), keep(bias, "biases")
+    scores = keep(linear.decision_scores(spark, x.drop("split"), s, coef, bias, tasks), "scores")
+    preds = keep(linear.labelled(scores, s, tasks), "predictions")
     return BaselineRun(spark, tasks, s, tf, vocab, x, linear.labels_long(s, tasks), coef, bias, scores, preds,
                        materialized=materialize)

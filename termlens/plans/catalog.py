@@ -304,7 +304,7 @@ def _effects(spark, sf_dir, split):
     run = baseline.build(spark, sf_dir, TASKS)
     ids = run.split_ids(split)
     n_docs = ids.agg(F.count(F.lit(1)).alias("n_docs"))
-    return xa.global_effects(run.x.join(ids, "_id", "left_semi"), n_docs, run.coef)
+    return xa.global_effects(run.x_of(split), n_docs, run.coef)
 
 
 @register("global_effects", lambda: S.with_(_base_sql(*_sql_effects("test")),
@@ -515,7 +515,7 @@ def _ig_query(n_steps, doc):
 
         run = baseline.build(spark, sf_dir, TASKS)
         ids = run.split_ids(ATTR_SPLIT)
-        x = run.x.join(ids, "_id", "left_semi")
+        x = run.x_of(ATTR_SPLIT)
         return _rounded_attrs(xa.softmax_path_attributions(spark, x, ids, run.coef, run.bias, run.preds, TASKS,
                                                            n_steps, keep=cut_lineage))
     q.__doc__ = doc
@@ -547,7 +547,7 @@ def attr_normed(spark, sf_dir):
 def attr_gradnorm(spark, sf_dir):
     """Gradient magnitude ``|W[pred, j]|`` of every present term."""
     run = baseline.build(spark, sf_dir, TASKS)
-    x = run.x.join(run.split_ids(ATTR_SPLIT), "_id", "left_semi")
+    x = run.x_of(ATTR_SPLIT)
     return _rounded_attrs(xa.gradient_norm_attributions(x, run.preds, run.coef))
 
 
@@ -701,6 +701,16 @@ def anti_skip(spark, sf_dir):
     return prepare.skip_done(docs, done, "doc_id")
 
 
+@register("split_table", lambda: S.with_([S.samples_cte(TASKS)], "SELECT _id, split, lang, " + ", ".join(TASKS.names) + ", length(text) AS n_letters FROM samples "
+                                         "WHERE split IN ('eval', 'test')"))
+def split_table(spark, sf_dir):
+    """The labelled documents written as one table by split; the eval and test splits read back."""
+    path = scratch_path(spark, f"split-{uuid.uuid4().hex}")
+    sinks.write_table(tables.samples(spark, sf_dir, TASKS), path, ["split"])
+    back = spark.read.parquet(path).where(F.col("split").isin("eval", "test"))
+    return back.select("_id", "split", "lang", *TASKS.names, F.length("text").cast("long").alias("n_letters"))
+
+
 def _write_attrs(spark, sf_dir, name):
     run = baseline.build(spark, sf_dir, TASKS)
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")  # fresh on every call: nothing of an earlier run is read
