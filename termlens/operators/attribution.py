@@ -183,3 +183,42 @@ def softmax_path_attributions(spark, x: DataFrame, ids: DataFrame, coef: DataFra
                 .groupBy("_id", "task", "term").agg(F.sum(F.col("m") * F.col("xw")).alias("attr")))
     p = preds.select("_id", "task", "label", "pred", F.col("pred").alias("index"))
     return per_term.join(p, ["_id", "task"]).withColumn("type", tx.ngram_type("term"))
+
+
+def attribution_table(x: DataFrame, coef: DataFrame, bias: DataFrame, preds: DataFrame, tasks, n_steps: int = 50) -> DataFrame:
+    """One long table of all methods, ``(method, _id, task, term, attr, type, pred, label, index, proba)``, for the class
+    in ``index`` of ``preds(_id, task, pred, label, index, proba)``.
+
+    The features are read and joined to the weights once. A row then holds a document's terms for a task with all class
+    weights (bounded by the document), from which come its dot products, the path weights of integrated
+    gradients and LGXA, and every method's terms. Zero relevance is left out (F11)."""
+    k_max = max(n for _, n in tasks.tasks)
+    by_class = lambda c, v: F.transform(F.sort_array(F.collect_list(F.struct(c, v))), lambda e: e[v])
+    weights = coef.groupBy("term", "task").agg(by_class("class", "w").alias("w"))
+    biases = bias.groupBy("task").agg(by_class("class", "b").alias("b"))  # a row per task
+    docs = x.join(weights, "term").groupBy("_id", "task").agg(
+        F.collect_list(F.struct("term", "x", "w")).alias("terms"),
+        F.array(*[F.sum(F.col("x") * F.get("w", F.lit(c))) for c in range(k_max)]).alias("dots"))
+    docs = (docs.join(F.broadcast(biases), "task").join(preds, ["_id", "task"])
+            .select("*", F.transform("b", lambda b, c: F.struct(F.element_at("dots", c + 1).alias("dot"), b.alias("b"))).alias("cls"),
+                    (F.col("index") + 1).alias("at")))
+    alphas = F.transform(F.sequence(F.lit(0), F.lit(n_steps - 1)), lambda s: (s.cast("double") + 0.5) / n_steps)
+    zero = F.transform(F.col("cls"), lambda e: F.lit(0.0))
+    path = F.aggregate(alphas, zero, lambda acc, a: F.zip_with(acc, _m_at(a, F.col("at")), lambda u, v: u + v))
+    docs = docs.select("*", F.transform(path, lambda v: v / n_steps).alias("m_ig"), _m_at(F.lit(1.0), F.col("at")).alias("m_lgxa"))
+    rows = docs.select("_id", "task", "pred", "label", "index", "proba", "at", "m_ig", "m_lgxa", F.explode("terms").alias("t"))
+
+    def along(m):
+        return F.aggregate(F.zip_with(m, F.col("t.w"), lambda u, v: u * F.col("t.x") * v), F.lit(0.0), lambda acc, v: acc + v)
+
+    w = F.element_at("t.w", F.col("at"))
+    methods = F.array(*[F.struct(F.lit(n).alias("method"), v.alias("attr")) for n, v in (
+        ("lrp", F.col("t.x") * w), ("ig", along("m_ig")), ("lgxa", along("m_lgxa")), ("gradnorm", F.abs(w)))])
+    out = rows.select("_id", "task", F.col("t.term").alias("term"), "pred", "label", "index", "proba", F.explode(methods).alias("m"))
+    return out.where((F.col("m.method") != "lrp") | (F.col("m.attr") != 0)).select(
+        "m.method", "_id", "task", "term", "m.attr", tx.ngram_type("term").alias("type"), "pred", "label", "index", "proba")
+
+
+def distinct_features(effects: DataFrame, k: int = 5) -> DataFrame:
+    """The distinct union of every class's top ``k`` terms, with the effect of each of them in every class."""
+    return effects.join(top_features(effects, k).select("term").distinct(), "term", "left_semi")

@@ -83,6 +83,21 @@ def sectioned_sentences(df: DataFrame, id_cols: list[str], text_col: str, sectio
     return out.select(*id_cols, F.posexplode("_p").alias("sent_idx", "sentence"))
 
 
+def zipped_sections(df: DataFrame, id_cols: list[str], text_col: str, sections_col: str, carry: bool = True) -> DataFrame:
+    """T9 on whole texts: line ``i`` of a text belongs to name ``i`` of its array of section names; sentences of a line are
+    prefixed with its name, long ones cut into spans. Names beyond the lines are unused; lines beyond the names carry
+    the last name on, or are left out without ``carry``. No names: no rows."""
+    names = F.transform(F.col(sections_col), section_name)
+    staged = df.where(F.size(sections_col) > 0).select(*id_cols, names.alias("_names"), F.split(F.col(text_col), "\n").alias("_lines"))
+    lines = F.col("_lines") if carry else F.slice("_lines", 1, F.size("_names"))
+
+    def per_line(ln, i):
+        return F.flatten(F.transform(tx.sentence_split(F.trim(ln)), _prefixed(F.element_at("_names", F.least(i + 1, F.size("_names"))))))
+
+    out = staged.select(*id_cols, F.posexplode(F.transform(lines, per_line)).alias("line", "_p"))
+    return out.select(*id_cols, "line", F.posexplode("_p").alias("sent_idx", "sentence"))
+
+
 def label_profile(samples: DataFrame, tasks: TaskMap) -> DataFrame:
     """Per split and task: rows, distinct labels, and the count of each label."""
     long = labels_long(samples, tasks).join(samples.select("_id", "split"), "_id")

@@ -324,6 +324,24 @@ def top5_features(spark, sf_dir):
     return xa.top_features(eff, 5)
 
 
+@register("distinct_top_features", lambda: S.with_(
+    _base_sql(*_sql_effects("train")),
+    "SELECT term, occurance, round(attr, 9) AS attr, pred, task FROM eff WHERE term IN (SELECT term FROM (SELECT term, row_number() OVER "
+    "(PARTITION BY task, pred ORDER BY round(attr, 9) DESC, term ASC) AS rank FROM eff) WHERE rank <= 5)"))
+def distinct_top_features(spark, sf_dir):
+    """X3 on the train split: effects, in every class, of the distinct union of the classes' top 5 terms."""
+    return xa.distinct_features(_effects(spark, sf_dir, "train").withColumn("attr", F.round("attr", 9)), 5)
+
+
+@register("metric_rows", lambda: S.with_(_base_sql(*_sql_conf_cte()), " UNION ALL ".join(
+    f"SELECT name, '{m}' AS metric, round(CAST({m} AS DOUBLE), 9) AS value FROM plf" for m in ("precision", "recall", "f1", "support"))))
+def metric_rows(spark, sf_dir):
+    """A14/T18 on the eval split: long rows (target name ``task=class``, metric, value)."""
+    run = baseline.build(spark, sf_dir, TASKS)
+    per = metrics.per_label(spark, _split_preds(run, METRIC_SPLIT), TASKS).withColumn("support", F.col("support").cast("double"))
+    return per.unpivot("name", ["precision", "recall", "f1", "support"], "metric", "value").withColumn("value", F.round("value", 9))
+
+
 # ---- M7: pooling and labels -----------------------------------------------------------------------
 from termlens.functions import arrays as ar  # noqa: E402
 from termlens.operators import pooling  # noqa: E402
@@ -468,6 +486,29 @@ def sectioned_sentences(spark, sf_dir):
     return segments.sectioned_sentences(df, ["conv_id", "turn"], "text", "role")
 
 
+_SECTIONS = ("coalesce(source, 'none')", "lang || '_code'", "'Body-text'")
+
+
+def _sql_zipped_sections():
+    sents = S.sentence_split_sql("trim(ln)")
+    spans = S.windows_sql("regexp_split_to_array(s, '\\s+')", segments.SPAN_SIZE, segments.SPAN_OVERLAP)
+    nm = f"trim(regexp_split_to_array(names[least(i, {len(_SECTIONS)})], '(?i)(-|_|text)')[1])"
+    per = (f"list_transform(string_split(text, chr(10)), lambda ln, i: flatten(list_transform({sents}, lambda s: CASE WHEN length(s) > {segments.SPAN_LIMIT} "
+           f"THEN list_transform({spans}, lambda sp: {nm} || ': ' || sp) ELSE [{nm} || ': ' || s] END)))")
+    return (f"WITH d AS (SELECT doc_id, text, [{', '.join(_SECTIONS)}] AS names FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL), "
+            f"p AS (SELECT doc_id, {per} AS p FROM d), "
+            "l AS (SELECT doc_id, CAST(unnest(range(0, len(p))) AS INTEGER) AS line, unnest(p) AS q FROM p) "
+            "SELECT doc_id, line, CAST(unnest(range(0, len(q))) AS INTEGER) AS sent_idx, unnest(q) AS sentence FROM l")
+
+
+@register("zipped_sections", _sql_zipped_sections)
+def zipped_sections(spark, sf_dir):
+    """Lines of whole documents zipped with an array of section names, the last name carried on."""
+    df = tables.read_table(spark, sf_dir, "documents").where("text is not null and lang is not null")
+    names = F.array(*[F.expr(e) for e in _SECTIONS])
+    return segments.zipped_sections(df.select("doc_id", "text", names.alias("names")), ["doc_id"], "text", "names")
+
+
 def _sql_label_profile():
     return S.with_([S.samples_cte(TASKS), f"ll AS ({S.labels_long_sql(TASKS)})",
                     "pl AS (SELECT s.split, ll.task, ll.label, count(*) AS n FROM ll JOIN samples s ON s._id = ll._id "
@@ -528,6 +569,29 @@ register("attr_lgxa", lambda: S.with_(_base_sql(*S.ig_ctes(ATTR_SPLIT, None)), f
     _ig_query(None, "X7: gradient x activation of the predicted-class probability (alpha = 1)."))
 
 
+LONG_COLS = "_id, task, term, round(attr, 9) AS attr, type, pred, label, index"
+
+
+def _sql_attribution_table():
+    grad = ("SELECT tx._id, p.task, tx.term, abs(c.w) AS attr, CAST(len(string_split(tx.term, ' ')) AS VARCHAR) || 'gram' AS type, p.pred, p.label, "
+            "p.pred AS index FROM ig_tx tx JOIN preds p ON p._id = tx._id JOIN coef c ON c.term = tx.term AND c.task = p.task AND c.class = p.pred")
+    parts = {"lrp": f"SELECT * FROM attrs WHERE split = '{ATTR_SPLIT}'", "ig": "SELECT * FROM ig_ig", "lgxa": "SELECT * FROM lg_ig", "gradnorm": grad}
+    rows = " UNION ALL ".join(f"SELECT '{m}' AS method, {LONG_COLS} FROM ({q})" for m, q in parts.items())
+    return S.with_(_base_sql(*S.proba_ctes(), *S.ig_ctes(ATTR_SPLIT, 50, "ig_"), *S.ig_ctes(ATTR_SPLIT, None, "lg_")),
+                   f"SELECT r.*, round(pb.proba, 9) AS proba FROM ({rows}) r JOIN pb ON pb._id = r._id AND pb.task = r.task")
+
+
+@register("attribution_table", _sql_attribution_table)
+def attribution_table(spark, sf_dir):
+    """All methods in one long table with pred, label, index, task and proba, from one scan of the features."""
+    from termlens.plans import evaluation
+
+    run = baseline.build(spark, sf_dir, TASKS)
+    preds = run.preds.withColumn("index", F.col("pred")).join(evaluation.predicted_proba(run), ["_id", "task"])
+    out = xa.attribution_table(run.x_of(ATTR_SPLIT), run.coef, run.bias, preds, TASKS, 50)
+    return out.withColumns({c: F.round(c, 9) for c in ("attr", "proba")})
+
+
 @register("attr_normed", lambda: S.with_(_base_sql(
     f"ta AS (SELECT * FROM attrs WHERE split = '{ATTR_SPLIT}')",
     "nrm AS (SELECT _id, task, sqrt(sum(attr * attr)) AS n FROM ta GROUP BY _id, task)"),
@@ -711,6 +775,40 @@ def split_table(spark, sf_dir):
     return back.select("_id", "split", "lang", *TASKS.names, F.length("text").cast("long").alias("n_letters"))
 
 
+def _sql_ranked_reports():
+    base = "test_attr_pos_!sentence_all_task-pred"
+    lists = " UNION ALL ".join(
+        f"SELECT term, task, pred, attr, occurance, '{base}_{name}_{kind}_50' AS report FROM ({fn(OVER_TP, 50, src)})"
+        for name, src in (("avg", "agg"), ("homogeneity", "hagg")) for kind, fn in (("top", S.top_sql), ("exclusive_top", S.exclusive_top_sql)))
+    return S.with_(_base_sql(S.level1_cte(), S.avg_cte(OVER_TP), *S.homogeneity_ctes(OVER_TP, "hagg")), lists)
+
+
+@register("ranked_reports", _sql_ranked_reports)
+def ranked_reports(spark, sf_dir):
+    """An option-driven run: aggregates as Parquet, top and exclusive lists as sorted CSV, read back."""
+    from termlens.plans import reports
+
+    run = baseline.build(spark, sf_dir, TASKS)
+    paths = reports.ranked_reports(run, scratch_path(spark, f"reports-{uuid.uuid4().hex}"), over=OVER_TP, k=50)
+    return reports.read_reports(run, paths, "term string, task string, pred int, attr double, occurance long")
+
+
+@register("effects_report", lambda: S.with_(_base_sql(*_sql_effects("test")), "SELECT term, occurance, round(attr, 9) AS attr, pred, task FROM eff"))
+def effects_report(spark, sf_dir):
+    """The whole vocabulary's global effects as a sorted CSV report of many files, read back."""
+    path = scratch_path(spark, f"effects-{uuid.uuid4().hex}.csv")
+    sinks.write_report_csv(global_effects(spark, sf_dir), path, ["task", "pred", "term"])
+    return sinks.read_report_csv(spark, path, "term string, occurance long, attr double, pred int, task string")
+
+
+@register("removal_report", lambda: S.with_(_base_sql(*S.removal_ctes(TASKS)), "SELECT * FROM curve"))
+def removal_report(spark, sf_dir):
+    """The removal curve as a sorted CSV report, read back."""
+    curve = evaluation.removal_curve(spark, sf_dir)
+    path = sinks.write_report_csv(curve, scratch_path(spark, f"removal-{uuid.uuid4().hex}.csv"), ["method", "task", "_id", "removed_percentile"])
+    return sinks.read_report_csv(spark, path, curve.schema)
+
+
 def _write_attrs(spark, sf_dir, name):
     run = baseline.build(spark, sf_dir, TASKS)
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")  # fresh on every call: nothing of an earlier run is read

@@ -299,6 +299,15 @@ def removal_ctes(tasks, split: str = "eval", methods=("lrp", "ig", "lgxa", "rand
     return ctes
 
 
+def proba_ctes() -> list[str]:
+    """``pb(_id, task, proba)``: softmax over a task's scores at its predicted class."""
+    return [
+        "pm AS (SELECT _id, task, max(score) AS mx FROM scores GROUP BY _id, task)",
+        "pb AS (SELECT s._id, s.task, 1 / sum(exp(s.score - pm.mx)) AS proba FROM scores s JOIN pm ON pm._id = s._id AND pm.task = s.task "
+        "GROUP BY s._id, s.task)",
+    ]
+
+
 def span_ctes(split: str = "test") -> list[str]:
     """Token attributions (punctuation kept), merged words (pieces always merge back to their token),
     and the filtered word stream used for n-grams."""
@@ -314,9 +323,7 @@ def span_ctes(split: str = "test") -> list[str]:
         f"(SELECT _id, regexp_extract_all(lower(text), '{tok_re}') AS t FROM st))",
         f"uni AS (SELECT a._id, a.task, a.term, a.attr / tf.tf AS a FROM attrs a JOIN tf ON tf._id = a._id "
         f"AND tf.term = a.term WHERE a.split = '{split}' AND a.type = '1gram')",
-        "pm AS (SELECT _id, task, max(score) AS mx FROM scores GROUP BY _id, task)",
-        "pb AS (SELECT s._id, s.task, 1 / sum(exp(s.score - pm.mx)) AS proba FROM scores s JOIN pm ON pm._id = s._id AND pm.task = s.task "
-        "GROUP BY s._id, s.task)",
+        *proba_ctes(),
         "merged AS (SELECT tok._id, c.task, CAST(tok.tpos + 1 AS BIGINT) AS widx, tok.token AS word, "
         "coalesce(uni.a, 0) AS attr FROM tok CROSS JOIN (SELECT DISTINCT task FROM classes) c "
         "LEFT JOIN uni ON uni._id = tok._id AND uni.task = c.task AND uni.term = tok.token)",
