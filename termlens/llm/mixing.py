@@ -170,8 +170,10 @@ def mixed_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str
     named = sources.select(F.col("source").alias("mix_source"), "source_no")
     at = placed.where("size > 0").join(named, F.col(source_col).eqNullSafe(F.col("mix_source"))).drop("mix_source")
     rows = at.join(copies, (F.col("source_no") == F.col("mix_no")) & (F.col("before") == F.col("mix_before")))
-    chosen = F.flatten(F.transform("mix_spans", lambda s: F.slice("mix_slices", (s.from_word + 1).cast("int"), s.n_words.cast("int"))))
-    rows = rows.withColumn("mix_slices", word_slices(F.col(text_col))).withColumn(text_col, F.array_join(chosen, ""))
+    # the slices are bound once for all spans; as a column of their own they would be cut again for each span
+    chosen = F.element_at(F.transform(F.array(word_slices(F.col(text_col))), lambda w: F.array_join(F.flatten(
+        F.transform("mix_spans", lambda s: F.slice(w, (s.from_word + 1).cast("int"), s.n_words.cast("int")))), "")), 1)
+    rows = rows.withColumn(text_col, chosen)
     if length_col:
         rows = rows.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return rows.select(docs.columns)

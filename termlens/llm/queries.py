@@ -82,7 +82,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
         model = f.read()
-    out = sentencepiece_codec.decoded(sentencepiece_codec.encoded(docs, "text", model), "ids", model)
+    out = sentencepiece_codec.round_trip(docs, "text", model)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids",
                       F.col("decoded").eqNullSafe(F.replace("text", F.lit("\u2581"), F.lit(" "))).alias("round_trip"))
 

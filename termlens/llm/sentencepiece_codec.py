@@ -10,13 +10,13 @@ give the pieces that end there, and the best of them is relaxed into the Viterbi
   at each position is the library's encoding. Admissible pairs are decided once and cached.
 
 White space is written as the mark U+2581, a mark is put in front, and no piece holds a mark after a letter,
-so runs of letters between marks are coded on their own and kept in a bounded cache per worker. Runs of up to
+so runs of letters between marks are coded on their own and kept in a cache per worker that is bounded in bytes. Runs of up to
 ``LONGEST`` letters that are not in it are coded together, column by column over arrays (``Columns``); longer
 ones one at a time (``Codec.run``): the same pass of the same automaton. Letters without a piece become byte
 pieces. Decoding joins pieces and bytes and drops the mark in front.
 
 Defined cases: null texts give null ids; empty texts give no ids; repeated rows are coded each; other columns
-are kept (a clashing ``ids`` column is replaced); an empty table gives no rows. A text that holds U+2581 comes
+are kept (clashing ``ids`` and ``decoded`` columns are replaced); an empty table gives no rows. A text that holds U+2581 comes
 back with spaces there, as with the library. The model must use the identity normaliser.
 """
 
@@ -27,15 +27,18 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from termlens.llm.common import portions
+from pyspark.sql import types as T
 
 MARK = "▁"
-CACHE = 1 << 18
+CACHE_BYTES = 8 << 20  # of one generation of coded runs
+RUN_BYTES = 260  # a run's objects and its place in the table, besides its letters
+PAIR_CACHE = 1 << 16
 LONGEST = 64
-PAIRS = 1 << 21  # decided pairs a worker keeps as arrays (18 MB)
+PAIRS = 1 << 20  # decided pairs a worker keeps as arrays (9 MB)
 CHUNK = 1 << 15  # runs coded at once
 _RUN = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
@@ -123,17 +126,17 @@ class Columns:
                 self.pair_keys, self.pair_ok = np.insert(self.pair_keys, at, new), np.insert(self.pair_ok, at, ok)
         return out
 
-    def code(self, runs: list[str]) -> list[tuple]:
-        """Ids of each of ``runs``, none longer than ``LONGEST`` letters."""
+    def code(self, runs: list[str]) -> list[bytes]:
+        """Ids of each of ``runs``, none longer than ``LONGEST`` letters, as the bytes of an int32 array."""
         order = sorted(range(len(runs)), key=lambda i: len(runs[i]), reverse=True)
-        out: list = [()] * len(runs)
+        out: list = [b""] * len(runs)
         for lo in range(0, len(order), CHUNK):
             some = order[lo:lo + CHUNK]
             for i, ids in zip(some, self._coded([runs[i] for i in some])):
                 out[i] = ids
         return out
 
-    def _coded(self, runs: list[str]) -> list[tuple]:
+    def _coded(self, runs: list[str]) -> list[bytes]:
         """``code`` for a chunk of runs, longest first."""
         sizes = np.array([len(r) for r in runs], dtype=np.int64)
         codes = self.letter[np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32)].astype(np.int64)
@@ -177,9 +180,9 @@ class Columns:
             return []
         owner, ids = np.concatenate([s[0] for s in steps][::-1]), np.concatenate([s[1] for s in steps][::-1])
         alone = set(owner[ids < 0].tolist())  # runs with byte pieces
-        ids = ids[np.argsort(owner, kind="stable")].tolist()
-        ends = np.cumsum(np.bincount(owner, minlength=n)).tolist()
-        return [self.codec.run(runs[i]) if i in alone else tuple(ids[a:b]) for i, (a, b) in enumerate(zip([0, *ends], ends))]
+        ids = ids[np.argsort(owner, kind="stable")].astype(np.int32).tobytes()
+        ends = (4 * np.cumsum(np.bincount(owner, minlength=n))).tolist()
+        return [self.codec.run(runs[i]) if i in alone else ids[a:b] for i, (a, b) in enumerate(zip([0, *ends], ends))]
 
 
 class Codec:
@@ -205,7 +208,9 @@ class Codec:
             self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.runs: dict[str, tuple] = {}
+        self.runs: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
         self.columns = Columns(self)
 
     @classmethod
@@ -232,7 +237,7 @@ class Codec:
         got = self.pairs.get(key)
         if got is None:
             got = self.decided(left, right)
-            if len(self.pairs) < CACHE:
+            if len(self.pairs) < PAIR_CACHE:
                 self.pairs[key] = got
         return got
 
@@ -241,8 +246,8 @@ class Codec:
         a, b = self.texts[left] if left >= 0 else "", self.texts[right]
         return self._merged(a + b) == ([a, b] if a else [b])
 
-    def run(self, text: str) -> tuple:
-        """Ids of one run: a single pass of the automaton with one survivor a position."""
+    def run(self, text: str) -> bytes:
+        """Ids of one run, as the bytes of an int32 array: a single pass of the automaton with one survivor a position."""
         n = len(text)
         back = [(0, -1)] * (n + 1)  # (start of the last piece, its id)
         best = [0.0] + [float("-inf")] * n
@@ -270,26 +275,44 @@ class Codec:
                 codes = [self.bytes.get(b, self.unknown) for b in text[start:at].encode()] if self.bytes else [self.unknown]
                 ids.extend(reversed(codes))
             at = start
-        return tuple(reversed(ids))
+        return np.array(ids[::-1], dtype=np.int32).tobytes()
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list) -> list:
         """Ids of every text (None for None)."""
+        return [None if x is None else x.tolist() for x in self.encode_arrays(texts)]
+
+    def encode_arrays(self, texts: list) -> list:
+        """Ids of every text as an int32 array (None for None).
+
+        Coded runs are kept as bytes in two generations: when the younger is over ``CACHE_BYTES`` it becomes the older,
+        whose runs are forgotten unless they have come again since."""
         split = [_RUN.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        coded, new = self.runs, set()
+        new = set()
         for runs in split:
             new.update(runs)
-        new = [r for r in new if r not in coded]
-        here = {r: self.run(r) for r in new if len(r) > LONGEST}
-        short = [r for r in new if len(r) <= LONGEST]
-        room = CACHE - len(coded)
-        for k, (r, ids) in enumerate(zip(short, self.columns.code(short))):
-            (coded if k < room else here)[r] = ids
-        both = {**coded, **here} if here and len(here) * 8 > len(coded) else None
-        get = both.__getitem__ if both is not None else (lambda r: coded[r] if r in coded else here[r]) if here else coded.__getitem__
-        return [None if t is None else list(chain.from_iterable(map(get, runs))) for t, runs in zip(texts, split)]
+        young, old, here = self.runs, self.older, {}
+        todo = []
+        for r in new:
+            if r not in young:
+                if len(r) > LONGEST:
+                    here[r] = self.run(r)
+                elif r in old:
+                    young[r] = old[r]
+                    self.held += RUN_BYTES + 2 * len(r)
+                else:
+                    todo.append(r)
+        for lo in range(0, len(todo), CHUNK):
+            some = todo[lo:lo + CHUNK]
+            young.update(zip(some, self.columns.code(some)))
+            self.held += sum(map(len, some)) * 2 + RUN_BYTES * len(some)
+        get = (lambda r: young[r] if r in young else here[r]) if here else young.__getitem__
+        out = [None if t is None else np.frombuffer(b"".join(map(get, runs)), np.int32) for t, runs in zip(texts, split)]
+        if self.held > CACHE_BYTES:
+            self.older, self.runs, self.held = young, {}, 0
+        return out
 
     def decode(self, ids) -> str:
         out, pending = [], bytearray()
@@ -330,20 +353,49 @@ def _codec(table) -> Codec:
     return _WORKER[key]
 
 
-def encoded(docs: DataFrame, text_col: str, model: bytes, kind: str = "bpe") -> DataFrame:
-    """``docs`` with ``ids``, the array of piece ids of each whole text. The piece table is broadcast (the
-    vocabulary file bounds it)."""
+def _slices(column, size: int = 2 << 20):
+    """(start, length) of consecutive rows of about ``size`` bytes of text each."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64) + 1
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, side="right")), lo + 1)
+        yield lo, hi - lo
+        lo = hi
+
+
+def _through(docs: DataFrame, text_col: str, model: bytes, kind: str, decode: bool) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast((pieces_of(model), kind))
+    added = ["ids", "decoded"] if decode else ["ids"]
+    kept = [f for f in docs.schema.fields if f.name not in added]
+    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.StringType())] if decode else [])])
 
-    @F.pandas_udf("array<int>")
-    def ids(texts):
+    def work(batches):
         codec = _codec(table)
-        out = []
-        for some in portions(texts.tolist()):
-            out += [None if x is None else np.array(x, dtype=np.int32) for x in codec.encode_all(some)]
-        return pd.Series(out, dtype=object)
+        for batch in batches:
+            texts = batch.column(text_col)
+            for lo, n in _slices(texts):
+                ids = codec.encode_arrays(texts.slice(lo, n).to_pylist())
+                none = np.array([x is None for x in ids])
+                ends = np.cumsum([0 if x is None else len(x) for x in ids])
+                offsets = pa.array(np.append(0, ends).astype(np.int32), mask=np.append(none, False))
+                flat = np.concatenate([x for x in ids if x is not None] or [np.zeros(0, np.int32)])
+                columns = [pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))]
+                if decode:
+                    columns.append(pa.array((None if x is None else codec.decode(x.tolist()) for x in ids), pa.string(), size=n))
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name).slice(lo, n) for f in kept), *columns], names=schema.names)
+
+    return docs.select([f.name for f in kept] if text_col not in added else docs.columns).mapInArrow(work, schema)
+
+
+def encoded(docs: DataFrame, text_col: str, model: bytes, kind: str = "bpe") -> DataFrame:
+    """``docs`` with ``ids``, the array of piece ids of each whole text. The piece table is broadcast (the
+    vocabulary file bounds it). Portions of about 2 MB of text are coded at a time."""
+    return _through(docs, text_col, model, kind, decode=False)
+
 
-    return docs.withColumn("ids", ids(F.col(text_col)))
+def round_trip(docs: DataFrame, text_col: str, model: bytes, kind: str = "bpe") -> DataFrame:
+    """``encoded`` with ``decoded``, the text of each array of ids, made in the same pass."""
+    return _through(docs, text_col, model, kind, decode=True)
 
 
 def decoded(rows: DataFrame, ids_col: str, model: bytes, kind: str = "bpe") -> DataFrame:
