@@ -57,25 +57,29 @@ def mean(arr) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v) / F.size(a)
 
 
+def _bound(value, fn) -> Column:
+    """``fn`` of ``value``, which is evaluated once a row: a column used in a lambda would be put into it and evaluated
+    for every element."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def layer_norm(arr, eps: float = 1e-5) -> Column:
-    """``(v - mean) / sqrt(var + eps)`` with the biased variance; unit weight, zero bias."""
-    a = col_(arr)
-    n = F.size(a)
-    mu = F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v) / n
-    var = F.aggregate(a, F.lit(0.0), lambda acc, v: acc + (v - mu) * (v - mu)) / n
-    return F.transform(a, lambda v: (v - mu) / F.sqrt(var + F.lit(eps)))
+    """``(v - mean) / sqrt(var + eps)`` with the biased variance; unit weight, zero bias. Three passes over the array."""
+    def normed(a):
+        n = F.size(a)
+
+        def about(mu):
+            var = F.aggregate(a, F.lit(0.0), lambda acc, v: acc + (v - mu) * (v - mu)) / n
+            return _bound(var, lambda var: F.transform(a, lambda v: (v - mu) / F.sqrt(var + F.lit(eps))))
+
+        return _bound(F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v) / n, about)
+
+    return _bound(col_(arr), normed)
 
 
 def with_layer_norm(df, src: str, out: str, eps: float = 1e-5):
-    """G6 as staged projections: the mean and variance are columns of their own, so they are computed
-    once per row instead of once per element inside the lambda."""
-    a = F.col(src)
-    n = F.size(a)
-    df = df.withColumn("_ln_mu", F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v) / n)
-    mu = F.col("_ln_mu")
-    df = df.withColumn("_ln_var", F.aggregate(a, F.lit(0.0), lambda acc, v: acc + (v - mu) * (v - mu)) / n)
-    var = F.col("_ln_var")
-    return df.withColumn(out, F.transform(a, lambda v: (v - mu) / F.sqrt(var + F.lit(eps)))).drop("_ln_mu", "_ln_var")
+    """G6 as a column of ``df``."""
+    return df.withColumn(out, layer_norm(src, eps))
 
 
 def normed_sum(arr, eps: float = 1e-5) -> Column:

@@ -421,17 +421,17 @@ from termlens.operators import segments  # noqa: E402
 
 
 def _sql_word_ngrams():
-    return (f"WITH w AS (SELECT item_id, {S.words_sql('text')} AS w FROM benchmark WHERE text IS NOT NULL), "
-            f"t AS (SELECT item_id, unnest({S.ngrams_sql('w')}) AS term FROM w) "
-            "SELECT item_id, term, count(*) AS tf, CAST(len(string_split(term, ' ')) AS VARCHAR) || 'gram' AS type "
-            "FROM t GROUP BY item_id, term")
+    return (f"WITH w AS (SELECT doc_id, {S.words_sql('text')} AS w FROM documents WHERE text IS NOT NULL), "
+            f"t AS (SELECT doc_id, unnest({S.ngrams_sql('w')}) AS term FROM w) "
+            "SELECT doc_id, term, count(*) AS tf, CAST(len(string_split(term, ' ')) AS VARCHAR) || 'gram' AS type "
+            "FROM t GROUP BY doc_id, term")
 
 
 @register("word_ngrams", _sql_word_ngrams)
 def word_ngrams(spark, sf_dir):
-    """T2/T3/T4/V1 over the benchmark texts: (item_id, term, type, tf)."""
-    df = tables.read_table(spark, sf_dir, "benchmark").where(F.col("text").isNotNull())
-    return segments.word_ngram_counts(df, "item_id", "text")
+    """T2/T3/T4/V1 over all documents: (doc_id, term, type, tf)."""
+    df = tables.read_table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    return segments.word_ngram_counts(df, "doc_id", "text")
 
 
 def _sql_windows(size, overlap):
