@@ -1,11 +1,17 @@
 """Segment vectors -> one vector per sample (G1-G8), as grouped aggregations.
 
-Element-wise statistics are one aggregate expression per dimension, so they are partial-aggregated
-map-side (a sample with many segments never travels as one list) and need a single exchange by _id.
+Sums, means and maxima are one array aggregate (Spark ML's ``Summarizer``) whatever the width: it is partial-aggregated
+map-side, so a sample with many segments never travels as one list, and needs a single exchange by _id. No job runs
+while the plan is built, and the plan does not grow with the width.
+
+Segments without a vector (null) are left out, of the label and of ``n_segments`` as well; widths that differ within a
+sample raise.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,42 +26,30 @@ def segments_from_embeddings(emb: DataFrame, per_sample: int = 5) -> DataFrame:
                       F.col("label").cast("int").alias("label"))
 
 
-def dimension(segments: DataFrame) -> int:
-    """Vector width (one-row aggregate)."""
-    return int(segments.agg(F.max(F.size("embedding"))).first()[0])
-
-
-def _elementwise(fn, dim: int):
-    return F.array(*[fn(F.col("embedding")[i]) for i in range(dim)])
+# method -> statistics whose vectors are put one behind the other
+STATISTICS = {"avg_pool": ["mean"], "avgmax_pool": ["mean", "max"], "avgmaxnorm_pool": ["mean", "max"],
+              "norm": ["sum"], "norm_sum_pool": ["sum"]}
 
 
-def pool(segments: DataFrame, method: str, dim: int | None = None, digits: int | None = 9) -> DataFrame:
+def pool(segments: DataFrame, method: str, digits: int | None = 9) -> DataFrame:
     """``(_id, label, n_segments, embedding)`` pooled with ``avg_pool``, ``avgmax_pool``,
     ``avgmaxnorm_pool``, ``norm``, ``norm_sum_pool`` or ``first``."""
-    dim = dim or dimension(segments)
+    if method != "first" and method not in STATISTICS:
+        raise ValueError(f"unknown pooling {method!r}")
     label = F.min_by("label", "segment").alias("label")  # G8: label of the first segment
     n = F.count(F.lit(1)).alias("n_segments")
+    groups = segments.where(F.col("embedding").isNotNull()).groupBy("_id")
     if method == "first":
-        out = segments.groupBy("_id").agg(label, n, F.min_by("embedding", "segment").alias("embedding"))
-    elif method in ("avg_pool", "avgmax_pool", "avgmaxnorm_pool"):
-        aggs = [label, n, _elementwise(F.avg, dim).alias("_avg")]
-        if method != "avg_pool":
-            aggs.append(_elementwise(F.max, dim).alias("_max"))
-        g = segments.groupBy("_id").agg(*aggs)
-        if method == "avg_pool":
-            out = g.select("_id", "label", "n_segments", F.col("_avg").alias("embedding"))
-        else:
-            out = g.select("_id", "label", "n_segments", F.concat("_avg", "_max").alias("embedding"))
-            if method == "avgmaxnorm_pool":
-                out = ar.with_layer_norm(out, "embedding", "embedding")
-    elif method in ("norm", "norm_sum_pool"):
-        g = segments.groupBy("_id").agg(label, n, _elementwise(F.sum, dim).alias("embedding"))
-        if method == "norm":
-            out = ar.with_layer_norm(g, "embedding", "embedding")
-        else:
-            out = g.withColumn("embedding", ar.normed_sum("embedding"))
+        out = groups.agg(label, n, F.min_by("embedding", "segment").alias("embedding"))
     else:
-        raise ValueError(f"unknown pooling {method!r}")
+        names = STATISTICS[method]
+        stats = Summarizer.metrics(*names).summary(array_to_vector("embedding")).alias("_stats")
+        parts = [vector_to_array(F.col("_stats")[name]) for name in names]
+        out = groups.agg(label, n, stats).select("_id", "label", "n_segments", F.concat(*parts).alias("embedding"))
+        if method in ("avgmaxnorm_pool", "norm"):
+            out = ar.with_layer_norm(out, "embedding", "embedding")
+        elif method == "norm_sum_pool":
+            out = out.withColumn("embedding", ar.normed_sum("embedding"))
     if digits is not None:
         out = out.withColumn("embedding", ar.round_all("embedding", digits))
     return out

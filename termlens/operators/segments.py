@@ -6,12 +6,11 @@ into rows at the end.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termlens.config import TaskMap
 from termlens.functions import text as tx
-from termlens.operators.linear import labels_long
 
 
 def window_starts(n: Column, size: int, overlap: int) -> Column:
@@ -99,12 +98,13 @@ def zipped_sections(df: DataFrame, id_cols: list[str], text_col: str, sections_c
 
 
 def label_profile(samples: DataFrame, tasks: TaskMap) -> DataFrame:
-    """Per split and task: rows, distinct labels, and the count of each label."""
-    long = labels_long(samples, tasks).join(samples.select("_id", "split"), "_id")
-    per_label = long.groupBy("split", "task", "label").agg(F.count(F.lit(1)).alias("n"))
-    per_task = per_label.groupBy("split", "task").agg(F.sum("n").alias("n_rows"),
-                                                     F.count(F.lit(1)).alias("n_distinct"))
-    return per_label.join(per_task, ["split", "task"])
+    """Per split and task: rows, distinct labels, and the count of each label. One scan and one exchange of counts; the
+    totals are a window over a row per split, task and label."""
+    labels = F.array(*[F.struct(F.lit(t).alias("task"), F.col(t).cast("int").alias("label")) for t in tasks.names])
+    per_label = (samples.select("split", F.inline(labels)).groupBy("split", "task", "label").agg(F.count(F.lit(1)).alias("n")))
+    whole = Window.partitionBy("split", "task")
+    return per_label.select("split", "task", "label", "n", F.sum("n").over(whole).alias("n_rows"),
+                            F.count(F.lit(1)).over(whole).alias("n_distinct"))
 
 
 def cleaned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from termlens.config import TaskMap
 from termlens.functions import arrays as ar
 from termlens.operators import attribution as xa
-from termlens.operators import metrics, pooling, vectorize
+from termlens.operators import metrics, pooling, segments, vectorize
 
 
 def test_tfidf(spark):
@@ -45,6 +45,33 @@ def test_pooling(spark):
     assert ns["o"] == [2.0, -3.0, 0.0]
 
 
+def test_pooling_plan_and_null_vectors(spark):
+    """The plan does not grow with the width; segments without a vector are left out; labels are the first segment's."""
+    def segs(width):
+        rows = [(7, 1, [float(i) for i in range(width)], 1), (7, 0, [0.0] * width, 0), (7, 2, None, 1), (8, 0, [-1.0] * width, 1), (9, 0, None, 1)]
+        return spark.createDataFrame(rows, "_id long, segment int, embedding array<double>, label int")
+
+    def size(df):
+        return len(df._jdf.queryExecution().optimizedPlan().toString())
+    for method in ("avg_pool", "avgmax_pool", "avgmaxnorm_pool", "norm", "norm_sum_pool", "first"):
+        assert abs(size(pooling.pool(segs(300), method)) - size(pooling.pool(segs(3), method))) < 200
+    got = {r["_id"]: r for r in pooling.pool(segs(3), "avgmax_pool").collect()}
+    assert set(got) == {7, 8} and got[7]["label"] == 0 and got[7]["n_segments"] == 2
+    assert got[7]["embedding"] == [0.0, 0.5, 1.0, 0.0, 1.0, 2.0] and got[8]["embedding"] == [-1.0] * 6
+    assert {r["_id"]: r["embedding"] for r in pooling.pool(segs(3), "norm_sum_pool").collect()}[7] == [0.0, 1.0, round(2 ** 0.5, 9)]
+
+
+def test_label_profile_reads_once(spark):
+    tasks = TaskMap.of({"a": 2, "b": 2})
+    rows = [("train", 0, 1), ("train", 1, 1), ("train", 0, None), ("test", 1, 0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "_id long, split string, a int, b int")
+    out = segments.label_profile(df, tasks)
+    assert {tuple(r) for r in out.collect()} == {
+        ("train", "a", 0, 2, 3, 2), ("train", "a", 1, 1, 3, 2), ("train", "b", 1, 2, 3, 2), ("train", "b", None, 1, 3, 2),
+        ("test", "a", 1, 1, 1, 1), ("test", "b", 0, 1, 1, 1)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
 def test_metrics(spark):
     tasks = TaskMap.of({"t": 2})
     preds = spark.createDataFrame([("t", 0, 0), ("t", 0, 1), ("t", 1, 1), ("t", 1, 1)], "task string, label int, pred int")
