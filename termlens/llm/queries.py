@@ -69,11 +69,12 @@ tot AS (SELECT count(*) AS n, avg(dl) AS mean FROM len),
 df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
 s AS (
   SELECT q.doc_id AS query_id, tf.doc_id,
-         round(sum(q.tf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf.tf * 2.2 / (tf.tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean))), 6) AS score
+         sum(q.tf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf.tf * 2.2 / (tf.tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean))) AS exact
   FROM tf q JOIN tf ON tf.t = q.t JOIN df ON df.t = q.t JOIN len ON len.doc_id = tf.doc_id CROSS JOIN tot
   WHERE q.doc_id % 50 = 0 GROUP BY q.doc_id, tf.doc_id)
-SELECT query_id, rank::INT AS rank, doc_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT query_id, rank::INT AS rank, doc_id, round(exact, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(exact, CAST(11 - floor(log10(exact)) AS INTEGER)) DESC, doc_id) AS rank
+  FROM s WHERE exact > 0)
 WHERE rank <= 10
 """
 
