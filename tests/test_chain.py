@@ -32,6 +32,16 @@ def test_features_take_two_exchanges(spark):
     assert _plan(vectorize.fitted_tfidf(_tf(spark), n_docs)).count("Exchange hashpartitioning") == 2
 
 
+def test_features_exchanges_have_the_number_of_tasks_given(spark):
+    """Both exchanges go to that many tasks, whatever the session's number, and counts go through the second, not weights."""
+    n_docs = spark.createDataFrame([(8,)], "n_docs long")
+    rows = lambda d: {(r["_id"], r["term"]): round(r["x"], 9) for r in d.collect()}
+    dealt = vectorize.fitted_tfidf(_tf(spark), n_docs, 2, 0.8, n_parts=3)
+    assert rows(dealt) == rows(vectorize.fitted_tfidf(_tf(spark), n_docs, 2, 0.8))
+    exchanges = [line for line in _plan(vectorize.fitted_tfidf(_tf(spark), n_docs, 2, 0.8, n_parts=3)).splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 2 and all(", 3), REPARTITION_BY_NUM" in line for line in exchanges)
+
+
 def test_counts_stay_where_their_documents_are(spark):
     docs = spark.createDataFrame([(i, "alpha beta alpha", "fr") for i in range(5)], "_id long, text string, lang string").repartition(7, "_id")
     plan = _plan(vectorize.term_frequencies(vectorize.document_terms(docs.withColumn("fitted", F.col("_id") > 2), keep=("fitted",)), ("fitted",)))
