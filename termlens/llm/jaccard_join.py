@@ -13,10 +13,11 @@ its most crowded ones as it has to spare, and probes with the others (any H + 1
 
 Signatures travel packed, one row per block and bucket, with the class (hash of the whole set) instead of a
 document, so exact copies are one entry. Sets that share a signature form a group. In each round the members
-of a group stand in a ring (a new order each time, large groups in several rings) and are compared with the
-next few members of other components; so groups of true copies become one component after a few rounds of
-linear work. Groups still in several components then give their remaining probe pairs across components, so
-no link that joins components is missed; of these, pairs whose counts of shingles by ``CELLS`` hash cells
+of a group stand in a ring (a new order each time, large groups in several rings) and meet the
+next few members of other components; a class is compared with the few it meets in most groups, so
+groups of true copies become one component after a few rounds of work that is linear in classes. Groups still in several
+components then give all their remaining probe pairs across components, each once (a pair in several groups is taken
+from the first), so no link that joins components is missed; of these, pairs whose counts of shingles by ``CELLS`` hash cells
 already differ by more than H can't link and are left out. Pairs are verified on the whole sets of 64-bit shingle hashes. Links between members that
 are already connected are not enumerated: components are exact, ``n_links`` counts are not offered.
 
@@ -41,8 +42,9 @@ from termlens.llm.common import components, mixed, portions, span_hashes, squeez
 BLOCK_BYTES = 6 << 20
 SMALL = 8  # bands with at most so many thresholds may use one-deletion neighbourhoods
 SPARE = 0.3  # further segments of larger bands
-CELLS = 64  # cells of the counts that bound a difference from below
-ROUNDS, NEXT, RING = 4, 4, 2048  # rings: rounds, members compared with, members a ring
+CELLS = 256  # cells of the counts that bound a difference from below; a count is one byte, 127 at most
+ROUNDS, NEXT, RING = 3, 4, 2048  # rings: rounds, members compared with (in a group, and by a class in all), members a ring
+FIRST = 16  # a class's first groups by hash, by which a pair that shares several is taken from one
 CHANCE = 40.0  # cost of a segment's chance match against that of a signature
 FILTER_BITS = 1 << 23  # bits of the broadcast filter of classes to be verified: 1 MB
 
@@ -279,7 +281,7 @@ def _set_rows(n: int, wanted):
                             done.add(key)
                         classes.append(key)
                         sets.append(shingles.tobytes())
-                        cells.append(np.bincount((mixed(shingles) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).tolist())
+                        cells.append(np.minimum(np.bincount((mixed(shingles) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 127).astype(np.int8))
                         size += len(sets[-1])
                         if size >= BLOCK_BYTES:
                             yield _rows(classes, sets, cells)
@@ -289,7 +291,7 @@ def _set_rows(n: int, wanted):
 
 
 def _rows(classes, sets, cells):
-    return pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary()), pa.array(cells, pa.list_(pa.int32()))],
+    return pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary()), pa.array(cells, pa.list_(pa.int8()))],
                                       names=["class", "set", "cells"])
 
 
@@ -303,7 +305,7 @@ def sets_of(named: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     for row in maps:  # bucket k holds the numbers (k - 1) * 32768 + 1 .. k * 32768; 0 is in bucket 0
         _place(bits, row.k, bytes(row.bits))
     wanted = spark.sparkContext.broadcast(bytes(bits))
-    sets = docs.mapInArrow(_set_rows(n, wanted), "class long, set binary, cells array<int>")
+    sets = docs.mapInArrow(_set_rows(n, wanted), "class long, set binary, cells array<tinyint>")
     return written(sets.join(named, "class", "left_semi").groupBy("class").agg(F.first("set").alias("set"), F.first("cells").alias("cells")), "jaccard-sets")
 
 
@@ -326,6 +328,31 @@ def _place(bits: bytearray, bucket: int, part: bytes) -> None:
         bits[v >> 3] |= 1 << (v & 7)
 
 
+def _fits(percent: int, size, probe, size2, probe2):
+    """May the two sets be partners, and does the larger one probe?"""
+    return ((100 * F.least(size, size2) >= percent * F.greatest(size, size2))
+            & ((probe & (size >= size2)) | (probe2 & (size2 >= size))))
+
+
+def pairs_across(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of classes of different components that share a group in which the larger one probes and whose cells allow a link.
+    ``members`` are (gid, class, size, component, probe, cells). A pair in several groups is taken from the first one by hash; only
+    pairs whose first common one is behind a class's ``FIRST`` first may come more than once."""
+    at = members.withColumn("at", F.xxhash64("gid"))
+    first = lambda c: F.slice(F.sort_array(F.collect_set(c)), 1, FIRST)  # noqa: E731 - bounded by a set's segments
+    at = written(at.join(at.groupBy("class").agg(first(F.when(F.col("probe"), F.col("at"))).alias("probed"), first("at").alias("all")), "class"), "jaccard-last")
+    other = at.select(F.col("gid").alias("g2"), F.col("class").alias("c2"), F.col("size").alias("s2"), F.col("component").alias("k2"),
+                      F.col("probe").alias("p2"), F.col("cells").alias("e2"), F.col("probed").alias("probed2"), F.col("all").alias("all2"))
+    # what the larger one's probes and the other's groups have in common are groups that give this pair
+    before = F.array_min(F.when(F.col("size") >= F.col("s2"), F.array_intersect("probed", "all2")).otherwise(F.array_intersect("probed2", "all")))
+    apart = F.aggregate(F.zip_with("cells", "e2", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
+    return at.join(other, (F.col("gid") == F.col("g2")) & (F.col("component") < F.col("k2"))
+                   & _fits(percent, F.col("size"), F.col("probe"), F.col("s2"), F.col("p2"))
+                   & (F.coalesce(before, F.col("at")) >= F.col("at"))
+                   & ((100 + percent) * apart <= (100 - percent) * (F.col("size") + F.col("s2")))).select(
+        F.least("class", "c2").alias("a"), F.greatest("class", "c2").alias("b"))
+
+
 def classes(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, class, component): ``component`` is the smallest class reachable by links."""
     spark = docs.sparkSession
@@ -340,7 +367,10 @@ def classes(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent: in
     crowd = Window.partitionBy("class").orderBy(F.desc("members"), "gid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spent = F.sum(F.when(F.col("probe"), F.col("copies")).otherwise(0)).over(crowd)
     groups = written(raw.withColumn("probe", F.col("probe") & (spent > F.col("spare"))).drop("copies", "spare"), "jaccard-groups")
-    live = groups.groupBy("gid").agg(F.max("probe").alias("any")).where("any").select("gid")
+    # groups of the same members and probes in several buckets say the same: one is kept
+    token = [F.bit_xor(F.xxhash64("class", "probe", F.lit(k))).alias(f"h{k}") for k in range(2)]
+    live = groups.groupBy("gid").agg(F.max("probe").alias("any"), F.count("*").alias("n"), *token).where("any")
+    live = live.groupBy("n", "h0", "h1").agg(F.min("gid").alias("gid")).select("gid")
     groups = written(groups.join(live, "gid", "left_semi"), "jaccard-probed")
     sets = sets_of(groups.select("class").distinct(), texts, n)
     links, tried, found = None, None, None
@@ -368,11 +398,6 @@ def classes(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent: in
         found = components(links)
         return True
 
-    def fits(size, probe, size2, probe2):
-        """May the two sets be partners, and does the larger one probe?"""
-        return ((100 * F.least(size, size2) >= percent * F.greatest(size, size2))
-                & ((probe & (size >= size2)) | (probe2 & (size2 >= size))))
-
     for k in range(ROUNDS):
         at = still_open().withColumn("turn", F.xxhash64("class", F.lit(k)))
         ring = F.pmod(F.shiftright("turn", 20), F.ceil(F.col("members") / RING))
@@ -380,17 +405,12 @@ def classes(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent: in
         me = F.struct("class", "size", "component", "probe")
         near = at.withColumn("ring", ring).withColumn("others", F.array(*[F.lead(me, j).over(line) for j in range(1, NEXT + 1)]))
         near = near.select("class", "size", "component", "probe", F.explode("others").alias("o")).where("o IS NOT NULL AND component <> o.component")
-        if not compared(near.where(fits(F.col("size"), F.col("probe"), F.col("o.size"), F.col("o.probe")))
-                        .select(F.least("class", "o.class").alias("a"), F.greatest("class", "o.class").alias("b"))) and k:
+        near = near.where(_fits(percent, F.col("size"), F.col("probe"), F.col("o.size"), F.col("o.probe"))).groupBy("class", F.col("o.class").alias("other")).agg(F.count("*").alias("shared"))
+        best = Window.partitionBy("class").orderBy(F.desc("shared"), F.xxhash64("class", "other"), "other")
+        near = near.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= NEXT)
+        if not compared(near.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b"))) and k:
             break
-    at = still_open().join(sets.select("class", "cells"), "class")
-    other = at.select(F.col("gid").alias("g2"), F.col("class").alias("c2"), F.col("size").alias("s2"), F.col("component").alias("k2"),
-                      F.col("probe").alias("p2"), F.col("cells").alias("e2"))
-    apart = F.aggregate(F.zip_with("cells", "e2", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
-    compared(at.join(other, (F.col("gid") == F.col("g2")) & (F.col("component") < F.col("k2"))
-                     & fits(F.col("size"), F.col("probe"), F.col("s2"), F.col("p2"))
-                     & ((100 + percent) * apart <= (100 - percent) * (F.col("size") + F.col("s2"))))
-             .select(F.least("class", "c2").alias("a"), F.greatest("class", "c2").alias("b")))
+    compared(pairs_across(still_open().join(sets.select("class", "cells"), "class"), percent))
     if found is None:
         return members.select("id", "n_shingles", "class", F.col("class").alias("component"))
     return members.join(found.select(F.col("node").alias("class"), "component"), "class", "left").select(
