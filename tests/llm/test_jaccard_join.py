@@ -45,3 +45,20 @@ def test_a_pair_whose_groups_are_late_is_not_lost(spark):
         members = spark.createDataFrame([*rows, *[(90000 + shared, c, 100, c, c == 2, cells) for c in (1, 2)]],
                                         "gid long, class long, size long, component long, probe boolean, cells array<tinyint>")
         assert [(r.a, r.b) for r in jaccard_join.pairs_across(members, 80).collect()] == [(1, 2)]
+
+
+def test_components_of_few_links_take_few_tasks(spark):
+    from termlens.llm.common import components
+
+    held = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = components(spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (5, 5)], "a long, b long"))
+        assert got.rdd.getNumPartitions() <= 2 * max(2, spark.sparkContext.defaultParallelism)
+        assert {tuple(r) for r in got.collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)}
+        assert not components(spark.createDataFrame([], "a long, b long")).count()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
