@@ -77,3 +77,35 @@ def test_normalising_reads_the_rows_once(spark):
     out = xa.l2_normalize(a)
     assert _plan(out).count("Exchange hashpartitioning") == 1
     assert sorted(r["attr"] for r in out.collect()) == [0.6, 0.8]
+
+
+def test_bit_filter_lets_every_key_pass_and_few_others(spark):
+    from termlens.operators import bitfilter
+
+    keys = spark.range(0, 3000).select(F.concat(F.lit("k"), "id").alias("term"))
+    bits = bitfilter.n_bits(3000)
+    known = bitfilter.chunks(keys.select(bitfilter.key_hash("term").alias("h")), bits)
+    both = keys.unionByName(spark.range(0, 20000).select(F.concat(F.lit("other"), "id").alias("term")))
+    got = [r.term for r in bitfilter.passing(both, F.col("term"), known, bits).collect()]
+    assert sum(t.startswith("k") for t in got) == 3000 and sum(t.startswith("other") for t in got) < 20000 / 8
+    assert bitfilter.n_bits(10 ** 12) == bitfilter.MOST_BITS and bitfilter.passing(keys, F.col("term"), known.limit(0), bits).count() == 0
+
+
+def test_only_possible_terms_are_shuffled_by_the_chain(spark, tmp_path, monkeypatch):
+    """Terms of one train document, and unlabelled texts, are left out ahead of the exchanges; the features are the same."""
+    from termlens.operators import bitfilter
+    from termlens.plans import baseline
+
+    text = lambda i: f"shared words of many texts only{i} one{i}" if i % 3 else "shared other words twice twice"
+    docs = [(i, text(i), "fr", "s", 1) for i in range(90)] + [(7, text(7), "fr", "s", 1), (None, "shared words", "fr", "s", 1), (91, None, "fr", "s", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, i % 5 and 1) for i in range(0, 92, 2)] + [(8, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    counted, plain = [], vectorize.fitted_tfidf
+    monkeypatch.setattr(vectorize, "fitted_tfidf", lambda tf, *a, **k: counted.append(tf) or plain(tf, *a, **k))
+    rows = lambda run: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in run.features.select("_id", "term", "tf", "x", "split").collect())
+    with_filter = rows(baseline.build(spark, str(tmp_path)))
+    monkeypatch.setattr(bitfilter, "passing", lambda rows, *a: rows)
+    assert rows(baseline.build(spark, str(tmp_path), cache=False)) == with_filter and with_filter
+    baseline.release()
+    assert counted[0].count() < 0.8 * counted[1].count()
