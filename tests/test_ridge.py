@@ -75,3 +75,28 @@ def test_no_training_rows(spark, fitted):
     *_, xs, labels = fitted
     coef, bias = linear.fit_ridge(spark, xs.limit(0), labels.limit(0), TASKS)
     assert coef.count() == 0 and {r.b for r in bias.collect()} == {0.0}
+
+
+def test_steps_leave_features_and_vectors_where_they_lie(spark, fitted):
+    """A step exchanges documents' sums alone: neither features nor the rows of the terms."""
+    *_, xs, labels = fitted
+    plans = []
+
+    def keep(df):
+        from termlens.session import cut_lineage
+
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut_lineage(df)
+
+    linear.fit_ridge(spark, xs, labels, TASKS, alpha=0.5, tol=1e-2, max_iter=2, keep=keep)
+    assert len(plans) == 4 and all("hashpartitioning(term" not in p for p in plans)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_documents_in_several_broadcasts(spark, fitted, monkeypatch):
+    x, two, _, xs, labels = fitted
+    monkeypatch.setattr(linear, "DOCS_A_BROADCAST", 8)
+    coef, _ = linear.fit_ridge(spark, xs, labels, TASKS, alpha=0.5, tol=1e-10)
+    w, _ = closed(x, np.where(two == 1, 1.0, -1.0), two, 0.5)
+    got = {r.term: r.w for r in coef.where("task = 'two' and class = 1").collect()}
+    assert [got[f"t{j:02d}"] for j in range(x.shape[1])] == pytest.approx(list(w), abs=1e-7)
